@@ -273,4 +273,5 @@ def with_parts(body: str, *parts: str) -> str:
     for name in parts:
         visit(name)
     chain = ",\n".join(f"{name} AS ({PARTS[name][1]})" for name in needed)
-    return f"WITH {chain}\n{body}" if needed else body
+    joint = "" if body.lstrip().startswith(",") else "\n"  # a body may open with further parts of its own
+    return f"WITH {chain}{joint}{body}"

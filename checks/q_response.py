@@ -22,7 +22,7 @@ DT_SQL = f"CASE WHEN regime = 'pre' THEN {m.DT_PRE_MS}.0::DOUBLE ELSE {m.DT_POST
 CEX = f"trigger = 'cex' AND tau_ms >= 0 AND tau_ms <= {m.MAX_TAU_MS}"
 ONCHAIN = f"trigger = 'onchain' AND tau_ms <= {m.MAX_TAU_MS}"
 SHARP = f"{CEX} AND jump_bps >= 0.5 * fee_rate * 10000"
-MIN_ARBS, MIN_PAIR = 5, 3
+MIN_ARBS, MIN_PAIR = 5, 2
 m.PARTS["sa"] = (("ar",), "SELECT * FROM ar WHERE is_arb_strict")
 
 
@@ -231,9 +231,9 @@ def top_senders(spark, sf):
 
 
 PAIRED = "p10_pre p10_post p50_pre p50_post d_p10_ms d_p50_ms mechanical_d_p10_ms mechanical_d_p50_ms ell_q10_pre ell_q10_post ell_q50_pre ell_q50_post p_k1_pre p_k1_post"
-m.PARTS["pq"] = (("sa",), f"""
+m.PARTS["pq"] = (("ar",), f"""
     SELECT sender, regime, count(*) AS n, quantile_cont(tau_ms::DOUBLE, 0.1) AS p10, quantile_cont(tau_ms::DOUBLE, 0.5) AS p50, {mean_if('k_blocks = 1', 'true')} AS k1
-    FROM sa WHERE {CEX} GROUP BY 1, 2 HAVING count(*) >= {MIN_PAIR}""")
+    FROM ar WHERE {CEX} GROUP BY 1, 2 HAVING count(*) >= {MIN_PAIR}""")
 m.PARTS["pr"] = (("pq",), f"""
     SELECT a.sender, a.n AS n_pre, b.n AS n_post, a.p10 AS p10_pre, b.p10 AS p10_post, a.p50 AS p50_pre, b.p50 AS p50_post, b.p10 - a.p10 AS d_p10_ms, b.p50 - a.p50 AS d_p50_ms,
            {0.1 * (m.DT_POST_MS - m.DT_PRE_MS)}::DOUBLE AS mechanical_d_p10_ms, {0.5 * (m.DT_POST_MS - m.DT_PRE_MS)}::DOUBLE AS mechanical_d_p50_ms,
@@ -243,7 +243,7 @@ m.PARTS["pr"] = (("pq",), f"""
 
 
 def _paired(spark, sf):
-    return rs.paired_groups(strict_arbs(spark, sf), "sender", [], m.DT_PRE_MS, m.DT_POST_MS, MIN_PAIR, m.MAX_TAU_MS)
+    return rs.paired_groups(m.arbs(spark, sf), "sender", [], m.DT_PRE_MS, m.DT_POST_MS, MIN_PAIR, m.MAX_TAU_MS)
 
 
 @query("paired_groups", with_parts(f"SELECT sender, n_pre, n_post, {sql_round(PAIRED)} FROM pr", "pr"))

@@ -115,10 +115,10 @@ def cross_rate_asof(spark, sf):
          LEFT JOIN cd c ON c.ts_ms = g.ts_ms WINDOW w AS (PARTITION BY g.pool ORDER BY g.ts_ms))
        WHERE p_pool IS NOT NULL AND p_cex IS NOT NULL""", "en", "cd"))
 def grid_join_query(spark, sf):
-    return rounded(_series(spark, sf), 8)
+    return rounded(market_series(spark, sf), 8)
 
 
-def _series(spark, sf):
+def market_series(spark, sf):
     per_pool = m.candles(spark, sf).join(m.pool_symbols(spark, sf), "symbol").select("pool", "ts_ms", "close")
     return rg.price_series(m.enriched_swaps(spark, sf), per_pool, m.STEP_MS).select("pool", "ts_ms", "p_pool", "p_cex", "dev")
 
@@ -343,7 +343,7 @@ def regime_table(spark, sf):
 
     swaps = m.enriched_swaps(spark, sf)
     fees = swaps.groupBy("pool").agg(F.max("fee_rate").alias("fee_rate"))
-    series = rg.series_statistics(_series(spark, sf), fees, m.CHANGE_MS, m.STEP_MS)
+    series = rg.series_statistics(market_series(spark, sf), fees, m.CHANGE_MS, m.STEP_MS)
     blocks = rg.block_statistics(with_intervals(m.blocks(spark, sf)), m.CHANGE_BLOCK)
     return rounded(rg.regime_table(rg.swap_statistics(swaps, m.CHANGE_BLOCK), blocks, series), 4)
 

@@ -35,14 +35,14 @@ def with_intervals(blocks: DataFrame, keys: list[str] = (), bounded: bool | None
     return out.withColumn("interval", F.when(F.col("number") - F.col("_n") == 1, gap)).drop("_n", "_t", "_chain")
 
 
-def with_forward_means(intervals: DataFrame) -> DataFrame:
+def with_forward_means(intervals: DataFrame, keep: list[str] = ()) -> DataFrame:
     """Adds the next interval, the mean of the next 60 and of the next 10 (NULL unless all are present).
 
     Ranges of numbers carry a halo of the 60 rows that follow them."""
     home = F.floor(F.col("number") / F.lit(RANGE)).cast("bigint")
     first_rows = F.pmod(F.col("number"), F.lit(RANGE)) < F.lit(FORWARD_WINDOW + 1)
     homes = F.when(first_rows, F.array(home, home - 1)).otherwise(F.array(home))
-    spread = intervals.select("number", "milli_ts", "interval", home.alias("_home"), F.explode(homes).alias("_range"))
+    spread = intervals.select("number", "milli_ts", "interval", *keep, home.alias("_home"), F.explode(homes).alias("_range"))
     order = Window.partitionBy("_range").orderBy("number")
     long_ahead, short_ahead = order.rowsBetween(1, FORWARD_WINDOW), order.rowsBetween(1, SHORT_WINDOW)
     ahead = spread.select(
@@ -54,16 +54,19 @@ def with_forward_means(intervals: DataFrame) -> DataFrame:
     return ahead.filter(F.col("_home") == F.col("_range")).drop("_home", "_range")
 
 
-def change_point(intervals: DataFrame, threshold) -> DataFrame:
+def change_point(intervals: DataFrame, threshold: float) -> DataFrame:
     """One row: the first block whose following interval is short and stays short, at or after the first block where
-    the mean of the next 60 intervals falls below ``threshold`` (number or one-row column)."""
-    limit = threshold if not isinstance(threshold, (int, float)) else F.lit(float(threshold))
-    ahead = with_forward_means(intervals).withColumn("_limit", limit)
-    candidate = F.when(F.col("mean60") < F.col("_limit"), F.col("number"))
-    refined = (F.col("next_interval") < F.col("_limit")) & (F.col("mean10") < F.col("_limit"))
-    coarse = ahead.agg(F.min(candidate).alias("coarse_block"))
-    found = ahead.filter(refined).crossJoin(F.broadcast(coarse)).filter(F.col("number") >= F.col("coarse_block"))
-    fine = found.agg(F.min("number").alias("_fine"))
+    the mean of the next 60 intervals falls below ``threshold``."""
+    return change_point_by_column(intervals.withColumn("_limit", F.lit(float(threshold))), "_limit")
+
+
+def change_point_by_column(intervals: DataFrame, limit: str) -> DataFrame:
+    """As :func:`change_point`, with the threshold in a column that is the same on every row."""
+    below = lambda c: F.col(c) < F.col("_limit")
+    ahead = with_forward_means(intervals.withColumnRenamed(limit, "_limit"), ["_limit"])
+    coarse = ahead.agg(F.min(F.when(below("mean60"), F.col("number"))).alias("coarse_block"))
+    found = ahead.filter(below("next_interval") & below("mean10")).crossJoin(F.broadcast(coarse))
+    fine = found.filter(F.col("number") >= F.col("coarse_block")).agg(F.min("number").alias("_fine"))
     return coarse.crossJoin(fine).select("coarse_block", F.coalesce("_fine", "coarse_block").alias("change_block"))
 
 
@@ -123,17 +126,21 @@ def anchor_samples(spans: DataFrame, first: str, last: str, step: int, run: int)
     )
 
 
-def bracket_change_point(runs: DataFrame, threshold, run: int = SAMPLE_RUN) -> DataFrame:
-    """(last slow run, first fast run + run length) from sampled runs (run_start, number, milli_ts).
+def bracket_change_point(runs: DataFrame, threshold: float, run: int = SAMPLE_RUN) -> DataFrame:
+    """(last slow run, first fast run + run length) from sampled runs (run_start, number, milli_ts)."""
+    return bracket_change_point_by_column(runs.withColumn("_limit", F.lit(float(threshold))), "_limit", run)
+
 
-    A run's mean interval needs only its ends; the crossing is the first fast run with a slow one before it."""
-    limit = threshold if not isinstance(threshold, (int, float)) else F.lit(float(threshold))
+def bracket_change_point_by_column(runs: DataFrame, limit: str, run: int = SAMPLE_RUN) -> DataFrame:
+    """A run's mean interval needs only its ends; the crossing is the first fast run with a slow one before it."""
+    steps = F.nullif(F.count(F.lit(1)) - 1, F.lit(0))
     means = runs.groupBy("run_start").agg(
-        ((F.max("milli_ts") - F.min("milli_ts")) / F.lit(1000.0) / F.nullif(F.count(F.lit(1)) - 1, F.lit(0))).alias("mean_interval")
+        F.try_divide((F.max("milli_ts") - F.min("milli_ts")) / F.lit(1000.0), steps).alias("mean_interval"), F.max(limit).alias("_limit")
     )
-    tagged = means.withColumn("_slow", F.when(F.col("mean_interval") >= limit, F.col("run_start"))).withColumn("_chain", F.lit(0))
+    slow = F.when(F.col("mean_interval") >= F.col("_limit"), F.col("run_start"))
+    tagged = means.withColumn("_slow", slow).withColumn("_chain", F.lit(0))
     seen = carry_forward(tagged, ["_chain"], ["run_start"], {"_last_slow": "_slow"}, width=RANGE)
-    fast = seen.filter((F.col("mean_interval") < limit) & F.col("_last_slow").isNotNull())
+    fast = seen.filter((F.col("mean_interval") < F.col("_limit")) & F.col("_last_slow").isNotNull())
     return fast.agg(
         F.min_by("_last_slow", "run_start").alias("slow_block"), (F.min("run_start") + F.lit(run)).alias("fast_block")
     )

@@ -40,12 +40,12 @@ def previous_row(
         return df.select("*", *[F.lag(old).over(window).alias(new) for new, old in names.items()])
     cut = _sliced(df, keys, order, width, max_rows)
     inside = Window.partitionBy(*keys, *SLICE).orderBy(*order)
-    rows = cut.withColumn("_prev", F.lag(as_struct(cols)).over(inside))
+    rows = cut.withColumn("_sl_prev", F.lag(as_struct(cols)).over(inside))
     tails = cut.groupBy(*keys, *SLICE).agg(F.max_by(as_struct(cols), as_struct(order)).alias("_tail"))
     across = Window.partitionBy(*keys).orderBy(*SLICE)
-    carry = tails.select(*keys, *SLICE, F.lag("_tail").over(across).alias("_carry"))
-    joined = rows.join(carry, [*keys, *SLICE], "left").withColumn("_prev", F.coalesce("_prev", "_carry"))
-    return _spread(joined.drop("_carry", *SLICE), "_prev", names)
+    carry = tails.select(*keys, *SLICE, F.lag("_tail").over(across).alias("_sl_carry"))
+    joined = rows.join(carry, [*keys, *SLICE], "left").withColumn("_sl_prev", F.coalesce("_sl_prev", "_sl_carry"))
+    return _spread(joined.drop("_sl_carry", *SLICE), "_sl_prev", names)
 
 
 def next_row(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bounded=None) -> DataFrame:
@@ -56,12 +56,12 @@ def next_row(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bounded=N
         return df.select("*", *[F.lead(old).over(window).alias(new) for new, old in names.items()])
     cut = _sliced(df, keys, order, width, max_rows)
     inside = Window.partitionBy(*keys, *SLICE).orderBy(*order)
-    rows = cut.withColumn("_next", F.lead(as_struct(cols)).over(inside))
+    rows = cut.withColumn("_sl_next", F.lead(as_struct(cols)).over(inside))
     heads = cut.groupBy(*keys, *SLICE).agg(F.min_by(as_struct(cols), as_struct(order)).alias("_head"))
     across = Window.partitionBy(*keys).orderBy(*SLICE)
-    carry = heads.select(*keys, *SLICE, F.lead("_head").over(across).alias("_carry"))
-    joined = rows.join(carry, [*keys, *SLICE], "left").withColumn("_next", F.coalesce("_next", "_carry"))
-    return _spread(joined.drop("_carry", *SLICE), "_next", names)
+    carry = heads.select(*keys, *SLICE, F.lead("_head").over(across).alias("_sl_carry"))
+    joined = rows.join(carry, [*keys, *SLICE], "left").withColumn("_sl_next", F.coalesce("_sl_next", "_sl_carry"))
+    return _spread(joined.drop("_sl_carry", *SLICE), "_sl_next", names)
 
 
 def carry_forward(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bounded=None) -> DataFrame:

@@ -279,3 +279,12 @@ def reference_wedge(first: DataFrame, second: DataFrame, outcomes: list[str]) ->
     ]
     keep = [c for c in ("post", "hod", "day", "t_days", "sigma_ps", "liq_mean", "volume", "ref_gap_bps") if c in first.columns]
     return first.join(b, ["pool", "hour_ms"]).select("pool", "hour_ms", *keep, *logs)
+
+
+def reference_gap(swaps: DataFrame) -> DataFrame:
+    """Distance of the candle reference from the tick reference per pool and hour."""
+    gap = ratio("p_cex_1s", "p_cex") - 1.0
+    hour = clock.floor_ms(F.col("ts_ms"), clock.HOUR_MS)
+    return swaps.groupBy("pool", hour.alias("hour_ms")).agg(
+        (F.avg(F.abs(gap)) * BPS).alias("mean_abs_bps"), (F.sqrt(F.avg(gap * gap)) * BPS).alias("rms_bps")
+    )
