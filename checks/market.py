@@ -274,4 +274,4 @@ def with_parts(body: str, *parts: str) -> str:
         visit(name)
     chain = ",\n".join(f"{name} AS ({PARTS[name][1]})" for name in needed)
     joint = "" if body.lstrip().startswith(",") else "\n"  # a body may open with further parts of its own
-    return f"WITH {chain}{joint}{body}"
+    return f"WITH RECURSIVE {chain}{joint}{body}"
