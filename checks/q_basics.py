@@ -103,7 +103,7 @@ def decode_hex_text(spark, sf):
     return e.select("event_id", hexwords.decimal_string(plus, False).alias("positive"), hexwords.decimal_string(minus, True).alias("negative"))
 
 
-@query("decode_words_table", "SELECT event_id, CAST(i AS INTEGER) AS position, CAST(CASE i WHEN 0 THEN event_id ELSE user_id END AS DOUBLE) AS value FROM events, (VALUES (0), (1)) v(i)")
+@query("table_function", "SELECT event_id, CAST(i AS INTEGER) AS position, CAST(CASE i WHEN 0 THEN event_id ELSE user_id END AS DOUBLE) AS value FROM events, (VALUES (0), (1)) v(i)")
 def decode_words_table(spark, sf):
     e = table(spark, sf, "events").withColumn("data", F.concat(F.lit("0x"), F.lpad(F.hex("event_id"), 64, "0"), F.lpad(F.hex("user_id"), 64, "0")))
     rows = e.select("event_id", F.posexplode(hexwords.words(F.col("data"))).alias("position", "w"))

@@ -45,7 +45,7 @@ def _two_regressor_sql(outcome: str) -> str:
                 FROM dm d JOIN (
                   SELECT pool, n, hours, vss / (vpp * vss - vps * vps) AS ipp, -vps / (vpp * vss - vps * vps) AS ips,
                          (vss * vpy - vps * vsy) / (vpp * vss - vps * vps) AS bp, (vpp * vsy - vps * vpy) / (vpp * vss - vps * vps) AS bs
-                  FROM (SELECT pool, count(*) AS n, count(DISTINCT hod) AS hours, sum(p * p) AS vpp, sum(s * s) AS vss, sum(p * s) AS vps, sum(p * y) AS vpy, sum(s * y) AS vsy FROM dm GROUP BY pool)) c USING (pool)
+                  FROM (SELECT pool, count(*) AS n, count(DISTINCT hod) AS hours, sum(p * p) AS vpp, sum(s * s) AS vss, sum(p * s) AS vps, sum(p * y) AS vpy, sum(s * y) AS vsy FROM dm GROUP BY pool HAVING count(*) >= 30)) c USING (pool)
                 GROUP BY d.pool, d.day) GROUP BY pool)"""
 
 
@@ -274,7 +274,7 @@ def shifted_self_join(spark, sf):
     return rounded(pn.shifted_pairs(m.panel(spark, sf), 14, ["volume"]))
 
 
-@query("ttest_matched", with_parts("""
+@query("ttest_1samp", with_parts("""
     , pr AS (SELECT a.pool, v.metric, ln(v.b / v.a) AS lr FROM pn a JOIN pn b ON a.pool = b.pool AND b.hour_ms = a.hour_ms + 1209600000 AND a.post = 0 AND b.post = 1,
              LATERAL (VALUES ('volume', a.volume, b.volume), ('n_arb', a.n_arb, b.n_arb), ('sigma_ps', a.sigma_ps, b.sigma_ps)) v(metric, a, b) WHERE v.a > 0 AND v.b > 0)
     SELECT pool, metric, count(*) AS n, round(exp(quantile_cont(lr, 0.5)), 6) AS median_ratio, round(avg(lr), 6) AS mean_log_ratio, round(avg(lr) / (stddev_samp(lr) / sqrt(count(*))), 6) AS t_stat FROM pr GROUP BY 1, 2 HAVING count(*) >= 20""", "pn"))

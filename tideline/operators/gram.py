@@ -129,9 +129,12 @@ def _solve_group(specs: list[Spec]):
         n, g = float(counts.sum()), len(labels)
         total = blocks.sum(axis=0)
         xx, xy, yy = total[:k, :k], total[:k, k], total[k, k]
-        used = np.diag(xx) > 0
+        # Columns that never vary (an empty effect level, a regime that is absent) cannot be estimated and drop out.
+        spread = np.diag(xx) - xx[0] ** 2 / xx[0, 0]
+        used = spread > 1e-12 * np.maximum(np.diag(xx), 1e-300)
+        used[0] = True
         index = np.flatnonzero(used)
-        if n < min_rows or not len(index):
+        if n < min_rows:
             return pd.DataFrame(columns=[c.split()[0] for c in COEFFICIENTS.split(", ")])
         a = xx[np.ix_(index, index)]
         scale = 1.0 / np.sqrt(np.diag(a))
@@ -144,9 +147,9 @@ def _solve_group(specs: list[Spec]):
         cov = factor * inverse @ meat @ inverse
         se = np.sqrt(np.maximum(np.diag(cov), 0.0))
         mean_y = xy[0] / xx[0, 0]
-        spread = yy - xx[0, 0] * mean_y**2
+        spread_y = yy - xx[0, 0] * mean_y**2
         residual = yy - beta @ xy[index]
-        r2 = 1.0 - residual / spread if spread > 0 else np.nan
+        r2 = 1.0 - residual / spread_y if spread_y > 0 else np.nan
         wald_p = np.nan
         if wald:
             place = {names[col]: pos for pos, col in enumerate(index)}
