@@ -162,3 +162,18 @@ def test_information_share_of_a_leading_price(spark, bounded):
     df = spark.createDataFrame([("p", i * 1_000, float(follow[i]), float(lead[i])) for i in range(n)], "pool string, ts_ms bigint, a double, b double")
     r = price_discovery.information_shares(df, ["pool"], "ts_ms", "a", "b", 1_000, lags=3, bounded=bounded).first()
     assert r.share_upper < 0.2 and r.alpha_first == pytest.approx(-0.3, abs=0.05) and r.beta_second == pytest.approx(-1, abs=0.05)
+
+
+def test_published_estimates_reproduce_pooled_values(spark):
+    # printed estimates, errors and intervals of three changes; results are known to the printed precision
+    rows = [("s", -0.293, 0.036, 3.0, 1.5), ("s", -0.110, 0.041, 1.5, 0.75), ("s", -0.115, 0.037, 0.75, 0.45)]
+    df = spark.createDataFrame(rows, "name string, b double, se double, dt_pre double, dt_post double")
+    f = es.next_halving(es.latency_floor(df, ["name"]), 0.45).first()
+    assert f.ell == pytest.approx(0.94, abs=0.02) and f.ell_low == pytest.approx(0.51, abs=0.02) and f.ell_high == pytest.approx(1.65, abs=0.02)
+    assert f.chi2_min == pytest.approx(5.52, abs=0.2) and f.chi2_zero == pytest.approx(49.3, abs=1.0)
+    assert f.next_halving == pytest.approx(-0.089, abs=0.002) and f.floor_relative == pytest.approx(0.82, abs=0.01)
+    changes = spark.createDataFrame([("c1", 3.0, 1.5), ("c2", 1.5, 0.75), ("c3", 0.75, 0.45)], "change string, dt_pre double, dt_post double")
+    named = spark.createDataFrame([("c1", -0.293, 0.036), ("c2", -0.110, 0.041), ("c3", -0.115, 0.037)], "change string, b double, se double")
+    e = es.law_and_elasticity(named, changes).select(F.col("elasticity").alias("b"), F.col("elasticity_se").alias("se"), F.lit(1).alias("g"))
+    p = es.pool_estimates(e, ["g"], against=0.5).first()
+    assert p.b == pytest.approx(0.289, abs=0.002) and p.se == pytest.approx(0.035, abs=0.001) and p.t == pytest.approx(-6.1, abs=0.15)
