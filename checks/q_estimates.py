@@ -31,7 +31,7 @@ def gram_query(spark, sf):
     from tideline.operators.gram import Spec
 
     spec = Spec("m", "value", {"user": "user_id"}, cluster="event_type")
-    return rounded(gram(design_rows(table(spark, sf, "events"), [spec])).select("cluster", "i", "j", "value"), 4)
+    return rounded(gram(design_rows(table(spark, sf, "events"), [spec]), [[]]).select("cluster", "i", "j", "value"), 4)
 
 
 def _two_regressor_sql(outcome: str) -> str:

@@ -10,7 +10,7 @@ from tideline import schemas
 from tideline.functions import clock
 from tideline.plans import jobs
 
-START, MINUTES, LATENCY = 1_700_006_400_000, 900, 300
+START, MINUTES, LATENCY = 1_700_006_400_000, 240, 300
 STEP_PRE, STEP_POST = 1_500, 750
 GAMMA = 0.0005
 
@@ -71,7 +71,7 @@ def test_report_writes_every_table(spark, study):
     for name in tables:
         assert read(name).columns, name
     arbs = spark.read.parquet(study.path("arbs"))
-    assert arbs.count() > 500
+    assert arbs.count() > 300
     stats = {(r.pool, r.regime): r for r in read("response_stats_all").collect()}
     for pool in ("a", "b"):
         pre, post = stats[(pool, "pre")], stats[(pool, "post")]

@@ -43,55 +43,84 @@ def _sql_literal(value) -> str:
     return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
 
 
-def design_columns(spec: Spec) -> dict[str, str]:
-    cols = {"intercept": "1.0", **spec.terms}
-    for name, (expr, domain) in spec.effects.items():
-        for value in domain[1:]:
-            cols[f"{name}={value}"] = f"CASE WHEN {expr} = {_sql_literal(value)} THEN 1.0 ELSE 0.0 END"
-    return cols
+def _numbers(spec: Spec) -> list[str]:
+    return ["1.0", *spec.terms.values(), spec.outcome, spec.weight or "1.0"]
 
 
-def design_rows(df: DataFrame, specs: list[Spec]) -> DataFrame:
-    """(model, cluster, x) for all specs: one scan, each row expanded to the models whose filter it passes.
+def column_names(spec: Spec) -> list[str]:
+    """Order of the regressors: intercept, terms, then one dummy per effect level but the first."""
+    dummies = [f"{name}={value}" for name, (_, domain) in spec.effects.items() for value in domain[1:]]
+    return ["intercept", *spec.terms, *dummies]
+
+
+def dummy_sizes(specs: list[Spec]) -> list[list[int]]:
+    return [[len(domain) for _, domain in s.effects.values()] for s in specs]
+
 
-    x is [regressors..., outcome, weight]; rows with a NULL or NaN in it are left out, as in a formula interface."""
+def design_rows(df: DataFrame, specs: list[Spec]) -> DataFrame:
+    """(model, cluster, x, levels) for all specs: one scan, each row expanded to the models whose filter it passes.
+
+    x is [intercept, terms..., outcome, weight] and ``levels`` the position of each effect's level, so dummies never
+    become Catalyst expressions or shuffle width. Effect levels are looked up once per row, however many models use
+    them. Rows with a NULL or NaN in x are left out, as in a formula interface."""
+    effects: dict[tuple, str] = {}
+    for spec in specs:
+        for expr, domain in spec.effects.values():
+            effects.setdefault((expr, domain), f"_effect{len(effects)}")
+    coded = df
+    for (expr, domain), name in effects.items():
+        levels = ", ".join(_sql_literal(v) for v in domain)
+        coded = coded.withColumn(name, F.expr(f"CAST(coalesce(array_position(array({levels}), {expr}), 0) - 1 AS INT)"))
     entries = []
     for i, spec in enumerate(specs):
-        numbers = [*design_columns(spec).values(), spec.outcome, spec.weight or "1.0"]
-        vector = F.array(*[F.expr(f"CAST({n} AS DOUBLE)") for n in numbers])
+        vector = F.expr("array(" + ", ".join(f"CAST({n} AS DOUBLE)" for n in _numbers(spec)) + ")")
         clean = ~F.exists(vector, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-        row = F.struct(F.lit(i).alias("model"), F.expr(f"CAST({spec.cluster} AS STRING)").alias("cluster"), vector.alias("x"))
+        levels = F.array(*[F.col(effects[key]) for key in spec.effects.values()]).cast("array<int>")
+        cluster = F.expr(f"CAST({spec.cluster} AS STRING)")
+        row = F.struct(F.lit(i).alias("model"), cluster.alias("cluster"), vector.alias("x"), levels.alias("levels"))
         entries.append(F.when(F.expr(spec.where) & clean, row))
-    exploded = df.select(F.explode(F.array_compact(F.array(*entries))).alias("_r"))
-    return exploded.select("_r.model", "_r.cluster", "_r.x")
+    exploded = coded.select(F.explode(F.array_compact(F.array(*entries))).alias("_r"))
+    return exploded.select("_r.model", "_r.cluster", "_r.x", "_r.levels")
+
+
+def _matrix(lists) -> tuple[np.ndarray, np.ndarray]:
+    """Flat values and row offsets of an Arrow list column."""
+    flat = lists.flatten().to_numpy(zero_copy_only=False)
+    offsets = lists.offsets.to_numpy()
+    return flat, offsets - offsets[0]
 
 
-def gram(rows: DataFrame) -> DataFrame:
+def gram(rows: DataFrame, sizes: list[list[int]] | None = None) -> DataFrame:
     """(model, cluster, i, j, value): sums of w·xᵢ·xⱼ over regressors and outcome (upper triangle), plus the row
-    count at i = j = -1. Partitions are reduced with numpy before anything is shuffled."""
+    count at i = j = -1. Partitions are reduced with numpy before anything is shuffled; ``sizes`` gives the number of
+    levels of each effect per model."""
 
     def partial(batches):
         totals: dict[tuple[int, str], list] = {}
         for batch in batches:
-            models = batch.column("model").to_numpy(zero_copy_only=False)
-            clusters = np.asarray(batch.column("cluster").to_pylist(), dtype=object)
-            lists = batch.column("x")
-            flat = lists.flatten().to_numpy(zero_copy_only=False)
-            sizes = np.diff(lists.offsets.to_numpy())
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
-            frame = pd.DataFrame({"m": models, "c": clusters}).groupby(["m", "c"], sort=False, dropna=False).indices
-            for key, where in frame.items():
-                width = int(sizes[where[0]])
-                x = flat[starts[where][:, None] + np.arange(width)[None, :]]
-                v, w = x[:, :-1], x[:, -1]
-                moment = (v * w[:, None]).T @ v
-                if key in totals:
-                    totals[key][0] += moment
-                    totals[key][1] += len(where)
+            if batch.num_rows == 0:
+                continue
+            flat, offsets = _matrix(batch.column("x"))
+            codes, code_offsets = _matrix(batch.column("levels")) if sizes else (None, None)
+            keys = pd.DataFrame({"m": batch.column("model").to_pandas(), "c": batch.column("cluster").to_pandas()})
+            for (m, c), where in keys.groupby(["m", "c"], sort=False, dropna=False).indices.items():
+                width = int(offsets[where[0] + 1] - offsets[where[0]])
+                x = flat[offsets[where][:, None] + np.arange(width)[None, :]]
+                parts = [x[:, :-2]]
+                for e, size in enumerate(sizes[m] if sizes else ()):
+                    level = codes[code_offsets[where] + e]
+                    parts.append((level[:, None] == np.arange(1, size)[None, :]).astype(float))
+                v = np.hstack([*parts, x[:, -2:-1]])
+                moment = (v * x[:, -1:]).T @ v
+                if (m, c) in totals:
+                    totals[m, c][0] += moment
+                    totals[m, c][1] += len(where)
                 else:
-                    totals[key] = [moment, len(where)]
+                    totals[m, c] = [moment, len(where)]
         for (m, c), (moment, n) in totals.items():
             i, j = np.triu_indices(len(moment))
+            kept = moment[i, j] != 0.0
+            i, j = i[kept], j[kept]
             yield pa.RecordBatch.from_pydict(
                 {
                     "model": pa.array(np.full(len(i) + 1, m, dtype=np.int32)),
@@ -110,7 +139,7 @@ COEFFICIENTS = "model int, term string, b double, se double, p double, n bigint,
 
 
 def _solve_group(specs: list[Spec]):
-    plans = [(list(design_columns(s)), s.use_t, s.min_rows, s.wald) for s in specs]
+    plans = [(column_names(s), s.use_t, s.min_rows, s.wald) for s in specs]
 
     def solve(moments: pd.DataFrame) -> pd.DataFrame:
         model = int(moments["model"].iloc[0])
@@ -170,7 +199,7 @@ def _solve_group(specs: list[Spec]):
 
 def fit(df: DataFrame, specs: list[Spec]) -> DataFrame:
     """Coefficient table (model_name, term, b, se, p, n, clusters, r2, wald_p) of every spec, from one scan."""
-    moments = gram(design_rows(df, specs))
+    moments = gram(design_rows(df, specs), dummy_sizes(specs))
     solved = moments.groupBy("model").applyInPandas(_solve_group(specs), COEFFICIENTS)
     names = df.sparkSession.createDataFrame([(i, s.name) for i, s in enumerate(specs)], "model int, model_name string")
     cleaned = solved.join(F.broadcast(names), "model").drop("model")
@@ -183,11 +212,13 @@ def fit(df: DataFrame, specs: list[Spec]) -> DataFrame:
 def fitted_column(df: DataFrame, spec: Spec, coefficients: DataFrame) -> DataFrame:
     """Rows passing the spec's filter with ``fitted`` and ``residual``; coefficients travel as one broadcast row
     (K numbers per model, fixed by the spec)."""
-    columns = design_columns(spec)
     wanted = coefficients.filter(F.col("model_name") == spec.name)
     packed = wanted.agg(F.map_from_entries(F.collect_list(F.struct("term", "b"))).alias("_b"))
     rows = df.filter(F.expr(spec.where)).crossJoin(F.broadcast(packed))
-    total: Column = F.lit(0.0)
-    for name, expr in columns.items():
-        total = total + F.coalesce(F.try_element_at("_b", F.lit(name)), F.lit(0.0)) * F.expr(f"CAST({expr} AS DOUBLE)")
+    weight_of = lambda name: F.coalesce(F.try_element_at("_b", name), F.lit(0.0))
+    total: Column = weight_of(F.lit("intercept"))
+    for name, expr in spec.terms.items():
+        total = total + weight_of(F.lit(name)) * F.expr(f"CAST({expr} AS DOUBLE)")
+    for name, (expr, _) in spec.effects.items():
+        total = total + weight_of(F.expr(f"concat('{name}=', CAST({expr} AS STRING))"))
     return rows.withColumn("fitted", total).withColumn("residual", F.expr(spec.outcome) - F.col("fitted")).drop("_b")

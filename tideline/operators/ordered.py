@@ -88,21 +88,25 @@ def carry_forward(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, boun
 
 
 def carry_backward(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bounded=None) -> DataFrame:
-    """Adds, per row, the first non-null value at or after it."""
+    """Adds, per row, the first non-null value at or after it.
+
+    Windows run in descending order: a frame that grows from its start costs one step per row, while one that runs to
+    the end of the group is recomputed for every row."""
+    down = [F.col(c).desc() for c in order]
     if is_bounded(df) if bounded is None else bounded:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-        return df.select("*", *[F.first(old, ignorenulls=True).over(window).alias(new) for new, old in names.items()])
+        window = Window.partitionBy(*keys).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0)
+        return df.select("*", *[F.last(old, ignorenulls=True).over(window).alias(new) for new, old in names.items()])
     cut = _sliced(df, keys, order, width, max_rows)
-    inside = Window.partitionBy(*keys, *SLICE).orderBy(*order).rowsBetween(0, Window.unboundedFollowing)
-    rows = cut.select("*", *[F.first(old, ignorenulls=True).over(inside).alias(new) for new, old in names.items()])
+    inside = Window.partitionBy(*keys, *SLICE).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0)
+    rows = cut.select("*", *[F.last(old, ignorenulls=True).over(inside).alias(new) for new, old in names.items()])
     earliest = [
         F.min_by(F.col(old), F.when(F.col(old).isNotNull(), as_struct(order))).alias(f"_t_{new}")
         for new, old in names.items()
     ]
-    across = Window.partitionBy(*keys).orderBy(*SLICE).rowsBetween(1, Window.unboundedFollowing)
+    across = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in SLICE]).rowsBetween(Window.unboundedPreceding, -1)
     carry = cut.groupBy(*keys, *SLICE).agg(*earliest)
     carry = carry.select(
-        *keys, *SLICE, *[F.first(f"_t_{new}", ignorenulls=True).over(across).alias(f"_c_{new}") for new in names]
+        *keys, *SLICE, *[F.last(f"_t_{new}", ignorenulls=True).over(across).alias(f"_c_{new}") for new in names]
     )
     joined = rows.join(carry, [*keys, *SLICE], "left")
     for new in names:
