@@ -89,16 +89,28 @@ def test_report_writes_every_table(spark, study):
     assert read("coverage").filter("coverage < 1").count() == 0
 
 
-def test_candle_reference_and_audit(spark, study):
-    from dataclasses import replace
-
-    other = replace(study, root=study.root, reference="candles")
+def test_audit(spark, study):
     swaps = readers_swaps(spark, study)
     same = jobs.source_audit(spark, swaps, swaps, spark.read.parquet(study.path("blocks")))
     assert same["differences"].count() == 0 and same["clock"].first().mismatches == 0
     missing = jobs.source_audit(spark, swaps, swaps.filter("log_index <> 3"), spark.read.parquet(study.path("blocks")))
     assert {r.status for r in missing["summary"].collect()} == {"only_first"}
-    assert other.reference == "candles"
+
+
+def test_candle_reference(spark, study):
+    """The last candle that ended at least a second before the swap."""
+    from tideline.plans import enrich
+
+    swaps = spark.read.parquet(study.path("enriched")).select("pool", "symbol", "block", "log_index", "ts_ms", "p_cex")
+    candles = spark.read.parquet(study.path("candles"))
+    got = enrich.with_candle_reference(swaps.drop("p_cex"), candles, {"5": 5_000})
+    closes = {r.ts_ms: r.close for r in candles.collect()}
+    stamps = sorted(closes)
+    import bisect
+
+    for r in got.orderBy("pool", "block").limit(50).collect():
+        at = lambda q: closes[stamps[bisect.bisect_right(stamps, q) - 1]]
+        assert r.p_cex == at(r.ts_ms - 1_000) and r.p_cex_h5 == at(r.ts_ms + 5_000)
 
 
 def readers_swaps(spark, study):
