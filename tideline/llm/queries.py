@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact_dedup, warc_zip
-from tideline.llm.columns import table
+from tideline.llm import exact_dedup, language_id, warc_zip
+from tideline.llm.columns import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +46,11 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM f""")
 def op6_warc_zip(spark: SparkSession, folder: str) -> DataFrame:
     return warc_zip.round_trip(table(spark, folder, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@_query("op2_language_id")
+def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
+    model = language_id.train(docs, crc_mod("doc_id", 3) != 1)
+    found = language_id.with_language(docs.withColumn("held_out", crc_mod("doc_id", 3) == 1), model, passing=["doc_id", "held_out"])
+    return found.select("doc_id", "held_out", "lang_pred", "score", "lang_accepted")
