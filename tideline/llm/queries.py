@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact_dedup, language_id, quality_cnn, warc_zip
+from tideline.llm import exact_dedup, language_id, quality_cnn, secret_scan, warc_zip
 from tideline.llm.columns import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,10 @@ def op3_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     model = quality_cnn.train(docs, table(spark, folder, "labels").select("doc_id", "quality"), crc_mod("doc_id", 4) != 2)
     found = quality_cnn.with_quality(docs.withColumn("held_out", crc_mod("doc_id", 4) == 2), model, passing=["doc_id", "held_out"])
     return found.select("doc_id", "held_out", "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
+
+
+@_query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = secret_scan.scan(docs, secret_scan.train(docs), passing=["doc_id"])
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
