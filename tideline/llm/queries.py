@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact_dedup, language_id, quality_cnn, secret_scan, warc_zip
+from tideline.llm import exact_dedup, language_id, quality_cnn, secret_scan, token_counts, warc_zip
 from tideline.llm.columns import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -69,3 +69,11 @@ def op4_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = secret_scan.scan(docs, secret_scan.train(docs), passing=["doc_id"])
     return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_random")
+
+
+@_query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return token_counts.with_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096, passing=["doc_id"])
