@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact_dedup, language_id, quality_cnn, secret_scan, token_counts, warc_zip
+from tideline.llm import exact_dedup, language_id, quality_cnn, secret_scan, token_counts, vector_neardup, warc_zip
 from tideline.llm.columns import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -77,3 +77,21 @@ def op10_token_counts(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return token_counts.with_counts(docs, public_tokenizers.path("piece_bpe_32k.model"), limit=4096, passing=["doc_id"])
+
+
+@_query("op5_embedding_neardup", """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.98
+), r(id, root) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT l.b, r.root FROM r JOIN l ON r.id = l.a
+), n AS (SELECT a, count(*) AS n_links FROM l GROUP BY a), c AS (SELECT id, min(root) AS component_id FROM r GROUP BY id)
+SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_id, e.vec_id = c.component_id AS kept
+FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.id""")
+def op5_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_neardup.components(table(spark, folder, "embeddings"))
