@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact_dedup, language_id, quality_cnn, secret_scan, token_counts, vector_neardup, warc_zip
+from tideline.llm import exact_dedup, language_id, packing, quality_cnn, secret_scan, token_counts, vector_neardup, warc_zip
 from tideline.llm.columns import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -95,3 +95,11 @@ SELECT e.vec_id, CAST(coalesce(n.n_links, 0) AS BIGINT) AS n_links, c.component_
 FROM embeddings e LEFT JOIN n ON e.vec_id = n.a LEFT JOIN c ON e.vec_id = c.id""")
 def op5_embedding_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return vector_neardup.components(table(spark, folder, "embeddings"))
+
+
+@_query("op7_best_fit_packing")
+def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
