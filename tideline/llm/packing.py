@@ -56,7 +56,7 @@ class Words(dict):
         plain = (new - ends) | {w[:-1] for w in ends} | {w[-1] for w in ends}
         lowered = {w: w.lower() for w in plain if w.isascii()}
         asked = {lowered.get(w, w) for w in plain} - self.keys()
-        latin = [w for w in asked if w.isalpha() and max(w) < "\u0250"]
+        latin = [w for w in asked if w.isalpha() and max(w) <= "\u00ff"]
         self._runs(latin)
         rest = list(asked.difference(latin))
         for word, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
@@ -67,7 +67,7 @@ class Words(dict):
             self[word] = self[word[:-1]] + self[word[-1]]
 
     def _runs(self, words: list[str]) -> None:
-        """Words of Latin letters only, many to a call: each ends with its one token that is marked as a word's end."""
+        """Words of Latin-1 letters only, many to a call: each ends with its one token that is marked as a word's end."""
         for at in range(0, len(words), 1000):
             some = words[at : at + 1000]
             ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
