@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact_dedup, language_id, packing, quality_cnn, secret_scan, token_counts, vector_neardup, warc_zip
+from tideline.llm import exact_dedup, language_id, packing, quality_cnn, secret_scan, token_counts, vector_neardup, warc_zip, weighted_minhash
 from tideline.llm.columns import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -103,3 +103,8 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return packing.packed(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+@_query("op9_minhash_neardup")
+def op9_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
+    return weighted_minhash.classes(table(spark, folder, "documents").select("doc_id", "text"))
