@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact_dedup, language_id, packing, quality_cnn, secret_scan, token_counts, vector_neardup, warc_zip, weighted_minhash
+from tideline.llm import exact_dedup, language_id, packing, quality_cnn, secret_scan, source_mixing, token_counts, vector_neardup, warc_zip, weighted_minhash
 from tideline.llm.columns import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -108,3 +108,43 @@ def op7_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
 @_query("op9_minhash_neardup")
 def op9_minhash_neardup(spark: SparkSession, folder: str) -> DataFrame:
     return weighted_minhash.classes(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+@_query("op1_source_mixing", r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x09-\x0D\x20]+')) AS BIGINT) AS tokens FROM documents
+), t AS (
+  SELECT source, CAST(sum(tokens) AS BIGINT) AS tokens, sum(tokens) / CAST((SELECT sum(tokens) FROM d) AS DOUBLE) AS share FROM d GROUP BY source
+), n AS (
+  SELECT -sum(share * ln(share)) AS own, ln(count(*)) AS alike, max(tokens) AS top, min(tokens) AS low FROM t WHERE tokens > 0
+), b(i, low, high) AS (
+  SELECT 0, CAST(0 AS DOUBLE), CAST(1 AS DOUBLE)
+  UNION ALL
+  SELECT i + 1, CASE WHEN good THEN low ELSE mid END, CASE WHEN good THEN mid ELSE high END FROM (
+    SELECT b.i, b.low, b.high, m.mid,
+      (SELECT ln(sum(share ** m.mid)) - sum(share ** m.mid * m.mid * ln(share)) / sum(share ** m.mid) FROM t WHERE tokens > 0)
+        <= (SELECT own + 0.98 * (alike - own) + 1e-12 FROM n)
+      AND (SELECT (CAST(low AS DOUBLE) / top) ** (m.mid - 1) FROM n) <= 2 + 1e-12 AS good
+    FROM b, (SELECT CASE WHEN i = 0 THEN 0.0 ELSE (low + high) / 2 END AS mid, i AS j FROM b) m WHERE m.j = b.i AND b.i < 41
+  )
+), a AS (SELECT CASE WHEN high = 0 THEN 0 ELSE ceil(high * 1e6) / 1e6 END AS a FROM b ORDER BY i DESC LIMIT 1),
+w AS (
+  SELECT t.*, CASE WHEN tokens > 0 THEN share ** a ELSE 0 END AS power FROM t, a
+), s AS (
+  SELECT source, tokens, CAST(round(power / z * (top * z / p)) AS BIGINT) AS wanted, greatest(1, CAST(ceil(tokens / 262144.0) AS BIGINT)) AS n_blocks
+  FROM w, (SELECT sum(power) AS z, arg_max(power, tokens) AS p, max(tokens) AS top FROM w)
+), q AS (
+  SELECT source, n_blocks, CASE WHEN tokens > 0 THEN wanted // tokens ELSE 1 END AS passes, CASE WHEN tokens > 0 THEN wanted % tokens ELSE 0 END AS rest FROM s
+), e AS (
+  SELECT d.doc_id, d.source, d.tokens, q.passes, q.rest, unnest(range(q.passes + 1)) AS epoch,
+    CAST('0x' || substr(md5('1|' || d.doc_id), 1, 15) AS BIGINT) % q.n_blocks AS block
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+), o AS (
+  SELECT *, CAST('0x' || substr(md5('1|' || coalesce(source, 'null') || '|' || epoch || '|' || block), 1, 15) AS BIGINT) AS block_order,
+    CAST('0x' || substr(md5('1|' || doc_id || '|' || epoch), 1, 15) AS BIGINT) AS doc_order
+  FROM e
+), r AS (SELECT *, sum(tokens) OVER (PARTITION BY source, epoch ORDER BY block_order, doc_order) AS upto FROM o)
+SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch, block, block_order, doc_order FROM r WHERE epoch < passes OR upto <= rest""")
+def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").select("doc_id", "text", "source")
+    return source_mixing.placed(docs).select("doc_id", "source", "tokens", "epoch", "block", "block_order", "doc_order")
