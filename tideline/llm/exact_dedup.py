@@ -175,6 +175,9 @@ def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> Data
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """Rows of ``docs`` that stay, all columns kept. Rows that are no smaller class's copy pass; see the module's text."""
-    dropped = classes(docs, text, doc_id).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[doc_id].cast("bigint").eqNullSafe(dropped["_dropped"]), "left_anti")
+    """Rows of ``docs`` that stay, with their own columns alone."""
+    dropped = classes(docs, text, doc_id).filter(~F.col("kept")).select("doc_id", "text_sha256").distinct()
+    body = F.regexp_replace(F.coalesce(F.col(text).cast("string"), F.lit("")), r"[\x20\x09-\x0D]", "")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("own_id"), F.sha2(body.cast("binary"), 256).alias("digest"))
+    gone = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("digest") == F.col("text_sha256"))
+    return rows.join(dropped, gone, "left_anti").select("row.*")

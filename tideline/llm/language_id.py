@@ -165,11 +165,8 @@ def train(docs: DataFrame, teaches: Column, text: str = "text", lang: str = "lan
     return fit(texts, langs)
 
 
-def with_language(docs: DataFrame, model: Model, text: str = "text", passing: list[str] | None = None) -> DataFrame:
-    """Adds lang_pred, score and lang_accepted to the columns ``passing`` (all by default)."""
+def _predictor(docs: DataFrame, model: Model):
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets times at most MAX_LANGS floats
-    own = ["lang_pred", "score", "lang_accepted"]
-    keep = [c for c in (passing if passing is not None else docs.columns) if c not in own]
 
     @F.pandas_udf("lang_pred string, score double, lang_accepted boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -178,5 +175,18 @@ def with_language(docs: DataFrame, model: Model, text: str = "text", passing: li
             names, scores = known.predict(batch)
             yield pd.DataFrame({"lang_pred": names, "score": scores, "lang_accepted": [n != "und" and s >= known.threshold for n, s in zip(names, scores, strict=True)]})
 
-    found = docs.select(*keep, predict(F.col(text).cast("string")).alias("_found"))
+    return predict
+
+
+def with_language(docs: DataFrame, model: Model, text: str = "text", passing: list[str] | None = None) -> DataFrame:
+    """Adds lang_pred, score and lang_accepted to the columns ``passing`` (all by default)."""
+    own = ["lang_pred", "score", "lang_accepted"]
+    keep = [c for c in (passing if passing is not None else docs.columns) if c not in own]
+    found = docs.select(*keep, _predictor(docs, model)(F.col(text).cast("string")).alias("_found"))
     return found.select(*keep, "_found.lang_pred", "_found.score", "_found.lang_accepted")
+
+
+def accepted(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The rows whose language is known, with their own columns alone."""
+    found = docs.select(F.struct(*docs.columns).alias("row"), _predictor(docs, model)(F.col(text).cast("string")).alias("found"))
+    return found.filter("found.lang_accepted").select("row.*")

@@ -288,7 +288,7 @@ def _sign(shared):
                     bands.append(band_keys(samples(found, weigh(found, counts))))
                 else:
                     bands.append(None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(bands, pa.list_(pa.int64())), batch.column("text_hash")], names=["doc_id", "digest", "bands", "text_hash"])
 
     return sign
 
@@ -313,13 +313,14 @@ def _verify(shared):
 
 
 def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(signatures, links): (doc_id, digest, representative) of each row, and verified (centre, member, similarity) between
+    """(signatures, links): (doc_id, digest, text_hash, representative) of each row, and verified (centre, member, similarity) between
     representatives of different word sequences. Both are written to the shared folder."""
     spark = docs.sparkSession
     folder = scratch_folder(spark, "minhash")
     shared = spark.sparkContext.broadcast(weights(docs, text))
     slim = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    slim.mapInArrow(_sign(shared), "doc_id bigint, digest binary, bands array<bigint>").write.parquet(f"{folder}/signatures")
+    hashed = slim.withColumn("text_hash", F.xxhash64("text"))
+    hashed.mapInArrow(_sign(shared), "doc_id bigint, digest binary, bands array<bigint>, text_hash bigint").write.parquet(f"{folder}/signatures")
     signed = spark.read.parquet(f"{folder}/signatures")
     firsts = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("representative"))
     keys = signed.join(firsts, [signed["digest"] == firsts["digest"], signed["doc_id"] == firsts["representative"]], "left_semi").select("doc_id", F.explode("bands").alias("key")).distinct()
@@ -352,19 +353,25 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold
         if spark.read.parquet(f"{folder}/open-{turn}").groupBy("key").count().filter("count > 1").isEmpty():
             break
     found = spark.read.parquet(*[f"{folder}/compared-{k}" for k in range(turn)]).filter(F.col("similarity") >= threshold)
-    return signed.select("doc_id", "digest").join(firsts, "digest", "left"), found
+    return signed.select("doc_id", "digest", "text_hash").join(firsts, "digest", "left"), found
 
 
-def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
-    """One row per row of ``docs``: doc_id, class_id (smallest id of the class), kept."""
+def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFrame:
     signed, found = links(docs, text, doc_id, threshold)
     united = connected_components(found, "centre", "member").withColumnRenamed("member", "representative")
-    return signed.join(united, "representative", "left").select(
-        "doc_id", F.coalesce("component", "representative", "doc_id").alias("class_id")
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    named = F.coalesce("component", "representative", "doc_id").alias("class_id")
+    return signed.join(united, "representative", "left").select("doc_id", named, "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+
+
+def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (smallest id of the class), kept."""
+    return _classes(docs, text, doc_id, threshold).select("doc_id", "class_id", "kept")
 
 
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
-    """Rows of ``docs`` whose id names its class; all columns kept."""
-    dropped = classes(docs, text, doc_id, threshold).filter(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs[doc_id].cast("bigint").eqNullSafe(dropped["_dropped"]), "left_anti")
+    """Rows of ``docs`` whose id names their class, with their own columns alone."""
+    dropped = _classes(docs, text, doc_id, threshold).filter(~F.col("kept")).select("doc_id", "text_hash").distinct()
+    whole = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(doc_id).cast("bigint").alias("own_id"), F.xxhash64(whole).alias("own_hash"))
+    gone = F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_hash") == F.col("text_hash"))
+    return rows.join(dropped, gone, "left_anti").select("row.*")
