@@ -9,9 +9,10 @@ threshold, the counters double and the pass repeats.
 
 Each text gets ``BANDS`` * ``ROWS`` samples (Ioffe 2010); the samples of a band make a bucket key. Texts with the same words
 are put together first and sampled once. In each bucket every text is compared with one centre, drawn by a hash of text
-and bucket, so that centres differ from band to band; texts whose comparison fails choose a new centre among themselves,
-until none is left, so no bucket is capped and no step emits all pairs of a group. Compared pairs are verified by the
-weighted Jaccard similarity of the whole texts; links are united by ``connected_components``.
+and bucket, so that centres differ from band to band. A text whose comparison fails is compared again: with a centre of
+those that failed in its bucket, and, for each other band, with a centre of the bucket's members that share that band
+too. So work is linear in bucket members times bands, no bucket is capped, and no step emits all pairs of a group.
+Compared pairs are verified by the weighted Jaccard similarity of the whole texts; ``connected_components`` unites links.
 
 Defined results: a text without words (null, empty, punctuation) links with nothing. Rows with equal words are one class
 at any frequency. A null id sorts last and never names a class that has another id. Rows that repeat an id share a class.
@@ -323,36 +324,41 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold
     hashed.mapInArrow(_sign(shared), "doc_id bigint, digest binary, bands array<bigint>, text_hash bigint").write.parquet(f"{folder}/signatures")
     signed = spark.read.parquet(f"{folder}/signatures")
     firsts = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("representative"))
-    keys = signed.join(firsts, [signed["digest"] == firsts["digest"], signed["doc_id"] == firsts["representative"]], "left_semi").select("doc_id", F.explode("bands").alias("key")).distinct()
-    full = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    keys.join(full, "key").select("key", F.col("doc_id").alias("member")).write.parquet(f"{folder}/open-0")
-    wanted = spark.read.parquet(f"{folder}/open-0").select(F.col("member").alias("doc_id")).distinct()
+    once = signed.join(firsts, [signed["digest"] == firsts["digest"], signed["doc_id"] == firsts["representative"]], "left_semi")
+    keys = once.select(F.col("doc_id").alias("member"), F.explode("bands").alias("key")).distinct()
+    draw = F.struct(F.xxhash64("member", "key").alias("draw"), F.col("member").alias("id"))
+    full = keys.groupBy("key").agg(F.min(draw)["id"].alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    keys.join(full, "key").write.parquet(f"{folder}/buckets")
+    buckets = spark.read.parquet(f"{folder}/buckets")
+    wanted = buckets.select(F.col("member").alias("doc_id")).distinct()
     slim.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
-    turn = 0
-    while True:
-        left = spark.read.parquet(f"{folder}/open-{turn}")
-        draw = F.struct(F.xxhash64("member", "key", F.lit(turn)).alias("draw"), F.col("member").alias("id"))
-        centres = left.groupBy("key").agg(F.min(draw)["id"].alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "centre")
-        compared = left.join(centres, "key").filter("member <> centre")
-        pairs = compared.select("centre", "member").distinct()
-        for k in range(turn):  # pairs known from earlier turns, in either direction
-            known = spark.read.parquet(f"{folder}/compared-{k}")
-            pairs = pairs.join(known.select("centre", "member"), ["centre", "member"], "left_anti")
-            pairs = pairs.join(known.select(F.col("member").alias("centre"), F.col("centre").alias("member")), ["centre", "member"], "left_anti")
+
+    def compare(pairs: DataFrame, name: str) -> DataFrame:
         both = (
             pairs.join(texts.select(F.col("doc_id").alias("member"), F.col("text").alias("member_text")), "member")
             .join(texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("centre_text")), "centre")
         )
-        both.select("centre", "member", "centre_text", "member_text").mapInArrow(_verify(shared), "centre bigint, member bigint, similarity double").write.parquet(f"{folder}/compared-{turn}")
-        done = spark.read.parquet(*[f"{folder}/compared-{k}" for k in range(turn + 1)])
-        good = done.filter(F.col("similarity") >= threshold).select("centre", "member")
-        good = good.union(good.select("member", "centre"))
-        compared.join(good, ["centre", "member"], "left_anti").select("key", "member").write.parquet(f"{folder}/open-{turn + 1}")
-        turn += 1
-        if spark.read.parquet(f"{folder}/open-{turn}").groupBy("key").count().filter("count > 1").isEmpty():
-            break
-    found = spark.read.parquet(*[f"{folder}/compared-{k}" for k in range(turn)]).filter(F.col("similarity") >= threshold)
+        schema = "centre bigint, member bigint, similarity double"
+        both.select("centre", "member", "centre_text", "member_text").mapInArrow(_verify(shared), schema).write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    compared = buckets.filter("member <> centre")
+    first = compare(compared.select("centre", "member").distinct(), "compared-by-bucket")
+    good = first.filter(F.col("similarity") >= threshold).select("centre", "member")
+    compared.filter("n > 2").join(good, ["centre", "member"], "left_anti").select("key", "member").write.parquet(f"{folder}/failed")
+    failed = spark.read.parquet(f"{folder}/failed")
+    # Texts that failed meet the members of their bucket that share another band with them, and each other.
+    bands = once.select(F.col("doc_id").alias("member"), F.explode("bands").alias("other"))
+    shared_bands = buckets.select("key", "member").join(failed.select("key").distinct(), "key", "left_semi").join(bands, "member").filter("other <> key")
+    sub_draw = F.struct(F.xxhash64("member", "key", "other").alias("draw"), F.col("member").alias("id"))
+    sub_centres = shared_bands.groupBy("key", "other").agg(F.min(sub_draw)["id"].alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    sub_pairs = failed.join(bands, "member").filter("other <> key").join(sub_centres, ["key", "other"]).select("centre", "member")
+    among = failed.join(failed.groupBy("key").agg(F.min(draw)["id"].alias("centre")), "key").select("centre", "member")
+    ordered = sub_pairs.union(among).filter("member <> centre").select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member")).distinct()
+    known = first.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
+    second = compare(ordered.join(known, ["centre", "member"], "left_anti"), "compared-by-two-bands")
+    found = first.union(second).filter(F.col("similarity") >= threshold)
     return signed.select("doc_id", "digest", "text_hash").join(firsts, "digest", "left"), found
 
 
