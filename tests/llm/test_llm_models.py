@@ -1,0 +1,113 @@
+"""Language, quality and secret models: held-out accuracy, whole texts, defined results for odd rows."""
+
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.llm import language_id, quality_cnn, queries, secret_scan
+from tideline.llm.columns import crc_mod, table
+
+ODD = [(1, None), (2, ""), (3, "   \n"), (4, "123 ... ★"), (5, "the and of the with that"), (5, "the and of the with that"), (None, "und der die das"), (6, "la de que los " * 60_000)]
+
+
+def odd(spark):
+    return spark.createDataFrame([(d, t, "x", "y", 3) for d, t in ODD], "doc_id bigint, text string, score string, lang_pred string, n_assign int")
+
+
+def test_languages_held_out(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents")
+    model = language_id.train(docs, crc_mod("doc_id", 3) != 1)
+    held = language_id.with_language(docs.filter(crc_mod("doc_id", 3) == 1), model)
+    assert held.filter("lang_pred = lang").count() >= 0.98 * held.count() and held.filter("NOT lang_accepted").count() <= 0.01 * held.count()
+    rows = language_id.with_language(odd(spark), model).collect()
+    assert [r["lang_pred"] == "und" and r["score"] == 0 and not r["lang_accepted"] for r in rows] == [True] * 4 + [False] * 4
+    assert rows[4]["lang_pred"] == rows[5]["lang_pred"] == "en" and rows[4]["score"] == rows[5]["score"] and rows[7]["lang_pred"] == "es"
+    assert language_id.accepted(odd(spark), model).columns == odd(spark).columns and language_id.accepted(odd(spark), model).count() == 4
+    assert language_id.with_language(odd(spark).limit(0), model).count() == 0
+
+
+def test_no_labelled_language(spark):
+    model = language_id.train(odd(spark).withColumn("lang", F.lit(None).cast("string")), F.lit(True))
+    assert {r["lang_pred"] for r in language_id.with_language(odd(spark), model).collect()} == {"und"}
+
+
+def test_language_score_does_not_depend_on_batch_or_piece(monkeypatch):
+    texts = ["the cat and the dog " * k for k in (1, 3, 50)] + ["der hund und die katze " * k for k in (1, 3, 50)]
+    model = language_id.fit(texts * 3, (["en"] * 3 + ["de"] * 3) * 3)
+    alone = [model.predict([t])[1][0] for t in texts]
+    assert np.allclose(model.predict(texts)[1], alone)
+    monkeypatch.setattr(language_id, "PIECE", 64)
+    assert np.allclose(model.predict(texts)[1], alone, atol=1e-5)
+
+
+def test_network_gradients_and_chunks():
+    assert len(quality_cnn.chunks_of(b"")) == 1 and len(quality_cnn.chunks_of(b"x" * 256)) == 1 and len(quality_cnn.chunks_of(b"x" * 257)) == 2
+    raw = bytes(range(256)) * 9
+    cut = quality_cnn.chunks_of(raw)
+    seen = b"".join(bytes(c[: quality_cnn.STEP]) for c in cut[:-1]) + bytes(cut[-1])
+    assert seen[: len(raw)] == raw
+    rng = random.Random(2)
+    good = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(50, 900))).encode() for _ in range(150)]
+    bad = ["".join(rng.choice("#*%$ ab") for _ in range(rng.randint(50, 900))).encode() for _ in range(150)]
+    model = quality_cnn.fit(good[:100] + bad[:100], [1] * 100 + [0] * 100)
+    assert model.scores(good[100:]).min() > 0.7 > 0.5 > model.scores(bad[100:]).max()
+    long = good[0] * 2000
+    assert abs(model.scores([long])[0] - model.scores([b"", long, b""])[1]) < 1e-6
+
+
+def test_quality_held_out(spark):
+    docs, labels = table(spark, "/root/testdata/sf0.1", "documents"), table(spark, "/root/testdata/sf0.1", "labels")
+    model = quality_cnn.train(docs, labels, crc_mod("doc_id", 4) != 2)
+    held = quality_cnn.with_quality(docs.join(labels, "doc_id").filter(crc_mod("doc_id", 4) == 2), model).selectExpr("score", "quality", "doc_id").toPandas()
+    rank = held["score"].rank().to_numpy()
+    ones = held["quality"].to_numpy() == 1
+    area = (rank[ones].mean() - (ones.sum() + 1) / 2) / (~ones).sum()
+    assert area > 0.95 and ((held["score"] >= 0.7) == ones).mean() > 0.93
+    rows = quality_cnn.with_quality(odd(spark), model)
+    assert rows.filter("score BETWEEN 0 AND 1").count() == len(ODD) and rows.columns == ["doc_id", "text", "lang_pred", "n_assign", "score"]
+    assert quality_cnn.with_quality(odd(spark).limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("labels, share", [([], 0.5), ([(5, 1)], 1.0), ([(5, None)], 0.5)])
+def test_quality_without_both_labels(spark, labels, share):
+    model = quality_cnn.train(odd(spark), spark.createDataFrame(labels, "doc_id bigint, quality int"), F.lit(True))
+    assert {r["score"] for r in quality_cnn.with_quality(odd(spark), model).collect()} == {share}
+
+
+def plain_base(text):
+    """The contract's patterns by the letter."""
+    assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    found = [(m.start(), 0, m.end(), "assign") for m in assign.finditer(text) if len(m.group(2)) >= 8]
+    found += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", text) if len(m.group()) >= 16]
+    found += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", text) if len(m.group()) >= 32]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(found)]
+
+
+def test_base_spans_by_brute_force():
+    rng = random.Random(4)
+    parts = ["password", "PassWD", "api_key", "apikey", "token", "secret", "=", ":", " ", "  ", '"', "'", "abcdefgh", "abc", "AKIA", "AKIAAKIA", "ABCDEFGHIJKL", "0123456789abcdef" * 2, "deadbeef", "é", "\n", ".", "-", "ſecret"]
+    for _ in range(4000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(1, 14)))
+        assert [f"{secret_scan.KINDS[k]}:{s}:{e}" for s, e, k in secret_scan.base_spans(text)] == plain_base(text), text
+
+
+def test_markov_ratio_separates_held_out_strings():
+    rng = random.Random(8)
+    words = [w for w in re.findall("[a-z]{3,12}", (secret_scan.__doc__ + language_id.__doc__ + quality_cnn.__doc__ + queries.__doc__).lower())]
+    model = secret_scan.fit([" ".join(words)])
+    secrets = secret_scan.random_strings(500, rng)
+    plain = [p for p in secret_scan.ordinary_identifiers(words, 1500, rng) if len(p) >= 16]
+    assert np.mean([model.score(s) > model.threshold for s in secrets]) > 0.97 and np.mean([model.score(p) > model.threshold for p in plain]) < 0.01
+    text = "key ghx8Fk29dLq0ZbT7mNpV4sR1uYw here, token = q9W8e7R6t5Y4u3I2o1P0"
+    kinds = [(secret_scan.KINDS[k], text[s:e]) for s, e, k in model.spans(text)]
+    assert kinds == [("random", "ghx8Fk29dLq0ZbT7mNpV4sR1uYw"), ("assign", "token = q9W8e7R6t5Y4u3I2o1P0")]
+
+
+def test_scan_of_odd_rows(spark):
+    docs = odd(spark).union(spark.createDataFrame([(9, "é password=hunter2hunter2", "", "", 0)], "doc_id bigint, text string, score string, lang_pred string, n_assign int"))
+    rows = secret_scan.scan(docs, secret_scan.train(docs)).collect()
+    assert [r["n_assign"] for r in rows] == [0] * 8 + [1] and rows[8]["spans"] == "assign:2:25" and rows[0]["spans"] == ""
+    assert secret_scan.scan(docs.limit(0), secret_scan.train(docs.limit(0))).count() == 0

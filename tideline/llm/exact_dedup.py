@@ -25,6 +25,7 @@ from tideline.session import scratch_folder
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
 RANGE_BITS = 12
 BUCKET_ENTRIES = 512
+MAX_DEPTH = 20
 HELD_BYTES = 48 << 20
 _ENTRY = pa.schema([("key", pa.int64()), ("range_", pa.int32()), ("doc_id", pa.int64()), ("n_points", pa.int64()), ("n", pa.int64()), ("body", pa.binary())])
 _CLASS = pa.schema([("bucket", pa.string()), ("key", pa.int64()), ("chain", pa.int32()), ("digest", pa.string()), ("keep_id", pa.int64()), ("group_size", pa.int64())])
@@ -39,7 +40,7 @@ def key_of(digest: bytes) -> int:
 class Directory:
     """Extendible hashing over the low bits of a key: 2**depth slots that point to buckets of at most ``capacity`` keys.
 
-    Copies of one key share one chain, so a bucket always can be split until its keys differ in some bit."""
+    Copies of one key share one chain. A bucket whose keys still agree in the low MAX_DEPTH bits grows instead of splitting."""
 
     def __init__(self, capacity: int = BUCKET_ENTRIES):
         self.capacity = capacity
@@ -53,7 +54,7 @@ class Directory:
             found = bucket["chains"].get(key)
             if found is not None:
                 return found
-            if len(bucket["chains"]) < self.capacity or bucket["depth"] >= 63:
+            if len(bucket["chains"]) < self.capacity or bucket["depth"] >= MAX_DEPTH:
                 bucket["chains"][key] = found = []
                 return found
             self._split(bucket)
