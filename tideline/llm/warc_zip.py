@@ -34,6 +34,8 @@ from tideline.session import scratch_folder
 MIN_REVISIT = 100
 PACKAGE_BYTES = 64 << 20
 SPAN_BYTES = 1 << 20
+TASK_BYTES = 16 << 20
+_MANIFEST = "package string, records bigint, size bigint"
 
 # Fixed values of the ZIP format: signatures and the value that sends a reader to the ZIP64 fields.
 END_SIGNATURE = b"PK\x05\x06"
@@ -55,7 +57,7 @@ def _end_of_directory(read: Callable[[int, int], bytes], size: int) -> tuple[int
     """(offset, length, entries) of the central directory. ``read(start, length)`` gives bytes of the file."""
     span = min(size, 22 + FULL_16)
     tail = read(size - span, span)
-    at = tail.rfind(END_SIGNATURE)
+    at = tail.rfind(END_SIGNATURE, 0, max(0, span - 18))
     while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
         at = tail.rfind(END_SIGNATURE, 0, at)
     if at < 0:
@@ -170,13 +172,13 @@ def _writer(folder: str, package_bytes: int) -> Callable[[Iterable[pa.RecordBatc
                         at += len(raw)
                         row = next(rows, None)
                 package.writestr("indexes/records.cdx", "".join(index))
-            yield pa.RecordBatch.from_pydict({"package": [name], "records": pa.array([len(index)], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"package": [name], "records": pa.array([len(index)], pa.int64()), "size": pa.array([at], pa.int64())})
 
     return write
 
 
 def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url: str = "url", html: str = "html", min_revisit: int = MIN_REVISIT, package_bytes: int = PACKAGE_BYTES) -> DataFrame:
-    """Writes packages below ``folder``/packages and returns the manifest (package, records) written beside them."""
+    """Writes packages below ``folder``/packages and returns the manifest (package, records, size) written beside them."""
     rows = pages.select(
         F.col(page_id).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"),
         F.coalesce(F.col(html).cast("string"), F.lit("")).cast("binary").alias("payload"),
@@ -187,8 +189,8 @@ def write_packages(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     )
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first_id")), F.col("first_id"))
     typed = rows.join(firsts, "digest", "left").select("page_id", "url", "payload", "digest", refers.alias("refers_to"))
-    typed.mapInArrow(_writer(f"{folder}/packages", package_bytes), "package string, records bigint").write.mode("overwrite").parquet(f"{folder}/manifest")
-    return pages.sparkSession.read.schema("package string, records bigint").parquet(f"{folder}/manifest")
+    typed.mapInArrow(_writer(f"{folder}/packages", package_bytes), _MANIFEST).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return pages.sparkSession.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
 
 
 def _spans(folder: str, span_bytes: int) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -256,9 +258,10 @@ def _reader(folder: str, with_payload: bool) -> Callable[[Iterable[pa.RecordBatc
 
 def read_packages(spark: SparkSession, folder: str, with_payload: bool = False, span_bytes: int = SPAN_BYTES) -> DataFrame:
     """The records of all packages in the manifest of ``folder``; payloads only on request (null for revisits' bodies)."""
-    manifest = spark.read.schema("package string, records bigint").parquet(f"{folder}/manifest").select("package")
-    spans = manifest.mapInArrow(_spans(f"{folder}/packages", span_bytes), "package string, start bigint, size bigint, records bigint")
-    found = spans.repartition("package", "start").mapInArrow(
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/manifest")
+    tasks = max(1, -(-(manifest.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))  # a fixed number: spans are small rows that stand for much reading
+    spans = manifest.select("package").mapInArrow(_spans(f"{folder}/packages", span_bytes), "package string, start bigint, size bigint, records bigint")
+    found = spans.repartition(tasks, "package", "start").mapInArrow(
         _reader(f"{folder}/packages", with_payload),
         "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, url string, payload binary",
     )
