@@ -28,7 +28,9 @@ SAMPLE_ROWS = 2400
 BUCKETS = 1 << 15
 WIDTH = 16
 EPOCHS = 6
+MIN_STEPS = 6000
 RATE = 0.5
+MOST_REJECTING = 0.4
 MISS = 0.002
 PIECE = 1 << 18
 
@@ -113,8 +115,9 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     held, learn = bags[::5], [b for i, b in enumerate(bags) if i % 5] or bags
     embed = rng.normal(0, 0.05, (BUCKETS, WIDTH)).astype(np.float32)
     weight, bias = np.zeros((WIDTH, len(names)), np.float32), np.zeros(len(names), np.float32)
-    steps, total = 0, EPOCHS * len(learn)
-    for _ in range(EPOCHS):
+    epochs = max(EPOCHS, -(-MIN_STEPS // len(learn)))
+    steps, total = 0, epochs * len(learn)
+    for _ in range(epochs):
         for i in rng.permutation(len(learn)):
             found, share, y = learn[i]
             rate = RATE * (1 - steps / total)
@@ -141,7 +144,7 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
     model.temperature = float(grid[int(np.argmin(losses))])
     p = chances(model.temperature)
     right = p.max(1)[p.argmax(1) == y]
-    model.threshold = float(min(0.5, np.quantile(right, MISS))) if len(right) else 0.0
+    model.threshold = float(min(MOST_REJECTING, np.quantile(right, MISS))) if len(right) else 0.0
     return model
 
 
