@@ -103,7 +103,7 @@ def stacked_elasticity(spark, sf):
 @query("heterogeneity")
 def heterogeneity(spark, sf):
     p = es.with_median_flag(m.panel(spark, sf).filter("sigma_ps > 0"), ["pool"], "sigma_ps")
-    return coefficients(fit(p, es.heterogeneity_specs("volume", "volume", POOLS)), "post", "post_log_sigma", "post_high", "post_night")
+    return coefficients(fit(p, es.heterogeneity_specs("overshoot_bps", "overshoot_bps", POOLS)), "post", "post_log_sigma", "post_high", "post_night")
 
 
 @query("share_lpm")
@@ -426,7 +426,16 @@ def turnbull_summary(spark, sf):
 
 @query("lognormal_interval")
 def lognormal_interval(spark, sf):
-    return rounded(latency.lognormal_fit(_counts(spark, sf), ["regime"], STEP), 4)
+    a = m.arbs(spark, sf).filter(rs.market_triggered(m.MAX_TAU_MS))
+    return rounded(latency.lognormal_fit(a, ["regime"], "tau_lo_ms", "tau_ms"), 4)
+
+
+@query("grid_losses", with_parts(f"""
+    SELECT regime, count(*) AS n, count(*) FILTER (hi <= lo AND lo < {TOP_MS // STEP + 1}) AS within_one_step, count(*) FILTER (hi <= lo AND lo >= {TOP_MS // STEP + 1}) AS beyond_top FROM (
+      SELECT regime, least(greatest(tau_lo_ms, 0) // {STEP} + 1, {TOP_MS // STEP + 1}) AS lo, least(greatest(tau_ms, 0) // {STEP} + 1, {TOP_MS // STEP + 1}) AS hi FROM ar WHERE {CEX}) GROUP BY regime""", "ar"))
+def grid_losses(spark, sf):
+    a = m.arbs(spark, sf).filter(rs.market_triggered(m.MAX_TAU_MS))
+    return latency.grid_losses(a, ["regime"], "tau_lo_ms", "tau_ms", STEP, TOP_MS)
 
 
 @query("fixed_latency_counterfactual", with_parts(f"""
@@ -441,17 +450,25 @@ def fixed_latency_counterfactual(spark, sf):
     return rounded(latency.fixed_latency_counterfactual(mass, ["regime"], F.lit(float(m.DT_POST_MS * 100))))
 
 
-@query("latency_band")
+@query("latency_band", with_parts(f"""
+    , ch(dt_pre, dt_post) AS (VALUES (3.0::DOUBLE, 1.5::DOUBLE), (1.5::DOUBLE, 0.75::DOUBLE), (0.75::DOUBLE, 0.45::DOUBLE)),
+    fl AS (SELECT pool, round(0.3 + avg(sqrt(tau_ms / 1000.0::DOUBLE)) / 20, 6) AS ell FROM ar WHERE {CEX} GROUP BY pool)
+    SELECT pool, ell, round(avg(x), 6) AS ell_mean, round(min(x), 6) AS ell_min, round(max(x), 6) AS ell_max, bool_or(x <= 0.0001 OR x >= 5) AS at_edge FROM (
+      SELECT pool, ell, list_reduce(list_prepend(0.0001::DOUBLE, [5.0::DOUBLE / 2 ** i FOR i IN range(1, 50)]),
+        lambda x, w: CASE WHEN ((((x + w + dt_post) ** 1.5 - (x + w) ** 1.5) / dt_post / (((x + w + dt_pre) ** 1.5 - (x + w) ** 1.5) / dt_pre)) ** 2 * dt_pre - dt_post)
+          / (1 - (((x + w + dt_post) ** 1.5 - (x + w) ** 1.5) / dt_post / (((x + w + dt_pre) ** 1.5 - (x + w) ** 1.5) / dt_pre)) ** 2) < ell THEN x + w ELSE x END) AS x
+      FROM fl, ch) GROUP BY pool, ell""", "ar"))
 def latency_band(spark, sf):
     a = m.arbs(spark, sf).filter(rs.market_triggered(m.MAX_TAU_MS))
-    target = a.groupBy("pool").agg((F.avg(F.sqrt(F.col("tau_ms") / 1000.0)) / 60).alias("target"))
-    return rounded(latency.latency_band(target, 450.0))
+    floors = a.groupBy("pool").agg(F.round(0.3 + F.avg(F.sqrt(F.col("tau_ms") / 1000.0)) / 20, 6).alias("ell"))
+    changes = spark.createDataFrame([(3.0, 1.5), (1.5, 0.75), (0.75, 0.45)], "dt_pre double, dt_post double")
+    return rounded(latency.latency_band(floors, changes, ["pool"]))
 
 
 @query("bootstrap_quantile_se")
 def bootstrap_quantile_se(spark, sf):
     a = m.arbs(spark, sf).filter(rs.market_triggered(m.MAX_TAU_MS))
-    return rounded(latency.bootstrap_intercept_se(a, ["regime"], ["block", "log_index"], interval_ms(), 0.5, draws=100))
+    return rounded(latency.bootstrap_intercept_se(a, ["regime"], interval_ms(), 0.5))
 
 
 @query("estimate_comparison")

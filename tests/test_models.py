@@ -126,10 +126,47 @@ def test_lognormal_recovers_truth(spark):
     ell = np.exp(rng.normal(math.log(300), 0.4, 4_000))
     u = rng.uniform(0, 750, 4_000)
     df = spark.createDataFrame([("x", int(max(t - 750, 0)), int(t)) for t in ell + u], "g string, lo_ms bigint, hi_ms bigint")
-    r = latency.lognormal_fit(latency.counted_intervals(df, ["g"], "lo_ms", "hi_ms"), ["g"]).first()
+    r = latency.lognormal_fit(df, ["g"], "lo_ms", "hi_ms").first()
     assert r.median_ms == pytest.approx(300, rel=0.08) and r.sigma == pytest.approx(0.4, rel=0.25)
 
 
+def test_lognormal_keeps_rows_that_no_grid_point_represents(spark):
+    pairs = [(101, 109), (12_000, 30_000), (50, 500), (0, 40), (300, 900), (305, 306), (20_000, 20_001)] * 30
+    df = spark.createDataFrame([("x", a, b) for a, b in pairs], "g string, lo_ms bigint, hi_ms bigint")
+    r = latency.lognormal_fit(df, ["g"], "lo_ms", "hi_ms").first()
+    left, right = np.array(pairs, float).T
+
+    def loss(mu, s):
+        cdf = lambda x: 0.5 * (1 + math.erf((math.log(x) - mu) / s / math.sqrt(2))) if x > 0 else 0.0
+        return -sum(math.log(max(cdf(b) - cdf(a), 1e-300)) for a, b in pairs)
+
+    mu, s = math.log(r.median_ms), r.sigma
+    assert r.n == len(pairs) and r.converged and all(loss(mu, s) <= loss(mu + d, s * e) + 1e-6 for d in (-0.01, 0, 0.01) for e in (0.99, 1, 1.01))
+    lost = latency.grid_losses(df, ["g"], "lo_ms", "hi_ms").first()
+    assert (lost.n, lost.within_one_step, lost.beyond_top) == (210, 60, 60)
+
+
+def test_turnbull_meets_the_optimality_conditions(spark):
+    rng = np.random.default_rng(4)
+    rows = [("x", int(a), int(a + w)) for a, w in zip(rng.integers(0, 700, 300), rng.integers(5, 300, 300))]
+    counts = latency.counted_intervals(spark.createDataFrame(rows, "g string, lo_ms bigint, hi_ms bigint"), ["g"], "lo_ms", "hi_ms", 10, 1_200)
+    pdf = counts.toPandas()
+    out = latency.turnbull(counts, ["g"], 10, 1_200).orderBy("grid_ms").toPandas()
+    mass = out["mass"].to_numpy()
+    covers = np.array([[l <= k < h for k in range(len(mass))] for l, h in zip(pdf["lo"], pdf["hi"])], float)
+    gradient = (pdf["n"].to_numpy() / (covers @ mass)) @ covers
+    assert out["converged"].all() and mass.sum() == pytest.approx(1) and gradient.max() <= pdf["n"].sum() * (1 + 1e-5)
+
+
+def test_latency_band_inverts_the_law(spark):
+    changes = spark.createDataFrame([(1.5, 0.75)], "dt_pre double, dt_post double")
+    mean = lambda x, dt: np.sqrt(x + np.linspace(0, dt, 200_001)).mean()
+    r = (mean(0.4, 0.75) / mean(0.4, 1.5)) ** 2
+    ell = float((r * 1.5 - 0.75) / (1 - r))
+    rows = {x.name: x for x in latency.latency_band(spark.createDataFrame([("a", ell), ("b", 60.0)], "name string, ell double"), changes, ["name"]).collect()}
+    assert rows["a"].ell_mean == pytest.approx(0.4, abs=1e-3) and not rows["a"].at_edge and rows["b"].at_edge
+
+
 def test_fixed_latency_gives_no_latency_change(spark):
     # latency fixed at 300 ms, waiting uniform over the interval
     n, dt0, dt1 = 4_000, 750, 450
@@ -147,7 +184,7 @@ def test_fixed_latency_gives_no_latency_change(spark):
 def test_bootstrap_error_is_reasonable(spark):
     rng = np.random.default_rng(3)
     df = spark.createDataFrame([("x", i, int(v)) for i, v in enumerate(rng.uniform(0, 1000, 900))], "g string, id bigint, tau_ms bigint")
-    r = latency.bootstrap_intercept_se(df, ["g"], ["id"], F.lit(100.0), 0.5, draws=150).first()
+    r = latency.bootstrap_intercept_se(df, ["g"], F.lit(100.0), 0.5, draws=150).first()
     assert r.draws == 150 and 8 < r.se < 30  # theory: 1000 * sqrt(0.25 / 900) = 16.7
 
 

@@ -173,7 +173,7 @@ def response_times(spark: SparkSession, study: Study, exclusions: DataFrame | No
         f"response_stats_{tag}": stats,
         f"turnbull_{tag}": masses,
         f"turnbull_summary_{tag}": latency.mass_summary(masses, by, study.interval_ms()),
-        f"lognormal_{tag}": latency.lognormal_fit(counts, by, study.grid_step_ms),
+        f"lognormal_{tag}": latency.lognormal_fit(inside.filter(rs.market_triggered(study.max_tau_ms)), by, "tau_lo_ms", "tau_ms"),
         f"implied_effects_{tag}": rs.implied_effects(stats, ["pool"]),
         f"counterfactual_{tag}": latency.fixed_latency_counterfactual(masses.filter("regime = 'pre'"), ["pool"], F.lit(float(study.dt_post_ms))),
         f"concentration_{tag}": rs.sender_concentration(strict, by, study.min_arbs),

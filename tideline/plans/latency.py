@@ -13,41 +13,79 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 GRID_STEP_MS, GRID_TOP_MS = 10, 10_000
-ITERATIONS = 300
+ROUNDS = 20_000
+GAP = 1e-6
+_SQRT2, _SQRT_TAU = math.sqrt(2), math.sqrt(2 * math.pi)
+_erfc = np.frompyfunc(math.erfc, 1, 1)
 
 
-def counted_intervals(arbs: DataFrame, by: list[str], lower: str, upper: str, step: int = GRID_STEP_MS, top: int = GRID_TOP_MS) -> DataFrame:
-    """(by..., lo, hi, n): grid points in (lower, upper] run from position lo to hi - 1."""
+def _placed(arbs: DataFrame, by: list[str], lower: str, upper: str, step: int, top: int) -> DataFrame:
     points = top // step + 1
     beyond = lambda c: F.least(F.floor(F.greatest(c, F.lit(0)) / F.lit(step)) + 1, F.lit(points)).cast("int")
-    placed = arbs.select(*by, beyond(F.col(lower)).alias("lo"), beyond(F.col(upper)).alias("hi"))
-    return placed.filter("hi > lo").groupBy(*by, "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+    return arbs.select(*by, beyond(F.col(lower)).alias("lo"), beyond(F.col(upper)).alias("hi"))
+
+
+def counted_intervals(arbs: DataFrame, by: list[str], lower: str, upper: str, step: int = GRID_STEP_MS, top: int = GRID_TOP_MS) -> DataFrame:
+    """(by..., lo, hi, n): grid points in (lower, upper] run from position lo to hi - 1. Intervals without a grid point
+    can't carry mass on the grid; :func:`grid_losses` counts them."""
+    return _placed(arbs, by, lower, upper, step, top).filter("hi > lo").groupBy(*by, "lo", "hi").agg(F.count(F.lit(1)).alias("n"))
+
+
+def grid_losses(arbs: DataFrame, by: list[str], lower: str, upper: str, step: int = GRID_STEP_MS, top: int = GRID_TOP_MS) -> DataFrame:
+    """(by..., n, within_one_step, beyond_top): openings, and how many of them no grid point can represent, by reason."""
+    points = top // step + 1
+    empty = F.col("hi") <= F.col("lo")
+    return _placed(arbs, by, lower, upper, step, top).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), F.sum((empty & (F.col("lo") < points)).cast("bigint")).alias("within_one_step"),
+        F.sum((empty & (F.col("lo") >= points)).cast("bigint")).alias("beyond_top"),
+    )
 
 
-def turnbull(counts: DataFrame, by: list[str], step: int = GRID_STEP_MS, top: int = GRID_TOP_MS, iterations: int = ITERATIONS) -> DataFrame:
-    """(by..., grid_ms, mass): non-parametric maximum likelihood by self-consistency on counted intervals."""
+def innermost(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Turnbull's sets: stretches that begin where some interval begins, end where some interval ends, and hold neither
+    in between. The maximum likelihood estimate has no mass elsewhere, and its likelihood only knows their totals."""
+    begins, ends = np.unique(lo), np.unique(hi)
+    first_end = ends[np.searchsorted(ends, begins, side="right")]
+    last_begin = begins[np.searchsorted(begins, first_end, side="left") - 1]
+    keep = last_begin == begins
+    return begins[keep], first_end[keep]
+
+
+def maximum_likelihood(lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+    """(begin, end, mass, converged) of the innermost sets.
+
+    With A the 0/1 matrix of which interval covers which set, p its chances and N the number of rows, g = A'(n / Ap) is the
+    gradient of the log-likelihood. p * g / N raises the likelihood (expectation-maximisation on sets), and since the
+    likelihood is concave over chances that sum to 1, no other choice can exceed the present one by more than
+    max(g) - N: that bound is the stop."""
+    begin, end = innermost(lo, hi)
+    covers = ((lo[:, None] <= begin) & (end <= hi[:, None])).astype(float)
+    total, mass = n.sum(), np.full(len(begin), 1.0 / len(begin))
+    for _ in range(ROUNDS):
+        gradient = (n / (covers @ mass)) @ covers
+        if gradient.max() - total <= GAP * total:
+            return begin, end, mass, True
+        mass = mass * gradient / total
+        mass /= mass.sum()
+    return begin, end, mass, False
+
+
+def turnbull(counts: DataFrame, by: list[str], step: int = GRID_STEP_MS, top: int = GRID_TOP_MS) -> DataFrame:
+    """(by..., grid_ms, mass, converged): non-parametric maximum likelihood, each set's mass spread evenly over its points."""
     points = top // step + 1
 
     def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi, n = pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["n"].to_numpy(dtype=float)
-        mass = np.full(points, 1.0 / points)
-        for _ in range(iterations):
-            reach = np.append(0.0, np.cumsum(mass))
-            pull = n / np.maximum(reach[hi] - reach[lo], 1e-300)
-            edges = np.bincount(lo, pull, points + 1) - np.bincount(hi, pull, points + 1)
-            updated = mass * np.cumsum(edges)[:points] / n.sum()
-            updated /= updated.sum()
-            moved = np.abs(updated - mass).max()
-            mass = updated
-            if moved < 1e-10:
-                break
-        out = pd.DataFrame({"grid_ms": np.arange(points, dtype=np.int64) * step, "mass": mass})
+        begin, end, mass, converged = maximum_likelihood(pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["n"].to_numpy(dtype=float))
+        grid = np.zeros(points)
+        for b, e, x in zip(begin, end, mass, strict=True):
+            grid[b:e] = x / (e - b)
+        out = pd.DataFrame({"grid_ms": np.arange(points, dtype=np.int64) * step, "mass": grid, "converged": converged})
         for c in reversed(by):
             out.insert(0, c, pdf[c].iloc[0])
         return out
 
     keys = ", ".join(f"{name} {kind}" for name, kind in counts.select(*by).dtypes)
-    return counts.groupBy(*by).applyInPandas(estimate, f"{keys}, grid_ms bigint, mass double")
+    return counts.groupBy(*by).applyInPandas(estimate, f"{keys}, grid_ms bigint, mass double, converged boolean")
 
 
 def mass_summary(masses: DataFrame, by: list[str], dt_ms: Column) -> DataFrame:
@@ -74,65 +112,115 @@ def fixed_latency_counterfactual(masses: DataFrame, by: list[str], dt_ms: Column
     )
 
 
-def lognormal_fit(counts: DataFrame, by: list[str], step: int = GRID_STEP_MS, rounds: int = 12) -> DataFrame:
-    """(by..., median_ms, sigma, mean_ms): log-normal fitted to the counted intervals by a shrinking grid search."""
+def _between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Standard normal chance of (low, high], taken from the tail that both ends share so that small chances keep digits."""
+    flip = low > 0
+    a, b = np.where(flip, -high, low), np.where(flip, -low, high)
+    return 0.5 * (_erfc(-b / _SQRT2) - _erfc(-a / _SQRT2)).astype(float)
+
+
+def fit_lognormal(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[float, float, bool]:
+    """(mu, sigma, converged) of ln latency for counted intervals (left, right] in milliseconds.
+
+    Scoring steps on (mu, ln sigma): with z the standardised log ends, the chance of an interval has the derivatives
+    (phi(z_left) - phi(z_right)) / sigma and z_left phi(z_left) - z_right phi(z_right); the outer products of the resulting scores
+    stand for the information. A step is halved until the likelihood rises. Intervals are at least 1 ms wide."""
+    left = np.maximum(left, 0.0)
+    right = np.maximum(right, left + 1.0)
+    low, high = np.where(left > 0, np.log(np.where(left > 0, left, 1.0)), -np.inf), np.log(right)
+    middle = np.log((left + right) / 2)
+    theta = np.array([np.average(middle, weights=n), 0.0])
+    theta[1] = 0.5 * math.log(max(np.average((middle - theta[0]) ** 2, weights=n), 0.01))
+
+    def state(at: np.ndarray) -> tuple[float, np.ndarray]:
+        s = math.exp(at[1])
+        z0, z1 = (low - at[0]) / s, (high - at[0]) / s
+        chance = np.maximum(_between(z0, z1), 1e-300)
+        f0, f1 = np.exp(-z0 * z0 / 2) / _SQRT_TAU, np.exp(-z1 * z1 / 2) / _SQRT_TAU
+        scores = np.stack([(f0 - f1) / s, np.where(np.isinf(z0), 0.0, np.where(np.isinf(z0), 0.0, z0) * f0) - z1 * f1], 1) / chance[:, None]
+        return float((n * np.log(chance)).sum()), scores
+
+    value, scores = state(theta)
+    for _ in range(200):
+        gradient, information = n @ scores, (scores * n[:, None]).T @ scores
+        move = np.linalg.solve(information + 1e-9 * np.trace(information) * np.eye(2) + 1e-12 * np.eye(2), gradient)
+        if abs(gradient @ move) < 1e-9 * max(1.0, n.sum()):
+            return float(theta[0]), math.exp(theta[1]), True
+        size = min(1.0, 2.0 / np.abs(move).max())
+        while size > 1e-6:
+            tried, following = state(theta + size * move)
+            if tried >= value:
+                break
+            size /= 2
+        else:
+            return float(theta[0]), math.exp(theta[1]), False
+        theta, value, scores = theta + size * move, tried, following
+    return float(theta[0]), math.exp(theta[1]), False
+
+
+def lognormal_fit(arbs: DataFrame, by: list[str], lower: str, upper: str) -> DataFrame:
+    """(by..., median_ms, sigma, mean_ms, n, converged): log-normal fitted to all intervals as they are, without a grid.
+
+    Spark counts equal intervals first; ends are whole milliseconds, so a group's table has few rows."""
+    pairs = arbs.groupBy(*by, F.col(lower).cast("double").alias("_l"), F.col(upper).cast("double").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
 
     def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = (pdf["lo"].to_numpy(dtype=float) - 1) * step
-        right = np.maximum((pdf["hi"].to_numpy(dtype=float) - 1) * step, left + 1.0)
-        n = pdf["n"].to_numpy(dtype=float)
-        log_l, log_r = np.log(np.maximum(left, 1e-9)), np.log(right)
-        erf = np.vectorize(math.erf, otypes=[float])
-
-        def loss(mu, s):
-            cdf = lambda x: 0.5 * (1 + erf((x - mu) / (s * math.sqrt(2))))
-            inside = cdf(log_r) - np.where(left > 0, cdf(log_l), 0.0)
-            return -(n * np.log(np.maximum(inside, 1e-300))).sum()
-
-        mu, ls = math.log(max(np.average(right, weights=n), 1.0)), 0.0
-        span_mu, span_ls = 3.0, 2.0
-        for _ in range(rounds):
-            tried = [(loss(a, math.exp(b)), a, b) for a in np.linspace(mu - span_mu, mu + span_mu, 9) for b in np.linspace(ls - span_ls, ls + span_ls, 9)]
-            _, mu, ls = min(tried)
-            span_mu, span_ls = span_mu * 0.45, span_ls * 0.45
-        s = math.exp(ls)
-        row = {**{c: pdf[c].iloc[0] for c in by}, "median_ms": math.exp(mu), "sigma": s, "mean_ms": math.exp(mu + s * s / 2)}
+        n = pdf["_n"].to_numpy(dtype=float)
+        mu, sigma, converged = fit_lognormal(pdf["_l"].to_numpy(), pdf["_r"].to_numpy(), n)
+        row = {**{c: pdf[c].iloc[0] for c in by}, "median_ms": math.exp(mu), "sigma": sigma, "mean_ms": math.exp(mu + sigma * sigma / 2), "n": int(n.sum()), "converged": converged}
         return pd.DataFrame([row])
 
-    keys = ", ".join(f"{name} {kind}" for name, kind in counts.select(*by).dtypes)
-    return counts.groupBy(*by).applyInPandas(estimate, f"{keys}, median_ms double, sigma double, mean_ms double")
+    keys = ", ".join(f"{name} {kind}" for name, kind in arbs.select(*by).dtypes)
+    return pairs.groupBy(*by).applyInPandas(estimate, f"{keys}, median_ms double, sigma double, mean_ms double, n bigint, converged boolean")
+
 
+def latency_band(floors: DataFrame, changes: DataFrame, by: list[str], low_s: float = 1e-4, high_s: float = 5.0, halvings: int = 60) -> DataFrame:
+    """Mechanical latencies that a fitted ``ell`` (seconds) stands for, over changes of the interval (dt_pre, dt_post seconds).
 
-def latency_band(floors: DataFrame, dt_ms: float, steps: int = 200, points: int = 2_001, top_ms: float = 2_000.0) -> DataFrame:
-    """The mechanical latency whose mean root response time equals that of a fitted latency: sqrt(dt/2... ) inverted.
+    With a latency x and a wait even over dt the mean root response time is m(x, dt) = 2/(3 dt) ((x + dt)^1.5 - x^1.5). The law
+    under which ``ell`` was fitted has ((dt_post + ell) / (dt_pre + ell))^0.5 for the ratio of these means, so x implies
+    ell = (r dt_pre - dt_post) / (1 - r) with r the squared ratio. That grows with x and is inverted by bisection in each row.
+    Returns (by..., ell, ell_mean, ell_min, ell_max, at_edge); at_edge tells that some answer lies outside [low_s, high_s]."""
+    each = floors.join(F.broadcast(changes.select("dt_pre", "dt_post").limit(1000)))  # a table of the study's few changes
 
-    ``floors``: target (mean root response time in root seconds). Grid search inside each row, no cross join."""
-    width = top_ms / (points - 1)
-    u = [(i + 0.5) / steps * dt_ms for i in range(steps)]
-    offsets = F.array(*[F.lit(x) for x in u])
-    mean_root = lambda ell: F.aggregate(offsets, F.lit(0.0), lambda acc, x: acc + F.sqrt((ell + x) / 1000.0)) / steps
-    grid = F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: F.struct(F.abs(mean_root(i * F.lit(width)) - F.col("target")).alias("gap"), (i * F.lit(width)).alias("ell_ms")))
-    return floors.withColumn("ell_ms", F.array_min(grid)["ell_ms"])
+    def implied(x: Column) -> Column:
+        mean = lambda dt: (F.pow(x + dt, F.lit(1.5)) - F.pow(x, F.lit(1.5))) / dt
+        ratio = F.pow(mean(F.col("dt_post")) / mean(F.col("dt_pre")), F.lit(2.0))
+        return (ratio * F.col("dt_pre") - F.col("dt_post")) / (1 - ratio)
 
+    def halve(s: Column, _: Column) -> Column:
+        mid = (s["low"] + s["high"]) / 2
+        below = implied(mid) < F.col("ell")
+        return F.struct(F.when(below, mid).otherwise(s["low"]).alias("low"), F.when(below, s["high"]).otherwise(mid).alias("high"))
 
-def bootstrap_intercept_se(arbs: DataFrame, by: list[str], key: list[str], dt_ms: Column, q: float, draws: int = 300, seed: int = 0) -> DataFrame:
+    bounds = F.struct(F.lit(low_s).alias("low"), F.lit(high_s).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(halvings)), bounds, halve)
+    edge = (implied(F.lit(low_s)) > F.col("ell")) | (implied(F.lit(high_s)) < F.col("ell"))
+    solved = each.select(*by, "ell", ((found["low"] + found["high"]) / 2).alias("_x"), edge.alias("_edge"))
+    return solved.groupBy(*by, "ell").agg(F.avg("_x").alias("ell_mean"), F.min("_x").alias("ell_min"), F.max("_x").alias("ell_max"), F.max("_edge").alias("at_edge"))
+
+
+def bootstrap_intercept_se(arbs: DataFrame, by: list[str], dt_ms: Column, q: float, draws: int = 300, seed: int = 0) -> DataFrame:
     """Spread of a latency intercept over Poisson bootstrap draws.
 
-    Response times are whole milliseconds below a cap, so rows are first counted per (group, value): each draw gives a
-    value the sum of its rows' Poisson(1) weights, and the draw's quantile comes from that short table."""
-    weight = _poisson(F.xxhash64(F.lit(seed), F.col("_draw"), *[F.col(c) for c in key]))
-    drawn = arbs.withColumn("_dt", dt_ms).select(*by, *key, "tau_ms", "_dt", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
-    counted = drawn.groupBy(*by, "_draw", "tau_ms").agg(F.sum(weight).alias("_w"), F.max("_dt").alias("_dt")).filter("_w > 0")
-    each = counted.groupBy(*by, "_draw").agg(F.percentile(F.col("tau_ms").cast("double"), F.lit(q), F.col("_w")).alias("_v"), F.max("_dt").alias("_dt"))
+    Rows are counted per (group, value) before anything is drawn: the weight of a value in a draw is the sum of its rows'
+    Poisson(1) weights, that is Poisson(n). What is expanded by draws is the short table of whole-millisecond values."""
+    counted = arbs.withColumn("_dt", dt_ms).groupBy(*by, "tau_ms").agg(F.count(F.lit(1)).alias("_n"), F.max("_dt").alias("_dt"))
+    drawn = counted.select("*", F.explode(F.sequence(F.lit(1), F.lit(draws))).alias("_draw"))
+    uniform = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "_draw", "tau_ms", *by), F.lit(1 << 40)) + 0.5) / F.lit(float(1 << 40))
+    weighed = drawn.withColumn("_w", _poisson(F.col("_n"), uniform(1), uniform(2))).filter("_w > 0")
+    each = weighed.groupBy(*by, "_draw").agg(F.percentile(F.col("tau_ms").cast("double"), F.lit(q), F.col("_w")).alias("_v"), F.max("_dt").alias("_dt"))
     return each.groupBy(*by).agg(F.stddev_pop(F.col("_v") - q * F.col("_dt")).alias("se"), F.count(F.lit(1)).alias("draws"))
 
 
-def _poisson(hashed: Column) -> Column:
-    """Poisson(1) counts from a uniform hash by inversion."""
-    uniform = F.pmod(hashed, F.lit(1 << 40)) / F.lit(float(1 << 40))
-    value, upto, mass = F.lit(0), 0.0, math.exp(-1)
-    for k in range(12):
-        upto += mass
-        value = value + F.when(uniform >= upto, 1).otherwise(0)
-        mass /= k + 1
-    return value.cast("bigint")
+def _poisson(mean: Column, first: Column, second: Column) -> Column:
+    """Poisson draws: by inversion up to a mean of 20, by a rounded normal (Box-Muller) beyond."""
+
+    def step(s: Column, k: Column) -> Column:
+        mass = s["mass"] * mean / k
+        return F.struct((s["value"] + F.when(first >= s["upto"], 1).otherwise(0)).alias("value"), (s["upto"] + mass).alias("upto"), mass.alias("mass"))
+
+    start = F.struct(F.lit(0).alias("value"), F.exp(-mean.cast("double")).alias("upto"), F.exp(-mean.cast("double")).alias("mass"))
+    small = F.aggregate(F.sequence(F.lit(1), F.lit(60)), start, step)["value"]
+    normal = F.sqrt(-2 * F.log(first)) * F.cos(2 * math.pi * second)
+    return F.when(mean <= 20, small).otherwise(F.greatest(F.lit(0), F.round(mean + F.sqrt(mean) * normal))).cast("bigint")
