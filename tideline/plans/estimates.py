@@ -119,11 +119,19 @@ def with_median_flag(panel: DataFrame, by: list[str], column: str, bounded: bool
     return j.withColumn("high", F.col(column) > F.col("_median")).withColumn("log_demeaned", F.ln(column) - F.col("_mean")).drop("_median", "_mean")
 
 
-def heterogeneity_specs(name: str, outcome: str, pools: list[str]) -> list[Spec]:
-    """Does the effect vary with volatility or with the hours 1-8? Needs ``high`` and ``log_demeaned``."""
-    base = panel_spec(name, outcome, pools)
-    extra = {"post_log_sigma": "post * log_demeaned", "post_high": "post * CAST(high AS INT)", "post_night": "post * (CASE WHEN hod BETWEEN 1 AND 8 THEN 1 ELSE 0 END)"}
-    return [base.variant(name=f"{name}|{k}", terms={**base.terms, k: v}) for k, v in extra.items()]
+def heterogeneity_specs(name: str, outcome: str, pools: list[str], controls: str = "sigma+L+vol+trend") -> list[Spec]:
+    """Does the effect vary with volatility or with the hours 1-8? Needs ``high`` and ``log_demeaned``.
+
+    Each interaction comes with its main effect: ln volatility is a term already, hours have effects of their own, and
+    ``high`` is added, so that a level difference between calm and volatile hours can't pass for an interaction."""
+    base = panel_spec(name, outcome, pools, controls)
+    high = "CAST(high AS INT)"
+    extra = {
+        "post_log_sigma": {"post_log_sigma": "post * log_demeaned"},
+        "post_high": {"post_high": f"post * {high}", "high": high},
+        "post_night": {"post_night": "post * (CASE WHEN hod BETWEEN 1 AND 8 THEN 1 ELSE 0 END)"},
+    }
+    return [base.variant(name=f"{name}|{k}", terms={**base.terms, **more}) for k, more in extra.items()]
 
 
 def share_spec(name: str, outcome: str, days: float, min_n: int = 5) -> Spec:
