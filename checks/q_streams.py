@@ -98,8 +98,8 @@ def stream_prev_state(spark, sf):
 @query("stream_asof", with_parts("SELECT s.event_type AS pool, s.event_id AS log_index, t.price AS p_cex FROM ev s ASOF LEFT JOIN tk t ON s.ts_ms >= t.ts_ms", "tk"))
 def stream_asof(spark, sf):
     folder = scratch_folder(spark, "asof")
-    read = lambda s, first, last: m.ticks(s, sf).filter(F.col("ts_ms").between(first, last))
-    cr.run_as_of(event_stream(spark, sf), read, f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    read = lambda s, first, last: m.ticks(s, sf).filter((F.col("ts_ms") <= last) & (F.lit(first is None) | (F.col("ts_ms") >= F.lit(first or 0))))
+    cr.run_as_of(event_stream(spark, sf), read, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("pool", "log_index", "p_cex")
 
 

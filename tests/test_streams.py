@@ -55,8 +55,9 @@ def test_change_point_across_batches(spark, tmp_path):
     schema = layout(number="bigint", milli_ts="bigint")
     stream = deliver(spark, str(tmp_path), [blocks[i : i + 70] for i in range(0, 400, 70)], schema)
     cr.run_carried(stream, cr.change_point_step(1.125), f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination()
-    first = spark.read.parquet(f"{tmp_path}/out").agg(F.min("change_block")).first()[0]
-    assert first == change_point(with_intervals(spark.createDataFrame(blocks, schema)), 1.125).first().change_block == 200
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select("coarse_block", "change_block").collect()]
+    batch = change_point(with_intervals(spark.createDataFrame(blocks, schema)), 1.125).first()
+    assert got == [(batch.coarse_block, batch.change_block)] and batch.change_block == 200
 
 
 def test_late_rows_and_repeats(spark, tmp_path):
@@ -85,8 +86,8 @@ def test_as_of_per_batch(spark, tmp_path):
     ticks = spark.createDataFrame([("s", t * 90_000, float(t)) for t in range(300)], "symbol string, ts_ms bigint, price double")
     batches = [[swap(i) for i in range(a, a + 50)] for a in (0, 50, 100)]
     stream = deliver(spark, str(tmp_path), batches, SWAPS)
-    read = lambda s, a, b: ticks.filter(F.col("ts_ms").between(a, b))
-    cr.run_as_of(stream, read, f"{tmp_path}/out", f"{tmp_path}/cp").awaitTermination()
+    read = lambda s, a, b: ticks.filter(F.col("ts_ms") <= b) if a is None else ticks.filter(F.col("ts_ms").between(a, b))
+    cr.run_as_of(stream, read, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination()
     got = {r.log_index: r.p_cex for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     whole = as_of(spark.createDataFrame(sum(batches, []), SWAPS), ticks, ["symbol"], F.col("ts_ms"), "ts_ms", {"p": "price"})
     assert got == {r.log_index: r.p for r in whole.collect()}

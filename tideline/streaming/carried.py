@@ -58,34 +58,45 @@ def previous_state_step(names: dict[str, str], keys: list[str] = ("pool",), orde
 def change_point_step(threshold: float) -> Step:
     """Change point over a stream of blocks: a block is judged once the 60 intervals after it have arrived.
 
-    The carried table keeps the last 61 blocks, so a window that spans batches is complete."""
+    The carried table keeps the last 71 blocks, so a window that spans batches is complete, and whether the change has been
+    found: it is emitted once."""
 
     def step(batch: DataFrame, carried: DataFrame | None):
         columns = ["number", "milli_ts"]
+        known = carried is not None and not carried.filter("found").isEmpty()
         rows = batch.select(*columns) if carried is None else batch.select(*columns).unionByName(carried.select(*columns))
-        found = change_point(with_intervals(rows), threshold).filter("coarse_block IS NOT NULL")
+        found = change_point(with_intervals(rows), threshold).filter(F.lit(not known) & F.col("coarse_block").isNotNull())
         newest = rows.agg(F.max("number").alias("_top"))
         tail = rows.crossJoin(F.broadcast(newest)).filter(F.col("number") > F.col("_top") - (FORWARD_WINDOW + 11)).select(*columns)
-        return found, tail
+        return found, tail.withColumn("found", F.lit(known or not found.isEmpty()))
 
     return step
 
 
-def run_as_of(swaps: DataFrame, read_ticks: Callable[[SparkSession, int, int], DataFrame], output: str, checkpoint: str, lookback_ms: int = 86_400_000) -> StreamingQuery:
-    """Attaches the reference to every micro-batch from the tick store.
+def run_as_of(swaps: DataFrame, read_ticks: Callable[[SparkSession, int | None, int], DataFrame], output: str, state: str, checkpoint: str) -> StreamingQuery:
+    """Attaches the reference to every micro-batch from the tick store, however old the last tick is.
 
-    ``read_ticks(spark, first_ms, last_ms)`` returns symbol, ts_ms, price and prunes partitions; it must be complete up
-    to the newest swap of the batch."""
+    ``read_ticks(spark, first_ms, last_ms)`` returns symbol, ts_ms, price and prunes partitions (``first_ms`` None: from the
+    beginning); it must be complete up to the newest swap of the batch. The carried table holds, per symbol, the last tick
+    at or before the earliest swap of the batch before; a batch with swaps older than that reads from the beginning."""
 
     def on_batch(batch: DataFrame, number: int) -> None:
-        kept = batch.persist()
+        spark, kept = batch.sparkSession, batch.persist()
         try:
             low, high = kept.agg(F.min("ts_ms"), F.max("ts_ms")).first()
+            carried = spark.read.parquet(f"{state}/batch={number - 1}") if number > 0 else None
+            since = carried.agg(F.max("since_ms")).first()[0] if carried is not None else None
             if low is None:
-                return
-            ticks = read_ticks(kept.sparkSession, low - lookback_ms, high)
+                low = high = since if since is not None else 0
+            if since is None or low < since:
+                ticks = read_ticks(spark, None, high).select("symbol", "ts_ms", "price")
+            else:
+                ticks = read_ticks(spark, since + 1, high).select("symbol", "ts_ms", "price").unionByName(carried.filter("symbol IS NOT NULL").select("symbol", "ts_ms", "price"))
             out = as_of(kept, ticks, ["symbol"], F.col("ts_ms"), "ts_ms", {"p_cex": "price"})
             out.write.mode("overwrite").parquet(f"{output}/batch={number}")
+            latest = ticks.filter(F.col("ts_ms") <= low).groupBy("symbol").agg(F.max_by("price", "ts_ms").alias("price"), F.max("ts_ms").alias("ts_ms"))
+            marker = spark.range(1).select(F.lit(None).cast("string").alias("symbol"), F.lit(None).cast("double").alias("price"), F.lit(None).cast("bigint").alias("ts_ms"))
+            latest.unionByName(marker).withColumn("since_ms", F.lit(low)).write.mode("overwrite").parquet(f"{state}/batch={number}")
         finally:
             kept.unpersist()
 
