@@ -117,7 +117,9 @@ def time_grid(spans: DataFrame, keys: list[str], start: str, stop: str, step_ms:
     days = spans.select(
         *keys, first.alias("_s"), F.col(stop).alias("_e"), F.explode(F.sequence(first, F.col(stop), F.lit(chunk))).alias("_d")
     )
-    return days.select(
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A given number of partitions: days are few bytes that stand for many rows, and would be merged into one task.
+    return days.repartition(parts, *keys, "_d").select(
         *keys,
         F.explode(
             F.sequence(F.col("_d"), F.least(F.col("_e"), F.col("_d") + F.lit(chunk - step_ms)), F.lit(step_ms))

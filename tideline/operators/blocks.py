@@ -75,7 +75,9 @@ def number_spine(spans: DataFrame, keys: list[str], start: str, stop: str) -> Da
     chunks = spans.select(
         *keys, F.col(stop).alias("_e"), F.explode(F.sequence(F.col(start), F.col(stop), F.lit(RANGE))).alias("_s")
     )
-    return chunks.select(
+    parts = int(spans.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # A given number of partitions: chunks are few bytes that stand for many rows, and would be merged into one task.
+    return chunks.repartition(parts, *keys, "_s").select(
         *keys, F.explode(F.sequence("_s", F.least(F.col("_e"), F.col("_s") + F.lit(RANGE - 1)))).alias("number")
     )
 
