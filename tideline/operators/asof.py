@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tideline.operators.ordered import HOUR_MS, carry_forward
-from tideline.session import is_bounded
 
 _Q, _SIDE = "_q", "_side"
 
@@ -23,13 +22,11 @@ def as_of(
     right_time: str,
     values: dict[str, str],
     width: int = HOUR_MS,
-    bounded: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Left rows plus ``values`` (new column -> right column) as of ``query_time``; NULL before the first right row.
 
     ``right`` has at most one row per (keys, right_time): collapse it with ``last_per_bucket`` first."""
-    if bounded is None:
-        bounded = is_bounded(left, right)
     payload = F.struct(*[F.col(c) for c in left.columns])
     queries = left.select(*keys, query_time.cast("bigint").alias(_Q), F.lit(1).alias(_SIDE), payload.alias("_row"))
     answers = F.struct(*[F.col(src).alias(new) for new, src in values.items()])
@@ -49,14 +46,12 @@ def as_of_many(
     queries: dict[str, tuple[Column, str]],
     right_time: str,
     width: int = HOUR_MS,
-    bounded: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Several query times per row in one pass: ``queries`` maps new column -> (query time, right column).
 
     Each left row becomes one slim query per time (the full row travels once), all are answered by a single
     carried-forward pass and folded back on ``row_key``."""
-    if bounded is None:
-        bounded = is_bounded(left, right)
     tags = list(queries)
     payload = F.struct(*[F.col(c) for c in left.columns])
     slim = left.select(
@@ -90,7 +85,7 @@ def as_of_many(
     )
 
 
-def cross_rate(base: DataFrame, quote: DataFrame, keys: list[str], time: str, price: str, bounded=None) -> DataFrame:
+def cross_rate(base: DataFrame, quote: DataFrame, keys: list[str], time: str, price: str, bounded=False) -> DataFrame:
     """Price of base over quote on the union of both legs' timestamps, each leg as of that time; both must exist."""
     legs = base.select(*keys, time, F.col(price).alias("_base")).unionByName(
         quote.select(*keys, time, F.col(price).alias("_quote")), allowMissingColumns=True
@@ -128,7 +123,7 @@ def time_grid(spans: DataFrame, keys: list[str], start: str, stop: str, step_ms:
 
 
 def grid_join(
-    spans: DataFrame, series: dict[str, tuple[DataFrame, str]], keys: list[str], time: str, step_ms: int, bounded=None
+    spans: DataFrame, series: dict[str, tuple[DataFrame, str]], keys: list[str], time: str, step_ms: int, bounded=False
 ) -> DataFrame:
     """Complete grid per key with each series (name -> (frame, value column)) carried forward on it.
 

@@ -25,7 +25,7 @@ def one_per_number(blocks: DataFrame, extra: list[str] = ()) -> DataFrame:
     )
 
 
-def with_intervals(blocks: DataFrame, keys: list[str] = (), bounded: bool | None = None) -> DataFrame:
+def with_intervals(blocks: DataFrame, keys: list[str] = (), bounded: bool = False) -> DataFrame:
     """Seconds since the previous block, only where the previous number is present."""
     keyed = blocks if keys else blocks.withColumn("_chain", F.lit(0))
     out = previous_row(
@@ -82,7 +82,7 @@ def number_spine(spans: DataFrame, keys: list[str], start: str, stop: str) -> Da
     )
 
 
-def fill_timestamps(anchors: DataFrame, change_block: int, pre_ms: int, post_ms: int, bounded=None) -> DataFrame:
+def fill_timestamps(anchors: DataFrame, change_block: int, pre_ms: int, post_ms: int, bounded=False) -> DataFrame:
     """Timestamps of every block between the first and last anchor: last anchor plus the scheduled time since it."""
     keyed = anchors.select(F.lit(0).alias("_chain"), "number", "milli_ts")
     span = keyed.groupBy("_chain").agg(F.min("number").alias("_s"), F.max("number").alias("_e"))
@@ -97,7 +97,7 @@ def fill_timestamps(anchors: DataFrame, change_block: int, pre_ms: int, post_ms:
     )
 
 
-def irregular_spans(anchors: DataFrame, change_block: int, pre_ms: int, post_ms: int, bounded=None) -> DataFrame:
+def irregular_spans(anchors: DataFrame, change_block: int, pre_ms: int, post_ms: int, bounded=False) -> DataFrame:
     """Neighbouring anchors whose elapsed time is off schedule: (start, stop, excess_ms, too_fast)."""
     keyed = anchors.select(F.lit(0).alias("_chain"), "number", "milli_ts")
     pairs = next_row(keyed, ["_chain"], ["number"], {"stop": "number", "_t": "milli_ts"}, width=RANGE, bounded=bounded)

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tideline.operators.ordered import HOUR_MS, next_row, previous_row, running_total
 
 
-def episodes(df: DataFrame, keys: list[str], order: list[str], outside: Column, width: int = HOUR_MS, bounded=None) -> DataFrame:
+def episodes(df: DataFrame, keys: list[str], order: list[str], outside: Column, width: int = HOUR_MS, bounded=False) -> DataFrame:
     """Maximal runs of rows where ``outside`` holds: one row per run with its length and ends."""
     flagged = df.select(*keys, *order, F.coalesce(outside, F.lit(False)).alias("_out"))
     stepped = previous_row(flagged, keys, order, {"_before": "_out"}, width=width, bounded=bounded)
@@ -18,7 +18,7 @@ def episodes(df: DataFrame, keys: list[str], order: list[str], outside: Column,
     )
 
 
-def coverage_gaps(done: DataFrame, keys: list[str], first: int | str, last: int | str, bounded=None) -> DataFrame:
+def coverage_gaps(done: DataFrame, keys: list[str], first: int | str, last: int | str, bounded=False) -> DataFrame:
     """Sub-ranges of [first, last] not covered by the (overlapping, unsorted) ranges in ``done`` (start, stop).
 
     ``first`` and ``last`` are numbers or columns that are constant per key."""
@@ -39,18 +39,16 @@ def coverage_gaps(done: DataFrame, keys: list[str], first: int | str, last: int
     )
 
 
-def running_maximum(df: DataFrame, keys: list[str], order: list[str], names: dict[str, str], width: int = 1_000_000, bounded=None) -> DataFrame:
+def running_maximum(df: DataFrame, keys: list[str], order: list[str], names: dict[str, str], width: int = 1_000_000, bounded=False) -> DataFrame:
     """Inclusive running maximum; slices carry the maximum of all earlier slices."""
     from pyspark.sql import Window
 
     from tideline.operators.ordered import _sliced
-    from tideline.operators.slices import MAX_ROWS, SLICE
-    from tideline.session import is_bounded
-
-    if is_bounded(df) if bounded is None else bounded:
+    from tideline.operators.slices import SLICE
+    if bounded:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.max(src).over(window).alias(new) for new, src in names.items()])
-    cut = _sliced(df, keys, order, width, MAX_ROWS)
+    cut = _sliced(df, keys, order, width, None)
     inside = Window.partitionBy(*keys, *SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     across = Window.partitionBy(*keys).orderBy(*SLICE).rowsBetween(Window.unboundedPreceding, -1)
     carry = cut.groupBy(*keys, *SLICE).agg(*[F.max(src).alias(f"_t_{new}") for new, src in names.items()])
@@ -62,13 +60,13 @@ def running_maximum(df: DataFrame, keys: list[str], order: list[str], names: dic
     return joined.drop(*[f"_c_{new}" for new in names], *SLICE)
 
 
-def log_returns(df: DataFrame, keys: list[str], order: list[str], price: str, width: int = HOUR_MS, bounded=None) -> DataFrame:
+def log_returns(df: DataFrame, keys: list[str], order: list[str], price: str, width: int = HOUR_MS, bounded=False) -> DataFrame:
     """ln of each price over the previous one; the first row of a key has none."""
     stepped = previous_row(df, keys, order, {"_p": price}, width=width, bounded=bounded)
     return stepped.withColumn("log_return", F.ln(price) - F.ln("_p")).drop("_p")
 
 
-def half_life(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = HOUR_MS, bounded=None) -> DataFrame:
+def half_life(df: DataFrame, keys: list[str], order: list[str], value: str, width: int = HOUR_MS, bounded=False) -> DataFrame:
     """ln(0.5)/ln(rho) with rho = sample covariance of (previous, current) over the population variance of previous."""
     stepped = previous_row(df, keys, order, {"_x": value}, width=width, bounded=bounded).filter(F.col("_x").isNotNull())
     fit = stepped.groupBy(*keys).agg(

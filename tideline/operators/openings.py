@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from tideline.functions.pricing import BAND_MULTIPLIERS, band_high, band_low, jump_bps, overshoot_bps
 from tideline.operators.asof import as_of
 from tideline.operators.ordered import HOUR_MS, carry_backward, next_row
-from tideline.session import is_bounded
 
 
 def suffix(multiplier: float) -> str:
@@ -28,14 +27,12 @@ def last_inside_band(
     max_search_ms: int,
     multipliers: tuple[float, ...] = BAND_MULTIPLIERS,
     row_key: tuple[str, ...] = ("block", "log_index"),
-    bounded: bool | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Per arbitrage and band: the tick after the last inside tick in the search range, and the range's first tick.
 
     ``arbs``: pool, row_key, ts_ms, prev_ts_ms, p_pre, fee_rate. ``ticks``: symbol, ts_ms (unique), price.
     ``pool_symbols``: pool, symbol (a dimension table). Only arbitrages with ticks in range appear in the result."""
-    if bounded is None:
-        bounded = is_bounded(arbs, ticks)
     following = next_row(ticks, ["symbol"], ["ts_ms"], {"next_ts": "ts_ms", "next_price": "price"}, bounded=bounded)
     last_tick = F.coalesce("next_ts", "ts_ms"), F.coalesce("next_price", "price")
     offered = following.join(pool_symbols.select("pool", "symbol"), "symbol").select(
@@ -130,7 +127,7 @@ def classify_openings(
     return out.drop("first_ts", "first_price", *crossings, *extra)
 
 
-def blocks_waited(opened: DataFrame, blocks: DataFrame, bounded: bool | None = None) -> DataFrame:
+def blocks_waited(opened: DataFrame, blocks: DataFrame, bounded: bool = False) -> DataFrame:
     """Adds k_blocks (blocks in (t_open, t_block]) and tau_lo_ms (previous block's time minus t_open).
 
     ``blocks`` is the complete table (number, milli_ts), so a block's own position is its number."""

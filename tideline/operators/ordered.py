@@ -1,21 +1,22 @@
 """Order-dependent columns (previous row, carried-forward value, running totals) without one task per key.
 
-Each operator has two plans with the same result: one window per key when the whole input is provably small, and
-window-per-slice plus a carry table (one row per slice) otherwise. ``bounded`` forces either.
+Windows run per slice (a key's rows in a fixed span of the order column), and a carry table with one row per slice takes
+state from slice to slice. Nothing is counted beforehand: a span holds what arrives in it, however long the history. Where
+one span of one key may itself be too much, ``max_rows`` cuts fuller spans again at quantiles, at the price of one count.
+``bounded`` asks for one window per key instead; it is for callers that know their keys to be small by construction.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideline.operators.slices import MAX_ROWS, SLICE, as_struct, hot_edges, with_slices
-from tideline.session import is_bounded
+from tideline.operators.slices import SLICE, as_struct, hot_edges, with_slices
 
 HOUR_MS = 3_600_000
 
 
 def _sliced(df, keys, order, width, max_rows):
-    return with_slices(df, keys, order[0], width, hot_edges(df, keys, order[0], width, max_rows))
+    return with_slices(df, keys, order[0], width, None if max_rows is None else hot_edges(df, keys, order[0], width, max_rows))
 
 
 def _spread(df: DataFrame, source: str, names: dict[str, str]) -> DataFrame:
@@ -28,14 +29,14 @@ def previous_row(
     order: list[str],
     names: dict[str, str],
     width: int = HOUR_MS,
-    max_rows: int = MAX_ROWS,
-    bounded: bool | None = None,
+    max_rows: int | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Adds columns of the preceding row of the key: ``names`` maps new column -> source column.
 
     ``order[0]`` must be numeric (it defines the slices); further columns break ties."""
     cols = sorted(set(names.values()))
-    if is_bounded(df) if bounded is None else bounded:
+    if bounded:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lag(old).over(window).alias(new) for new, old in names.items()])
     cut = _sliced(df, keys, order, width, max_rows)
@@ -48,10 +49,10 @@ def previous_row(
     return _spread(joined.drop("_sl_carry", *SLICE), "_sl_prev", names)
 
 
-def next_row(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bounded=None) -> DataFrame:
+def next_row(df, keys, order, names, width=HOUR_MS, max_rows=None, bounded=False) -> DataFrame:
     """Adds columns of the following row of the key; the mirror image of :func:`previous_row`."""
     cols = sorted(set(names.values()))
-    if is_bounded(df) if bounded is None else bounded:
+    if bounded:
         window = Window.partitionBy(*keys).orderBy(*order)
         return df.select("*", *[F.lead(old).over(window).alias(new) for new, old in names.items()])
     cut = _sliced(df, keys, order, width, max_rows)
@@ -64,9 +65,9 @@ def next_row(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bounded=N
     return _spread(joined.drop("_sl_carry", *SLICE), "_sl_next", names)
 
 
-def carry_forward(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bounded=None) -> DataFrame:
+def carry_forward(df, keys, order, names, width=HOUR_MS, max_rows=None, bounded=False) -> DataFrame:
     """Adds, per row, the last non-null value at or before it: ``names`` maps new column -> source column."""
-    if is_bounded(df) if bounded is None else bounded:
+    if bounded:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.last(old, ignorenulls=True).over(window).alias(new) for new, old in names.items()])
     cut = _sliced(df, keys, order, width, max_rows)
@@ -87,13 +88,13 @@ def carry_forward(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, boun
     return joined.drop(*[f"_c_{new}" for new in names], *SLICE)
 
 
-def carry_backward(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bounded=None) -> DataFrame:
+def carry_backward(df, keys, order, names, width=HOUR_MS, max_rows=None, bounded=False) -> DataFrame:
     """Adds, per row, the first non-null value at or after it.
 
     Windows run in descending order: a frame that grows from its start costs one step per row, while one that runs to
     the end of the group is recomputed for every row."""
     down = [F.col(c).desc() for c in order]
-    if is_bounded(df) if bounded is None else bounded:
+    if bounded:
         window = Window.partitionBy(*keys).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.last(old, ignorenulls=True).over(window).alias(new) for new, old in names.items()])
     cut = _sliced(df, keys, order, width, max_rows)
@@ -114,10 +115,10 @@ def carry_backward(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bou
     return joined.drop(*[f"_c_{new}" for new in names], *SLICE)
 
 
-def running_total(df, keys, order, names, width=HOUR_MS, max_rows=MAX_ROWS, bounded=None) -> DataFrame:
+def running_total(df, keys, order, names, width=HOUR_MS, max_rows=None, bounded=False) -> DataFrame:
     """Adds inclusive running sums: ``names`` maps new column -> column or expression to add up."""
     exprs: dict[str, Column] = {new: (F.col(src) if isinstance(src, str) else src) for new, src in names.items()}
-    if is_bounded(df) if bounded is None else bounded:
+    if bounded:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(expr).over(window).alias(new) for new, expr in exprs.items()])
     cut = _sliced(df, keys, order, width, max_rows)

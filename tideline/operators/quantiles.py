@@ -3,7 +3,7 @@
 Values are first counted per (group, value), which is an even shuffle and removes ties. Groups are then narrowed in
 two steps of value bins (logarithmic, then linear inside the bin): the bin counts locate the bin holding each wanted
 rank, and only the values of those bins are ordered. ``summarise`` folds quantiles and ordinary aggregates together;
-when the input is provably small it uses Spark's own exact ``percentile`` in the same aggregation.
+``bounded`` asks for Spark's own exact ``percentile`` in the same aggregation, for groups small by construction.
 """
 
 from __future__ import annotations
@@ -12,7 +12,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideline.session import is_bounded
 
 PER_OCTAVE = 64
 OFFSET = 70_000
@@ -38,8 +37,9 @@ def _bins(value: Column) -> tuple[Column, Column]:
 
 def _locate(counts: DataFrame, wanted: DataFrame, group: list[str], by: str) -> DataFrame:
     """For every wanted rank (``_rank`` within ``group``) the ``by`` value whose run of counts covers it."""
+    asked = counts.join(wanted.select(*group).distinct(), group, "left_semi")  # only bins that hold a wanted rank are ordered
     window = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    running = counts.withColumn("_upto", F.sum("_n").over(window))
+    running = asked.withColumn("_upto", F.sum("_n").over(window))
     hit = wanted.join(running, group, "inner").filter(
         (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
     )
@@ -98,12 +98,12 @@ def exact_quantiles(df: DataFrame, by: list[str], wanted: list[Quantile]) -> Dat
 
 
 def summarise(
-    df: DataFrame, by: list[str], aggs: list[Column], quantiles: list[Quantile], bounded: bool | None = None
+    df: DataFrame, by: list[str], aggs: list[Column], quantiles: list[Quantile], bounded: bool = False
 ) -> DataFrame:
     """One row per group with ordinary aggregates and exact quantiles."""
     if not quantiles:
         return df.groupBy(*by).agg(*aggs)
-    if is_bounded(df) if bounded is None else bounded:
+    if bounded:
         return df.groupBy(*by).agg(
             *aggs, *[F.percentile(item.value.cast("double"), F.lit(item.q)).alias(item.name) for item in quantiles]
         )

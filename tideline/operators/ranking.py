@@ -79,12 +79,6 @@ def quantile_bins(df: DataFrame, by: list[str], value: str, pieces: int, name: s
     from tideline.operators.quantiles import Quantile, summarise
 
     edges = summarise(df, by, [], [Quantile(f"_e{i}", F.col(value), i / pieces) for i in range(1, pieces)])
-    joined = df.join(F.broadcast(edges) if _few(df) else edges, by, "left")
+    joined = df.join(edges, by, "left")
     position = sum((F.when(F.col(value) > F.col(f"_e{i}"), 1).otherwise(0) for i in range(1, pieces)), F.lit(0))
     return joined.withColumn(name, position).drop(*[f"_e{i}" for i in range(1, pieces)])
-
-
-def _few(df: DataFrame) -> bool:
-    from tideline.session import is_bounded
-
-    return is_bounded(df)

@@ -36,13 +36,13 @@ def with_block_time(swaps: DataFrame, blocks: DataFrame) -> DataFrame:
     return joined.withColumn("ts_ms", F.coalesce("milli_ts", seconds).cast("bigint")).drop("milli_ts").filter("ts_ms IS NOT NULL")
 
 
-def with_previous_price(swaps: DataFrame, bounded: bool | None = None) -> DataFrame:
+def with_previous_price(swaps: DataFrame, bounded: bool = False) -> DataFrame:
     return previous_row(swaps, ["pool"], ORDER, {"p_pre": "p_post"}, width=BLOCK_SLICE, bounded=bounded)
 
 
 def with_references(
     swaps: DataFrame, ticks: DataFrame, candles: DataFrame | None, lag_ms: int = 0, candle_age_ms: int = 1000,
-    horizons_ms: dict[str, int] | None = None, bounded: bool | None = None,
+    horizons_ms: dict[str, int] | None = None, bounded: bool = False,
 ) -> DataFrame:
     """Reference prices as of the swap (minus ``lag_ms``) and of later horizons, all in one carried-forward pass.
 
@@ -59,7 +59,7 @@ def with_references(
     return as_of(out, candles, ["symbol"], at, "ts_ms", {"p_cex_1s": "close"}, bounded=bounded)
 
 
-def with_candle_reference(swaps: DataFrame, candles: DataFrame, horizons_ms: dict[str, int] | None = None, bounded=None) -> DataFrame:
+def with_candle_reference(swaps: DataFrame, candles: DataFrame, horizons_ms: dict[str, int] | None = None, bounded=False) -> DataFrame:
     """Reference from completed candles only: close of the last candle that ended before the swap."""
     horizons = {"5": 5_000, "30": 30_000} if horizons_ms is None else horizons_ms
     queries: dict[str, tuple[Column, str]] = {"p_cex": (F.col("ts_ms") - F.lit(1000), "close")}
@@ -70,7 +70,7 @@ def with_candle_reference(swaps: DataFrame, candles: DataFrame, horizons_ms: dic
 
 def enriched(
     swaps: DataFrame, ticks: DataFrame, candles: DataFrame | None = None, lag_ms: int = 0, candle_age_ms: int = 1000,
-    horizons_ms: dict[str, int] | None = None, bounded: bool | None = None,
+    horizons_ms: dict[str, int] | None = None, bounded: bool = False,
 ) -> DataFrame:
     """Aligned swaps with all metrics; swaps without a previous price or a reference are dropped.
 

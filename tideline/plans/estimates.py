@@ -109,7 +109,7 @@ def stacked_spec(name: str, outcome: str, groups: list[str], pools: list[str], c
     return Spec(name, f"ln({outcome})", terms, effects, "concat(change, ':', day)", positive([outcome, "sigma_ps", "liq_mean", "volume"]), wald=pairs)
 
 
-def with_median_flag(panel: DataFrame, by: list[str], column: str, bounded: bool | None = None) -> DataFrame:
+def with_median_flag(panel: DataFrame, by: list[str], column: str, bounded: bool = False) -> DataFrame:
     """Adds ``high`` (above the group's median) and ``log_demeaned`` (log minus the overall mean log).
 
     Both statistics are aggregates joined back, not windows over a group."""
@@ -336,7 +336,7 @@ def levels_two_references(first: DataFrame, second: DataFrame, by: list[str], co
     return j.withColumn("ratio", ratio("second", F.nullif("first", F.lit(0.0))))
 
 
-def descriptives(panel: DataFrame, bounded: bool | None = None) -> DataFrame:
+def descriptives(panel: DataFrame, bounded: bool = False) -> DataFrame:
     """Level statistics per pool and regime, with volatility-adjusted overshoot."""
     t = summarise(
         panel, ["pool", "post"],

@@ -35,7 +35,7 @@ def wallet_pairs(arbs: DataFrame) -> DataFrame:
     return arbs.filter("tx_from IS NOT NULL").groupBy("sender", "tx_from").agg(F.count(F.lit(1)).alias("n"))
 
 
-def contract_table(arbs: DataFrame, public_wallets: int, public_median: float, bounded: bool | None = None) -> DataFrame:
+def contract_table(arbs: DataFrame, public_wallets: int, public_median: float, bounded: bool = False) -> DataFrame:
     """Per sender with known wallets: arbitrages, distinct wallets, median per wallet, top shares, pools, direct share,
     and whether it is a public router or rotates its wallets."""
     pairs = wallet_pairs(arbs)
@@ -113,7 +113,7 @@ def flow_class() -> Column:
     return F.when(~F.col("via_public"), "bot contracts").when(persistent, "router, persistent wallet").otherwise("router, one-off wallet")
 
 
-def flow_profiles(arbs: DataFrame, max_tau_ms: int, bounded: bool | None = None) -> DataFrame:
+def flow_profiles(arbs: DataFrame, max_tau_ms: int, bounded: bool = False) -> DataFrame:
     """Share, wallets, sizes, overshoot, trigger mix and speed of bot flow and the two kinds of router flow."""
     d = arbs.withColumn("flow", flow_class())
     cex = market_triggered(max_tau_ms)
@@ -129,7 +129,7 @@ def flow_profiles(arbs: DataFrame, max_tau_ms: int, bounded: bool | None = None)
     return t.join(per_wallet, "flow", "left").crossJoin(F.broadcast(total)).withColumn("share", F.col("n") / F.col("_all")).drop("_all")
 
 
-def wallet_rotation(arbs: DataFrame, by: list[str], active: int = 20, bounded: bool | None = None) -> DataFrame:
+def wallet_rotation(arbs: DataFrame, by: list[str], active: int = 20, bounded: bool = False) -> DataFrame:
     """Share of arbitrages by contracts with many wallets, wallets of the five largest, median wallets of active ones."""
     per = arbs.groupBy(*by, "sender").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tx_from").alias("wallets"))
     t = summarise(
@@ -144,7 +144,7 @@ def wallet_rotation(arbs: DataFrame, by: list[str], active: int = 20, bounded: b
     return t.join(listed.select(*by, F.array_join("_w", " / ").alias("top5_wallets")), by)
 
 
-def gas_position(arbs: DataFrame, by: list[str], bounded: bool | None = None) -> DataFrame:
+def gas_position(arbs: DataFrame, by: list[str], bounded: bool = False) -> DataFrame:
     """Gas price, gas used, block position and cost against gain; cost in units of the native price column."""
     d = arbs.filter("gas_price_wei > 0").withColumn("_g", F.col("gas_price_wei") / 1e9)
     cost = F.col("_g") * F.col("gas_used") / 1e9 * F.col("native_price")
@@ -160,7 +160,7 @@ def gas_position(arbs: DataFrame, by: list[str], bounded: bool | None = None) ->
     return t.join(high, by)
 
 
-def router_robustness(arbs: DataFrame, by: list[str], dt_ms: Column, max_tau_ms: int, bounded: bool | None = None) -> DataFrame:
+def router_robustness(arbs: DataFrame, by: list[str], dt_ms: Column, max_tau_ms: int, bounded: bool = False) -> DataFrame:
     """Latency intercepts and first-block shares of all market-triggered flow and of bot flow only."""
     cex = market_triggered(max_tau_ms)
     bots = cex & ~F.col("via_public")
@@ -174,7 +174,7 @@ def router_robustness(arbs: DataFrame, by: list[str], dt_ms: Column, max_tau_ms:
     return t.select(*by, "router_share_all", "router_share_cex", *net, "p_first_all", "p_first_bots")
 
 
-def operator_points(arbs: DataFrame, dt_ms: Column, max_tau_ms: int, min_cex: int, bounded: bool | None = None) -> DataFrame:
+def operator_points(arbs: DataFrame, dt_ms: Column, max_tau_ms: int, min_cex: int, bounded: bool = False) -> DataFrame:
     """Operators with enough market-triggered arbitrages per regime: contracts, wallets, steady wallets, speed, gas."""
     named = arbs.filter(F.col("operator") != ANONYMOUS).withColumn("_dt", dt_ms)
     cex = market_triggered(max_tau_ms)

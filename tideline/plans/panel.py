@@ -26,7 +26,7 @@ def ratio(a, b) -> Column:
     return F.try_divide(F.col(a) if isinstance(a, str) else a, F.col(b) if isinstance(b, str) else b)
 
 
-def minute_prices(swaps: DataFrame, bounded: bool | None = None) -> DataFrame:
+def minute_prices(swaps: DataFrame, bounded: bool = False) -> DataFrame:
     """Last reference price of each minute per pool, carried over empty minutes."""
     minute = clock.floor_ms(F.col("ts_ms"), clock.MINUTE_MS)
     last = swaps.groupBy("pool", minute.alias("minute_ms")).agg(F.max_by("p_cex", F.struct("block", "log_index")).alias("_p"))
@@ -36,7 +36,7 @@ def minute_prices(swaps: DataFrame, bounded: bool | None = None) -> DataFrame:
     return carry_forward(joined, ["pool"], ["minute_ms"], {"p_cex": "_p"}, width=clock.DAY_MS, bounded=bounded).drop("_p")
 
 
-def realised_vol(swaps: DataFrame, bounded: bool | None = None) -> DataFrame:
+def realised_vol(swaps: DataFrame, bounded: bool = False) -> DataFrame:
     """(pool, hour_ms, rv, sigma_ps): squared one-minute log returns per hour, volatility per root second."""
     returns = log_returns(minute_prices(swaps, bounded), ["pool"], ["minute_ms"], "p_cex", width=clock.DAY_MS, bounded=bounded)
     hour = clock.floor_ms(F.col("minute_ms"), clock.HOUR_MS)
@@ -46,7 +46,7 @@ def realised_vol(swaps: DataFrame, bounded: bool | None = None) -> DataFrame:
     return rv.withColumn("sigma_ps", F.sqrt(F.col("rv") / 3600.0))
 
 
-def hourly_panel(swaps: DataFrame, change_ms: int, dt_pre: float, dt_post: float, bounded: bool | None = None) -> DataFrame:
+def hourly_panel(swaps: DataFrame, change_ms: int, dt_pre: float, dt_post: float, bounded: bool = False) -> DataFrame:
     """One row per pool and hour, hours without swaps included (zero sums, NULL means)."""
     hour = clock.floor_ms(F.col("ts_ms"), clock.HOUR_MS)
     gap = F.abs(ratio("p_cex_1s", "p_cex") - 1.0)

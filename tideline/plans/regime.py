@@ -13,7 +13,7 @@ from tideline.plans.panel import ratio, total, when
 BPS = 1e4
 
 
-def price_series(swaps: DataFrame, candles: DataFrame, step_ms: int, bounded: bool | None = None) -> DataFrame:
+def price_series(swaps: DataFrame, candles: DataFrame, step_ms: int, bounded: bool = False) -> DataFrame:
     """Pool price and reference on a complete time grid per pool, both carried forward; dev = pool/reference - 1.
 
     ``candles``: pool, ts_ms, close (the reference series attached to each pool)."""
@@ -24,7 +24,7 @@ def price_series(swaps: DataFrame, candles: DataFrame, step_ms: int, bounded: bo
     return grid.withColumn("dev", ratio("p_pool", "p_cex") - 1.0)
 
 
-def series_statistics(series: DataFrame, fees: DataFrame, change_ms: int, step_ms: int, bounded: bool | None = None) -> DataFrame:
+def series_statistics(series: DataFrame, fees: DataFrame, change_ms: int, step_ms: int, bounded: bool = False) -> DataFrame:
     """Deviation, persistence and volatility of the gridded series per pool and regime."""
     tagged = series.withColumn("regime", F.when(F.col("ts_ms") < change_ms, "pre").otherwise("post")).join(fees, "pool")
     keys, order = ["pool", "regime"], ["ts_ms"]
@@ -49,7 +49,7 @@ def series_statistics(series: DataFrame, fees: DataFrame, change_ms: int, step_m
     return out
 
 
-def swap_statistics(swaps: DataFrame, change_block: int, bounded: bool | None = None) -> DataFrame:
+def swap_statistics(swaps: DataFrame, change_block: int, bounded: bool = False) -> DataFrame:
     """Sums behind the regime table, per pool and regime."""
     gap = ratio("p_cex_1s", "p_cex") - 1.0
     tagged = swaps.withColumn("regime", F.when(F.col("block") < change_block, "pre").otherwise("post"))

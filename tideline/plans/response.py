@@ -38,7 +38,7 @@ def share(test: Column, of: Column | None = None) -> Column:
     return F.avg(flag if of is None else F.when(of, flag))
 
 
-def response_stats(arbs: DataFrame, by: list[str], dt_ms: Column, max_tau_ms: int, bounded: bool | None = None) -> DataFrame:
+def response_stats(arbs: DataFrame, by: list[str], dt_ms: Column, max_tau_ms: int, bounded: bool = False) -> DataFrame:
     """One row per group: counts, trigger shares and overshoots, response-time quantiles and intercepts, block waits,
     the jump/move split, wider bands, sharp openings and the on-chain distribution of blocks waited.
 
@@ -103,7 +103,7 @@ def response_stats(arbs: DataFrame, by: list[str], dt_ms: Column, max_tau_ms: in
     return t
 
 
-def quantile_intercepts(arbs: DataFrame, by: list[str], dt_ms: Column, max_tau_ms: int, qs=(0.1, 0.25, 0.5), bounded=None) -> DataFrame:
+def quantile_intercepts(arbs: DataFrame, by: list[str], dt_ms: Column, max_tau_ms: int, qs=(0.1, 0.25, 0.5), bounded=False) -> DataFrame:
     """Latency intercepts: quantile of the response time minus the same share of the block interval."""
     kept = arbs.filter(market_triggered(max_tau_ms)).withColumn("_dt", dt_ms)
     t = summarise(
@@ -113,7 +113,7 @@ def quantile_intercepts(arbs: DataFrame, by: list[str], dt_ms: Column, max_tau_m
     return t.select(*by, "n", "dt_ms", "p_first", *[(F.col(f"_q{int(q * 100)}") - q * F.col("dt_ms")).alias(f"ell_q{int(q * 100)}") for q in qs])
 
 
-def component_panel(arbs: DataFrame, max_tau_ms: int = 60_000, bounded: bool | None = None) -> DataFrame:
+def component_panel(arbs: DataFrame, max_tau_ms: int = 60_000, bounded: bool = False) -> DataFrame:
     """Hourly components of the overshoot per pool: counts, means and shares per trigger, jump and move, response times."""
     cex = is_trigger("cex")
     quick = cex & (F.col("tau_ms") <= max_tau_ms)
@@ -201,7 +201,7 @@ def implied_effects(stats: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def competition_panel(arbs: DataFrame, max_tau_ms: int, bounded: bool | None = None) -> DataFrame:
+def competition_panel(arbs: DataFrame, max_tau_ms: int, bounded: bool = False) -> DataFrame:
     """Hourly competition per pool: response-time quantiles, first-block share, active senders, largest sender's share."""
     hourly = arbs.withColumn("hour_ms", clock.floor_ms(F.col("ts_ms"), clock.HOUR_MS))
     cex = market_triggered(max_tau_ms)
@@ -240,7 +240,7 @@ def active_bots(arbs: DataFrame, swaps_by_sender: DataFrame, by: list[str], min_
     )
 
 
-def top_senders(arbs: DataFrame, swaps_by_sender: DataFrame, by: list[str], max_tau_ms: int, n: int = 15, min_obs: int = 20, bounded=None) -> DataFrame:
+def top_senders(arbs: DataFrame, swaps_by_sender: DataFrame, by: list[str], max_tau_ms: int, n: int = 15, min_obs: int = 20, bounded=False) -> DataFrame:
     """The ``n`` senders with most arbitrages per group and their statistics; ties go to the smaller sender id."""
     counts = arbs.groupBy(*by, "sender").agg(F.count(F.lit(1)).alias("n_arb"))
     totals = counts.groupBy(*by).agg(F.sum("n_arb").alias("_all"))
@@ -265,7 +265,7 @@ def top_senders(arbs: DataFrame, swaps_by_sender: DataFrame, by: list[str], max_
     )
 
 
-def paired_groups(arbs: DataFrame, member: str, by: list[str], dt_pre: float, dt_post: float, min_pair: int, max_tau_ms: int, bounded=None) -> DataFrame:
+def paired_groups(arbs: DataFrame, member: str, by: list[str], dt_pre: float, dt_post: float, min_pair: int, max_tau_ms: int, bounded=False) -> DataFrame:
     """Members with at least ``min_pair`` market-triggered arbitrages in both regimes: quantiles before and after,
     their change, the mechanical change, latency intercepts and first-block shares."""
     c = arbs.filter(market_triggered(max_tau_ms))
@@ -286,7 +286,7 @@ def paired_groups(arbs: DataFrame, member: str, by: list[str], dt_pre: float, dt
     )
 
 
-def paired_summary(paired: DataFrame, by: list[str], margin_ms: float = 20.0, bounded=None) -> DataFrame:
+def paired_summary(paired: DataFrame, by: list[str], margin_ms: float = 20.0, bounded=False) -> DataFrame:
     lower = F.col("ell_q10_post") < F.col("ell_q10_pre") - margin_ms
     return summarise(
         paired, by, [F.count(F.lit(1)).alias("n_paired"), share(lower).alias("share_lower_q10")],

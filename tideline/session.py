@@ -1,4 +1,4 @@
-"""Session settings, input-size checks and lineage cuts shared by every operator."""
+"""Session settings, lineage cuts and scratch folders shared by every operator."""
 
 from __future__ import annotations
 
@@ -6,10 +6,6 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-BOUNDED_CONF = "spark.tideline.boundedBytes"
-BOUNDED_DEFAULT = 256 * 1024 * 1024
-
-
 def prepare(spark: SparkSession) -> SparkSession:
     """Pin what results depend on: UTC wall clock. Physical settings stay with the cluster."""
     if spark.conf.get("spark.sql.session.timeZone") != "UTC":
@@ -17,34 +13,6 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Bytes of the relations a plan reads (sum over its leaves), or None when Spark cannot tell."""
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
-    except (AttributeError, TypeError):
-        return None
-
-
-def is_bounded(*dfs: DataFrame) -> bool:
-    """True when everything the plans read is small enough that even one group holding all of it fits one task.
-
-    Operators use a one-shuffle plan only under this check; beyond it they split groups into slices."""
-    spark = dfs[0].sparkSession
-    limit = int(spark.conf.get(BOUNDED_CONF, str(BOUNDED_DEFAULT)))
-    if limit <= 0:
-        return False
-    total = 0
-    for df in dfs:
-        size = input_bytes(df)
-        if size is None:
-            return False
-        total += size
-        if total > limit:
-            return False
-    return True
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the cluster names; a private folder only where none is set (local runs)."""
     spark = df.sparkSession
