@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 
@@ -17,3 +19,20 @@ def text_of(column: str) -> Column:
 def crc_mod(column: str, divisor: int) -> Column:
     """crc32 of the id written as text, modulo ``divisor``; a null id has the remainder of the empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(key: tuple, make: Callable[[], object]) -> object:
+    """What a worker process keeps from task to task under ``key``, made when it isn't there. Only one thing is kept at a
+    time, so that the operators of a pipeline, which share workers, don't add up their tables."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def let_go() -> None:
+    """Frees what operators before have kept in this worker process."""
+    _KEPT.clear()

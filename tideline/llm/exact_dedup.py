@@ -20,6 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from tideline.llm.columns import let_go
 from tideline.session import scratch_folder
 
 WHITE = bytes([0x20, *range(0x09, 0x0E)])
@@ -84,6 +85,7 @@ def _better(a: tuple, b: tuple) -> tuple:
 
 
 def _bodies(batch: pa.RecordBatch) -> Iterator[tuple[int | None, int, bytes]]:
+    let_go()
     text = batch.column("text")
     points = pc.utf8_length(text).to_pylist()
     for doc, n, raw in zip(batch.column("doc_id").to_pylist(), points, text.cast(pa.binary()).to_pylist(), strict=True):

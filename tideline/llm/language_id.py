@@ -23,6 +23,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tideline.llm.columns import let_go
+
 MAX_LANGS = 64
 SAMPLE_ROWS = 2400
 BUCKETS = 1 << 15
@@ -173,6 +175,7 @@ def _predictor(docs: DataFrame, model: Model):
 
     @F.pandas_udf("lang_pred string, score double, lang_accepted boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        let_go()
         known = shared.value
         for batch in batches:
             names, scores = known.predict(batch)

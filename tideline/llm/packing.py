@@ -23,13 +23,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tideline.llm.columns import kept
 from tideline.session import scratch_folder
 
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 1 << 15
 SHARD_PIECES = 100_000
-KEPT_WORDS = 1_000_000
+KEPT_WORDS = 800_000
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PLACED = f"{_PIECES}, sequence_id bigint, offset bigint"
 
@@ -78,17 +79,11 @@ class Words(dict):
             self.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
 
 
-_KEPT: dict[str, Words] = {}
-
-
 def _words(path: str) -> Words:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task has one core
-    if path not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path] = Words(path)
-    return _KEPT[path]
+    return kept(("words", path), lambda: Words(path))
 
 
 def _split(text: str) -> list[str]:

@@ -25,6 +25,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from tideline.llm.columns import kept
+
 LANES = 2048
 CHUNK = 512
 TABLE_CELLS = 1 << 25
@@ -286,15 +288,9 @@ class Transducer:
         return np.array(results, np.int64)
 
 
-_KEPT: dict[str, Transducer] = {}
-
-
 def transducer(path: str) -> Transducer:
     """The worker's transducer for a vocabulary file: what tasks before have compiled is used again."""
-    if path not in _KEPT:
-        _KEPT.clear()
-        _KEPT[path] = Transducer(Vocabulary(path))
-    return _KEPT[path]
+    return kept(("transducer", path), lambda: Transducer(Vocabulary(path)))
 
 
 def with_counts(docs: DataFrame, path: str, limit: int, text: str = "text", passing: list[str] | None = None) -> DataFrame:

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tideline.llm.columns import let_go
 from tideline.operators.graph import connected_components
 from tideline.session import scratch_folder
 
@@ -38,6 +39,7 @@ BANDS = 16
 ROWS = 4
 RARE = 64
 COUNTERS = 1 << 16
+MERGED_WORDS = 1_000_000
 PIECE = 1 << 20
 COLUMNS = 4096
 
@@ -192,6 +194,7 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
 
 
 def _batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    let_go()
     for batch in batches:
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
@@ -220,7 +223,7 @@ def _counters(most: int):
             waiting += [shingles(w)[0] for w in words]
             texts += len(words)
             size += sum(map(len, words))
-            if size > 4_000_000:
+            if size > MERGED_WORDS:
                 merge()
                 size = 0
         if waiting:
