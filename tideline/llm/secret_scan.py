@@ -161,9 +161,11 @@ def fit(texts: list[str], strings: int = SAMPLE_STRINGS, seed: int = 5) -> Model
 
 
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits on the ``sample_docs`` texts whose hashes are smallest, at most 20,000 characters of each."""
-    rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t")).select("t", F.xxhash64("t").alias("h"))
-    picked = rows.select(F.substring("t", 1, 20_000).alias("t"), "h").orderBy("h", "t").limit(sample_docs).collect()
+    """Fits on about ``sample_docs`` texts drawn by their hashes, at most 20,000 characters of each."""
+    rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"))
+    rate = min(1.0, sample_docs / max(1, rows.count()))
+    drawn = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < int(rate * 1_000_003))
+    picked = drawn.select(F.substring("t", 1, 20_000).alias("t")).orderBy(F.xxhash64("t"), "t").limit(2 * sample_docs).collect()
     return fit([r["t"] for r in picked])
 
 
