@@ -83,3 +83,15 @@ def test_half_life_of_known_process(spark):
     rho = np.cov(x[:-1], x[1:])[0, 1] / np.var(x[:-1])
     for bounded in (True, False):
         assert half_life(df, ["pool"], ["ts"], "dev", bounded=bounded).first().half_life == pytest.approx(np.log(0.5) / np.log(rho))
+
+
+def test_spines_and_grids_are_spread(spark):
+    from pyspark.sql import functions as F
+
+    from tideline.operators.asof import time_grid
+
+    spine = bk.number_spine(spark.createDataFrame([("p", 1, 5_000_000)], "k string, a bigint, b bigint"), ["k"], "a", "b")
+    grid = time_grid(spark.createDataFrame([("p", 0, 20 * 86_400_000)], "k string, t0 bigint, t1 bigint"), ["k"], "t0", "t1", 10_000, "ts")
+    for df, n in ((spine, 5_000_000), (grid, 20 * 8_640 + 1)):
+        sizes = [r["n"] for r in df.groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()]
+        assert sum(sizes) == n and len(sizes) > 1

@@ -91,3 +91,11 @@ def test_as_of_per_batch(spark, tmp_path):
     got = {r.log_index: r.p_cex for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     whole = as_of(spark.createDataFrame(sum(batches, []), SWAPS), ticks, ["symbol"], F.col("ts_ms"), "ts_ms", {"p": "price"})
     assert got == {r.log_index: r.p for r in whole.collect()}
+
+
+def test_last_tick_may_be_days_old(spark, tmp_path):
+    ticks = spark.createDataFrame([("s", -10 * 86_400_000, 7.0)], "symbol string, ts_ms bigint, price double")
+    stream = deliver(spark, str(tmp_path), [[swap(i) for i in range(a, a + 20)] for a in (0, 20, 40)], SWAPS)
+    read = lambda s, a, b: ticks.filter(F.col("ts_ms") <= b) if a is None else ticks.filter(F.col("ts_ms").between(a, b))
+    cr.run_as_of(stream, read, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination()
+    assert {r.p_cex for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {7.0}
