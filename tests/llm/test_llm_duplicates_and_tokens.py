@@ -74,6 +74,39 @@ def test_near_duplicates_by_brute_force(spark):
     assert kept.columns == ["doc_id", "text", "digest", "key"] and kept.count() == len(set(got.values()))
 
 
+def test_near_duplicates_of_a_hub_among_heavier_edits(spark):
+    rng = random.Random(3)
+    vocabulary = [f"w{i}" for i in range(5000)]
+    original = [rng.choice(vocabulary) for _ in range(240)]
+    rows = [(1, " ".join(original), "", 0)]
+    for k in range(1200):  # 60 copies that are near to the original alone, the others near to nothing
+        words = list(original)
+        for at in rng.sample(range(5, 235), 3 if k < 60 else 7):
+            words[at] = f"e{k}x{at}"
+        rows.append((k + 2, " ".join(words), "", 0))
+    got = {r["doc_id"]: r["class_id"] for r in M.classes(docs_of(spark, rows)).collect()}
+    words = M.word_hashes([r[1] for r in rows])
+    weights = M.weights(docs_of(spark, rows))
+    vectors = [(s, weights(s, n)) for s, n in map(M.shingles, words)]
+    near = {r[0] for r, v in zip(rows, vectors) if M.similarity(vectors[0], v) >= 0.8}
+    assert len(near) > 50 and all(got[d] == (1 if d in near else d) for d in got)
+
+
+def test_outlines_bound_the_similarity():
+    rng = np.random.default_rng(4)
+    few = []
+    for k in range(60):
+        base = np.unique(rng.integers(1, 1 << 62, 40 if k % 2 else 3000).astype(np.uint64))
+        cut = int(len(base) * rng.uniform(0, 0.3))
+        weight = rng.choice([1.0, 1.3, 2.0, 9.1], len(base))
+        few.append([(base[cut:], weight[cut:]), (base[: len(base) - cut // 2], weight[: len(base) - cut // 2])])
+    rows = [(i, i, -1, float(w.sum()), M.outline(s, w)) for i, (s, w) in enumerate(v for pair in few for v in pair)]
+    vectors = [v for pair in few for v in pair]
+    true = {(a, b) for a, b in combinations(range(len(rows)), 2) if M.similarity(vectors[a], vectors[b]) >= 0.6}
+    found = set(M.possible(rows, rows, 0.6))
+    assert len(true) > 30 and true <= found and len(found) < 2 * len(true)
+
+
 def test_near_duplicates_of_odd_rows(spark):
     rows = [(None, "a b c d e f g", "", 0), (7, "a b c d e f g", "", 0), (7, "a b c d e f g", "", 0), (3, "x y", "", 0), (3, "other text altogether", "", 0)]
     got = sorted(map(str, ((r["doc_id"], r["class_id"], r["kept"]) for r in M.classes(docs_of(spark, rows)).collect())))

@@ -11,8 +11,12 @@ Each text gets ``BANDS`` * ``ROWS`` samples (Ioffe 2010); the samples of a band
 are put together first and sampled once. In each bucket every text is compared with one centre, drawn by a hash of text
 and bucket, so that centres differ from band to band. A text whose comparison fails is compared again: with a centre of
 those that failed in its bucket, and, for each other band, with a centre of the bucket's members that share that band
-too. So work is linear in bucket members times bands, no bucket is capped, and no step emits all pairs of a group.
-Compared pairs are verified by the weighted Jaccard similarity of the whole texts; ``connected_components`` unites links.
+too. These turns are linear in bucket members times bands. ``connected_components`` unites their links; then every pair of a
+bucket that is still in two components is screened: each text outside the bucket's largest component meets all others,
+in cells of ``BLOCK`` by ``BLOCK`` texts, by outlines (sums of weights by hash) that give an upper bound of the similarity.
+Pairs whose bound reaches the threshold are verified, so no bucket is capped and no pair that shares a band is left out, and
+only pairs that pass the bound are emitted. Screening takes texts outside the largest component times bucket members.
+Compared pairs are verified by the weighted Jaccard similarity of the whole texts.
 
 Defined results: a text without words (null, empty, punctuation) links with nothing. Rows with equal words are one class
 at any frequency. A null id sorts last and never names a class that has another id. Rows that repeat an id share a class.
@@ -22,6 +26,7 @@ at any frequency. A null id sorts last and never names a class that has another
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 from collections.abc import Iterable, Iterator
 
@@ -42,6 +47,8 @@ COUNTERS = 1 << 16
 MERGED_WORDS = 1_000_000
 PIECE = 1 << 20
 COLUMNS = 4096
+BLOCK = 512
+LEAST_OUTLINE, MOST_OUTLINE = 64, 8192
 
 _WORD_BYTE = np.array([b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 for b in range(256)])
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -316,9 +323,115 @@ def _verify(shared):
     return verify
 
 
-def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
-    """(signatures, links): (doc_id, digest, text_hash, representative) of each row, and verified (centre, member, similarity) between
-    representatives of different word sequences. Both are written to the shared folder."""
+def outline(found: np.ndarray, weight: np.ndarray) -> bytes:
+    """Sums of the weights by the low bits of the hashes, rounded up: about as many sums as shingles, a power of two."""
+    size = min(max(1 << (len(found) - 1).bit_length(), LEAST_OUTLINE), MOST_OUTLINE)
+    sums = np.bincount((found & np.uint64(size - 1)).astype(np.int64), weight, size)
+    with np.errstate(over="ignore"):
+        short = sums.astype(np.float16)
+        return np.where(short < sums, np.nextafter(short, np.float16(np.inf)), short).tobytes()
+
+
+def _folded(sums: np.ndarray, size: int) -> np.ndarray:
+    while sums.shape[-1] > size:
+        half = sums.shape[-1] // 2
+        sums = sums[..., :half] + sums[..., half:]
+    return sums
+
+
+def possible(asked: list[tuple], others: list[tuple], threshold: float) -> Iterator[tuple]:
+    """Pairs of the (member, component, main, weight, outline) of a cell that lie in two components and whose similarity may reach the
+    threshold: the least of two sums is never less than the sum of the least weights. Pairs of two texts outside the main
+    component come up twice in a bucket and are given once."""
+    parts: dict[int, list[tuple]] = {}
+    for row in sorted(others, key=lambda r: r[3]):
+        parts.setdefault(len(row[4]) // 2, []).append(row)
+    tables = []
+    for size, rows in parts.items():
+        member, component, weight = np.array([r[0] for r in rows], object), np.array([r[1] for r in rows], object), np.array([r[3] for r in rows])
+        in_main = np.array([r[1] == r[2] for r in rows])
+        tables.append((size, member, component, weight, in_main, {size: np.stack([np.frombuffer(r[4], np.float16) for r in rows]).astype(np.float32)}))
+    least = threshold / (1 + threshold) * (1 - 1e-5)  # of the two weights added, for what both have; less what rounding can add
+    for one, own, _, heavy, raw in asked:
+        sums = np.frombuffer(raw, np.float16).astype(np.float32)
+        for size, member, component, weight, in_main, by_size in tables:
+            low, high = np.searchsorted(weight, [heavy * threshold * (1 - 1e-5), heavy / max(threshold, 1e-9) * (1 + 1e-5)])
+            some = low + np.flatnonzero((component[low:high] != own) & (in_main[low:high] | (member[low:high] > one)))
+            if not len(some):
+                continue
+            width = min(size, len(sums))
+            if width not in by_size:
+                by_size[width] = _folded(by_size[size], width)
+            both = np.minimum(by_size[width][some], _folded(sums, width)).sum(1)
+            for k in some[both >= least * (heavy + weight[some])]:
+                yield one, member[k]
+
+
+def _outlines(shared):
+    def draw(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weigh = shared.value
+        for batch, words in _batches(batches):
+            weight, raw = [], []
+            for w in words:
+                found, counts = shingles(w)
+                own = weigh(found, counts)
+                weight.append(float(own.sum()))
+                raw.append(outline(found, own))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight, pa.float64()), pa.array(raw, pa.binary())], names=["member", "weight", "outline"])
+
+    return draw
+
+
+def _screen(threshold: float):
+    def screen(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+        def told(pairs: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["centre", "member"])
+
+        waiting: list[tuple] = []
+        for _, cell in itertools.groupby(rows(), lambda r: r[:3]):
+            sides: tuple[list, list] = ([], [])
+            for row in cell:
+                sides[row[3]].append(row[4:])
+            for pair in possible(sides[True], sides[False], threshold):
+                waiting.append(pair)
+                if len(waiting) == 10_000:
+                    yield told(waiting)
+                    waiting = []
+        yield told(waiting)
+
+    return screen
+
+
+def _cells(buckets: DataFrame, placed: DataFrame) -> DataFrame:
+    """(key, block, asked_block, asked, member, component, main): the members of each bucket that holds several components, by block; and
+    those outside its largest component, asked of every block."""
+    labelled = buckets.join(placed, "member", "left").select("key", "member", F.coalesce("component", "member").alias("component"))
+    counted = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
+    largest = counted.groupBy("key").agg(F.max(F.struct("n", "component")).alias("most"), F.sum("n").alias("n")).filter("n > most.n")
+    blocks = largest.select("key", F.col("most.component").alias("main"), F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil((F.col("n") - F.col("most.n")) / BLOCK).alias("asked_blocks"))
+
+    def dealt(count: str):
+        return F.pmod(F.xxhash64("member", "key"), F.col(count))
+
+    def every(count: str):
+        return F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1)
+
+    def cell(block, asked_block, asked: bool):
+        return F.struct(block.alias("block"), asked_block.alias("asked_block"), F.lit(asked).alias("asked"))
+
+    others = F.transform(every("asked_blocks"), lambda k: cell(dealt("blocks"), k, False))
+    asked = F.transform(every("blocks"), lambda k: cell(k, dealt("asked_blocks"), True))
+    both = F.concat(others, F.filter(asked, lambda _: F.col("component") != F.col("main")))
+    return labelled.join(blocks, "key").select("key", F.explode(both).alias("cell"), "member", "component", "main").select("key", "cell.*", "member", "component", "main")
+
+
+def united(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(signatures, placed, joined): (doc_id, digest, text_hash, representative) of each row; (member, component) of the representatives
+    that the two turns link; (member, component) of the components that screening links further."""
     spark = docs.sparkSession
     folder = scratch_folder(spark, "minhash")
     shared = spark.sparkContext.broadcast(weights(docs, text))
@@ -361,15 +474,33 @@ def links(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold
     ordered = sub_pairs.union(among).filter("member <> centre").select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member")).distinct()
     known = first.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member"))
     second = compare(ordered.join(known, ["centre", "member"], "left_anti"), "compared-by-two-bands")
-    found = first.union(second).filter(F.col("similarity") >= threshold)
-    return signed.select("doc_id", "digest", "text_hash").join(firsts, "digest", "left"), found
+    connected_components(first.union(second).filter(F.col("similarity") >= threshold), "centre", "member").write.parquet(f"{folder}/placed")
+    placed = spark.read.parquet(f"{folder}/placed")
+    # What is still in two components of a bucket (of two members, the first turn has compared both).
+    _cells(buckets.filter("n > 2"), placed).write.parquet(f"{folder}/cells")
+    cells = spark.read.parquet(f"{folder}/cells")
+    open_texts = texts.join(cells.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    open_texts.select("doc_id", "text").mapInArrow(_outlines(shared), "member bigint, weight double, outline binary").write.parquet(f"{folder}/outlines")
+    cell = ["key", "block", "asked_block"]
+    outlined = cells.join(spark.read.parquet(f"{folder}/outlines"), "member").select(*cell, "asked", "member", "component", "main", "weight", "outline")
+    screened = outlined.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_screen(threshold), "centre bigint, member bigint")
+    passing = screened.select(F.least("centre", "member").alias("centre"), F.greatest("centre", "member").alias("member")).distinct()
+    known = known.union(second.select("centre", "member"))
+    third = compare(passing.join(known, ["centre", "member"], "left_anti"), "compared-by-outline").filter(F.col("similarity") >= threshold)
+    for end in ("centre", "member"):
+        names = placed.select(F.col("member").alias(end), F.col("component").alias(f"{end}_component"))
+        third = third.join(names, end, "left").withColumn(f"{end}_component", F.coalesce(f"{end}_component", end))
+    connected_components(third, "centre_component", "member_component").write.parquet(f"{folder}/joined")
+    joined = spark.read.parquet(f"{folder}/joined")
+    return signed.select("doc_id", "digest", "text_hash").join(firsts, "digest", "left"), placed, joined
 
 
 def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFrame:
-    signed, found = links(docs, text, doc_id, threshold)
-    united = connected_components(found, "centre", "member").withColumnRenamed("member", "representative")
-    named = F.coalesce("component", "representative", "doc_id").alias("class_id")
-    return signed.join(united, "representative", "left").select("doc_id", named, "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    signed, placed, joined = united(docs, text, doc_id, threshold)
+    own = signed.join(placed.select(F.col("member").alias("representative"), F.col("component").alias("near")), "representative", "left").withColumn("near", F.coalesce("near", "representative"))
+    whole = own.join(joined.withColumnRenamed("member", "near"), "near", "left")
+    named = F.coalesce("component", "near", "doc_id").alias("class_id")
+    return whole.select("doc_id", named, "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
