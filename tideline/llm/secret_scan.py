@@ -1,9 +1,11 @@
 """Secret scans: fixed shapes of credentials, and character Markov models that tell random strings from identifiers.
 
 Base kinds are ``assign`` (a value assigned to a password-like name), ``access`` and ``hex``. The method adds ``random``:
-every run of ``TOKEN`` characters of ``MIN_LENGTH`` or more is scored under two character Markov models of order two, one of
-random strings and one of ordinary identifiers; the run is a secret where the log-likelihood ratio per character passes a
-threshold fitted on samples kept out of training, unless it lies inside a base span.
+every run of ``TOKEN`` characters of ``MIN_LENGTH`` or more, less the base spans in it, is scored under two character Markov
+models of order two, one of random strings and one of ordinary identifiers; what is left of the run is a secret where the
+log-likelihood ratio per character passes a threshold fitted on samples kept out of training. Where the whole doesn't pass,
+its parts between = / . - _ are scored alone, and between those that pass every stretch of ``MIN_LENGTH`` or more with the
+largest sum of ratios above a second threshold, fitted on the best stretches of long ordinary paths.
 
 The models learn from labelled samples. Ordinary: words of a bounded sample of texts (outside base spans), alone and
 joined the way identifiers are (snake, camel and kebab case, paths, hosts, counters), numbers and dates. Random: values of base spans in that sample,
@@ -43,6 +45,7 @@ _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
 _NAMES = re.compile(r"[=:]")
 _WORD = re.compile(r"[A-Za-z]{3,15}")
+_PART = re.compile(r"[A-Za-z0-9+]{16,}")
 _CLASSES = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_.=-"
 _CODE = np.full(128, 0, np.int64)
 _CODE[[ord(c) for c in _CLASSES]] = np.arange(1, len(_CLASSES) + 1)
@@ -63,21 +66,70 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 class Model:
     """Log-likelihood ratio per transition (last two characters, next one), and the threshold on its mean."""
 
-    def __init__(self, ratio: np.ndarray, threshold: float):
+    def __init__(self, ratio: np.ndarray, threshold: float, stretch: float | None = None):
         self.ratio, self.threshold = ratio.astype(np.float32), threshold
+        self.stretch = threshold if stretch is None else stretch
 
     def score(self, token: str) -> float:
         return float(self.ratio[_transitions(token)].mean())
 
+    def best_stretch(self, token: str) -> float:
+        """The largest mean of MIN_LENGTH or more characters in a row; one of less than twice that length has it."""
+        sums = np.concatenate([[0.0], np.cumsum(self.ratio[_transitions(token)], dtype=np.float64)])
+        return max(float((sums[n:] - sums[:-n]).max()) / n for n in range(MIN_LENGTH, min(2 * MIN_LENGTH, len(sums))))
+
+    def _stretches(self, token: str) -> Iterator[tuple[int, int]]:
+        above = np.concatenate([[0.0], np.cumsum(self.ratio[_transitions(token)].astype(np.float64) - self.stretch)])
+        todo = [(0, len(token))]
+        while todo:
+            low, high = todo.pop()
+            if high - low < MIN_LENGTH:
+                continue
+            sums = above[low : high + 1]
+            gain = sums[MIN_LENGTH:] - np.minimum.accumulate(sums[:-MIN_LENGTH])
+            last = int(gain.argmax())
+            if gain[last] <= 0:
+                continue
+            start, end = low + int(sums[: last + 1].argmin()), low + last + MIN_LENGTH
+            todo += [(low, start), (end, high)]
+            while end - start > MIN_LENGTH and token[end - 1] in ".=-_/+":
+                end -= 1
+            while end - start > MIN_LENGTH and token[start] in ".=-_/":
+                start += 1
+            yield start, end
+
+    def random_spans(self, token: str) -> list[tuple[int, int]]:
+        """(start, end) of the random strings in a run, or in a part of one."""
+        whole = token.rstrip(".=-_/+")
+        if len(whole) < MIN_LENGTH:
+            return []
+        if self.score(whole) > self.threshold:
+            return [(0, len(whole))]
+        parts = [m.span() for m in _PART.finditer(whole) if self.score(m.group()) > self.threshold]
+        found, at = list(parts), 0
+        for start, end in [*parts, (len(whole), len(whole))]:
+            found += [(at + s, at + e) for s, e in self._stretches(whole[at:start])] if start - at >= MIN_LENGTH else []
+            at = end
+        return found
+
     def spans(self, text: str) -> list[tuple[int, int, int]]:
         found = base_spans(text)
         extra = []
+        first, reach = 0, 0  # base spans before ``first`` end before this run; ``reach`` is the end of those passed
         for m in _TOKEN.finditer(text):
             start, end = m.span()
-            token = text[start:end].rstrip(".=-_/+")
-            end = start + len(token)
-            if len(token) >= MIN_LENGTH and not any(s < end and start < e for s, e, _ in found) and self.score(token) > self.threshold:
-                extra.append((start, end, 3))
+            while first < len(found) and found[first][1] <= start:
+                first += 1
+            at = max(start, reach)
+            k = first
+            while k < len(found) and found[k][0] < end:
+                if found[k][0] - at >= MIN_LENGTH:
+                    extra += [(at + s, at + e, 3) for s, e in self.random_spans(text[at : found[k][0]])]
+                at = max(at, found[k][1])
+                k += 1
+            reach = max(reach, at)
+            if end - at >= MIN_LENGTH:
+                extra += [(at + s, at + e, 3) for s, e in self.random_spans(text[at:end])]
         return sorted(found + extra, key=lambda s: (s[0], s[2])) if extra else found
 
 
@@ -157,6 +209,10 @@ def fit(texts: list[str], strings: int = SAMPLE_STRINGS, seed: int = 5) -> Model
     held = [model.score(t) for t in plain[:cut_plain] if len(t) >= MIN_LENGTH]
     # Above nearly all ordinary identifiers kept out of training, and never below MIN_RATIO nats a character.
     model.threshold = max(MIN_RATIO, float(np.quantile(held, 0.9995)) + 0.05) if held else MIN_RATIO
+    # Likewise above the best stretches of long paths of them.
+    paths = ["/".join(plain[k : min(k + 4, cut_plain)]) for k in range(cut_plain)]
+    best = [model.best_stretch(t) for t in paths if len(t) >= MIN_LENGTH]
+    model.stretch = max(model.threshold, float(np.quantile(best, 0.9995)) + 0.05) if best else model.threshold
     return model
 
 
