@@ -158,6 +158,16 @@ def test_turnbull_meets_the_optimality_conditions(spark):
     assert out["converged"].all() and mass.sum() == pytest.approx(1) and gradient.max() <= pdf["n"].sum() * (1 + 1e-5)
 
 
+def test_latency_band_takes_every_change(spark):
+    changes = spark.createDataFrame([(1.5, 0.75)] * 1200 + [(3.0, 0.2)], "dt_pre double, dt_post double").coalesce(1)
+    floors = spark.createDataFrame([("a", 0.9)], "name string, ell double")
+    some, all_of_them = (latency.latency_band(floors, c, ["name"]).first() for c in (changes.filter("dt_pre < 2"), changes))
+    last = latency.latency_band(floors, changes.filter("dt_pre > 2"), ["name"]).first()
+    assert last["ell_mean"] != some["ell_mean"]
+    assert abs(all_of_them["ell_mean"] - (1200 * some["ell_mean"] + last["ell_mean"]) / 1201) < 1e-9
+    assert last["ell_mean"] in (all_of_them["ell_min"], all_of_them["ell_max"])
+
+
 def test_latency_band_inverts_the_law(spark):
     changes = spark.createDataFrame([(1.5, 0.75)], "dt_pre double, dt_post double")
     mean = lambda x, dt: np.sqrt(x + np.linspace(0, dt, 200_001)).mean()

@@ -181,7 +181,8 @@ def latency_band(floors: DataFrame, changes: DataFrame, by: list[str], low_s: fl
     under which ``ell`` was fitted has ((dt_post + ell) / (dt_pre + ell))^0.5 for the ratio of these means, so x implies
     ell = (r dt_pre - dt_post) / (1 - r) with r the squared ratio. That grows with x and is inverted by bisection in each row.
     Returns (by..., ell, ell_mean, ell_min, ell_max, at_edge); at_edge tells that some answer lies outside [low_s, high_s]."""
-    each = floors.join(F.broadcast(changes.select("dt_pre", "dt_post").limit(1000)))  # a table of the study's few changes
+    told = changes.agg(F.collect_list(F.struct("dt_pre", "dt_post")).alias("_changes"))  # one row with all of the study's changes
+    each = floors.crossJoin(F.broadcast(told)).select("*", F.explode("_changes").alias("_change")).select("*", "_change.dt_pre", "_change.dt_post")
 
     def implied(x: Column) -> Column:
         mean = lambda dt: (F.pow(x + dt, F.lit(1.5)) - F.pow(x, F.lit(1.5))) / dt
