@@ -28,7 +28,7 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
     """What a worker process keeps from task to task under ``key``, made when it isn't there. Only one thing is kept at a
     time, so that the operators of a pipeline, which share workers, don't add up their tables."""
     if key not in _KEPT:
-        _KEPT.clear()
+        let_go()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -36,3 +36,18 @@ def kept(key: tuple, make: Callable[[], object]) -> object:
 def let_go() -> None:
     """Frees what operators before have kept in this worker process."""
     _KEPT.clear()
+    release()
+
+
+def release() -> None:
+    """Gives freed memory of this process back to the machine: a pipeline's workers would else keep each stage's peak."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+    if trim is not None:
+        trim(0)

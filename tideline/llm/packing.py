@@ -7,8 +7,8 @@ bit f set when an open bin has f free tokens, so the tightest bin that takes a p
 its length: one shift and one mask. When no bin takes the piece and all are open, the fullest bin closes first.
 
 Ids come from the library, once per distinct word: the vocabulary's splitting never joins across a blank, tab or line
-end, nor letters with a final stop or comma, so a text's ids are its words' ids in a row. Words are kept in a table of
-bounded size. Texts are never cut short.
+end, nor a small Latin-1 letter with ASCII punctuation at the end of a word, so a text's ids are its words' ids in a row. Words are kept in
+a table of at most about ``KEPT_BYTES``, long texts go part by part. Texts are never cut short.
 
 Defined results: null text is empty and gives one piece that holds the end id alone. Rows that repeat an id are packed
 as documents of their own. Offsets in a sequence are gapless from 0. Extra columns are ignored.
@@ -16,6 +16,7 @@ as documents of their own. Offsets in a sequence are gapless from 0. Extra colum
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -23,60 +24,90 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.columns import kept
+from tideline.llm.columns import kept, release
 from tideline.session import scratch_folder
 
 SEQUENCE = 4096
 END_ID = 1
 OPEN_BINS = 1 << 15
 SHARD_PIECES = 100_000
-KEPT_WORDS = 800_000
+KEPT_BYTES = 48 << 20
+PART = 4 << 20
+_ENTRY = 120  # what a word costs in the table besides its letters and ids
+_LOWERED = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\r" else b for b in range(256))
+_BLANKS = bytes(32 if b in b"\t\n\r" else b for b in range(256))
+_BLANK = re.compile(rb"[ \t\n\r]")
+_LATIN = {chr(c).encode() for c in range(0xDF, 0x100) if c != 0xF7}
+_PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PLACED = f"{_PIECES}, sequence_id bigint, offset bigint"
 
 
 class Words(dict):
-    """Little-endian 32-bit ids of each word, as bytes."""
+    """Little-endian 32-bit ids of each word, as bytes. Keys are UTF-8 with A-Z lowered, but for words that hold an added token
+    when lowered: those keep their case, as added tokens are matched by the letter."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most_bytes: int = KEPT_BYTES):
         from tokenizers import Tokenizer
 
-        super().__init__({"": b""})
+        super().__init__({b"": b""})
         self.library = Tokenizer.from_file(path)
+        self.most_bytes, self.bytes = most_bytes, 0
+        self.added = re.compile(b"|".join(re.escape(t.content.encode()) for t in self.library.get_added_tokens_decoder().values()) or b"(?!)", re.I)
         vocabulary = self.library.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def learn(self, words: set[str]) -> None:
-        """Encodes the words that are new. Upper case of ASCII and a final stop or comma are led back to plain words."""
-        if len(self) > KEPT_WORDS:
+    def split(self, raw: bytes) -> list[bytes]:
+        """Words of a text between blanks, tabs and line ends."""
+        words = raw.translate(_LOWERED).split(b" ")
+        if self.added.search(raw):
+            cased = raw.translate(_BLANKS).split(b" ")
+            words = [c if self.added.search(c) else w for w, c in zip(words, cased, strict=True)]
+        return words
+
+    def learn(self, words: set[bytes]) -> None:
+        """Encodes the words that are new. ASCII punctuation that follows a small Latin-1 letter at the end is encoded by itself."""
+        if self.bytes > self.most_bytes:  # what the present words don't need goes
+            present = {w: self[w] for w in words & self.keys()} | {b"": b""}
             self.clear()
-            self[""] = b""
-        new = words - self.keys()
-        ends = {w for w in new if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha()}
-        plain = (new - ends) | {w[:-1] for w in ends} | {w[-1] for w in ends}
-        lowered = {w: w.lower() for w in plain if w.isascii()}
-        asked = {lowered.get(w, w) for w in plain} - self.keys()
-        latin = [w for w in asked if w.isalpha() and max(w) <= "\u00ff"]
-        self._runs(latin)
-        rest = list(asked.difference(latin))
+            self.update(present)
+            self.bytes = sum(map(len, present)) + sum(map(len, present.values())) + _ENTRY * len(present)
+        new, parted = words - self.keys(), []
+        asked = set()
+        for word in new:
+            base = word.rstrip(_PUNCTUATION)
+            if len(base) != len(word) and base and (97 <= base[-1] <= 122 or base[-2:] in _LATIN) and not self.added.search(word):
+                parted.append((word, base, tail := word[len(base) :]))
+                asked.update((base, tail))
+            else:
+                asked.add(word)
+        asked -= self.keys()
+        runs, rest = [], []
+        for word in asked:
+            if word.isalpha():
+                runs.append(word.decode())
+            else:
+                shown = word.decode()
+                (runs if shown.isalpha() and max(shown) <= "\u00ff" else rest).append(shown)
+        self._runs(runs)
         for word, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self[word] = np.array(found.ids, "<u4").tobytes()
-        for word, low in lowered.items():
-            self[word] = self[low]
-        for word in ends:
-            self[word] = self[word[:-1]] + self[word[-1]]
+            self[word.encode()] = np.array(found.ids, "<u4").tobytes()
+        for word, base, tail in parted:
+            self[word] = self[base] + self[tail]
+        self.bytes += sum(map(len, new)) + sum(map(len, map(self.__getitem__, new))) + _ENTRY * len(new | asked)
 
     def _runs(self, words: list[str]) -> None:
         """Words of Latin-1 letters only, many to a call: each ends with its one token that is marked as a word's end."""
-        for at in range(0, len(words), 1000):
-            some = words[at : at + 1000]
-            ids = np.array(self.library.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        joined = [" ".join(words[at : at + 100]) for at in range(0, len(words), 100)]
+        for i, found in enumerate(self.library.encode_batch_fast(joined, add_special_tokens=False)):
+            some = words[100 * i : 100 * i + 100]
+            ids = np.array(found.ids, "<u4")
             cuts = [0, *(4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()]
             if len(cuts) != len(some) + 1:
                 raise ValueError("the vocabulary doesn't mark the end of each word")
             raw = ids.tobytes()
-            self.update(zip(some, (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
+            self.update(zip(map(str.encode, some), (raw[a:b] for a, b in zip(cuts, cuts[1:], strict=False)), strict=True))
 
 
 def _words(path: str) -> Words:
@@ -86,8 +117,39 @@ def _words(path: str) -> Words:
     return kept(("words", path), lambda: Words(path))
 
 
-def _split(text: str) -> list[str]:
-    return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+def _parts(raw: bytes) -> Iterator[bytes]:
+    """A long text in parts of about PART bytes that end before a blank."""
+    at = 0
+    while len(raw) - at > PART and (blank := _BLANK.search(raw, at + PART)):
+        yield raw[at : blank.start()]
+        at = blank.end()
+    yield raw[at:]
+
+
+def _encoded(table: Words, texts: Iterable[bytes]) -> Iterator[bytes]:
+    """Ids of each text; texts are taken together up to PART bytes, longer ones go part by part."""
+    waiting, size = [], 0
+
+    def flush() -> Iterator[bytes]:
+        split = [table.split(raw) for raw in waiting]
+        table.learn(set().union(*split))
+        yield from (b"".join(map(table.__getitem__, words)) for words in split)
+
+    for raw in texts:
+        if waiting and size + len(raw) > PART:
+            yield from flush()
+            waiting, size = [], 0
+        if len(raw) <= PART:
+            waiting.append(raw)
+            size += len(raw)
+            continue
+        whole = bytearray()
+        for part in _parts(raw):
+            words = table.split(part)
+            table.learn(set(words))
+            whole += b"".join(map(table.__getitem__, words))
+        yield bytes(whole)
+    yield from flush()
 
 
 def _cut(path: str, sequence: int, end_id: int):
@@ -98,15 +160,15 @@ def _cut(path: str, sequence: int, end_id: int):
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 some = batch.slice(at, 1000)
-                split = [_split(t) for t in some.column("text").to_pylist()]
-                table.learn(set().union(*split))
+                texts = (value.as_buffer().to_pybytes() for value in some.column("text"))
                 rows = []
-                for doc, words in zip(some.column("doc_id").to_pylist(), split, strict=True):
-                    raw = b"".join(map(table.__getitem__, words)) + end
+                for doc, ids in zip(some.column("doc_id").to_pylist(), _encoded(table, texts), strict=True):
+                    raw = ids + end
                     for piece, start in enumerate(range(0, len(raw), 4 * sequence)):
                         part = raw[start : start + 4 * sequence]
                         rows.append((doc, piece, start // 4, len(part) // 4, zlib.crc32(part)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(zip(*rows, strict=True))], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        release()
 
     return cut
 

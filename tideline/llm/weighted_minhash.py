@@ -34,7 +34,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tideline.llm.columns import let_go
+from tideline.llm.columns import let_go, release
 from tideline.operators.graph import connected_components
 from tideline.session import scratch_folder
 
@@ -206,6 +206,7 @@ def _batches(batches: Iterable[pa.RecordBatch], column: str = "text") -> Iterato
         for at in range(0, batch.num_rows, 500):
             some = batch.slice(at, 500)
             yield some, word_hashes(some.column(column).to_pylist())
+    release()
 
 
 def _counters(most: int):
