@@ -6,27 +6,28 @@ weights are trained together by stochastic gradient descent in numpy on a bounde
 temperature and a rejection threshold are fitted on rows kept out of the descent. As mean and softmax input are linear,
 scoring needs only the product of the two tables: a few floats per window, summed per text over the whole text.
 
-Bounds of the sample: at most ``MAX_LANGS`` languages (the most frequent), ``SAMPLE_ROWS`` rows in all, drawn by a hash of
-text, spread evenly over languages. Everything else reads all rows.
+Bounds of the sample: ``SAMPLE_ROWS`` distinct texts in all, spread evenly over all languages that occur, but at least ``LEAST_ROWS`` a
+language, drawn by a hash of text, so that copies count once. Everything else reads all rows.
 
-Defined results: a null text or one without a letter is ``und`` with score 0 and is rejected; rows with a null language
-teach nothing; where no row teaches anything every text is ``und``. Ties go to the language that sorts first. Ids are
+Defined results: a null text or one without a letter (Unicode category L) is ``und`` with score 0 and is rejected; rows with a null language
+teach nothing; where no row teaches anything every text is ``und``; an empty table gives an empty one. Rows that repeat an id or
+a text are scored each by itself and alike. Ties go to the language that sorts first. Ids are
 never read. Extra columns are kept by ``with_language`` (its own columns replace columns of the same name).
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+import regex
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from tideline.llm.columns import let_go
+from tideline.llm.columns import let_go, release
 
-MAX_LANGS = 64
 SAMPLE_ROWS = 2400
+LEAST_ROWS = 40
 BUCKETS = 1 << 15
 WIDTH = 16
 EPOCHS = 6
@@ -36,7 +37,7 @@ MOST_REJECTING = 0.4
 MISS = 0.002
 PIECE = 1 << 18
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _BLANKS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
 
 
@@ -153,25 +154,20 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
 def train(docs: DataFrame, teaches: Column, text: str = "text", lang: str = "lang", sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fits a model on a sample of the rows where ``teaches`` holds and text and language are given."""
     rows = docs.filter(teaches & F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).cast("string").alias("text"), F.col(lang).cast("string").alias("lang"))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
-    if not counts:
+    rows = rows.withColumn("draw", F.xxhash64("text").bitwiseAND(F.lit((1 << 62) - 1)))  # the same for all copies of a text
+    found = rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()  # one row per language
+    if not found:
         return fit([], [])
-    each = sample_rows // len(counts)
-    draw = (F.xxhash64("text") % 1_000_003 + 1_000_003) % 1_000_003
-    rate = F.coalesce(*(F.when(F.col("lang") == r["lang"], F.lit(int(min(1.0, 1.1 * each / r["count"]) * 1_000_003))) for r in counts), F.lit(0))
-    picked = rows.filter(draw < rate).orderBy(draw, "text").limit(2 * sample_rows).collect()
-    taken: dict[str, int] = {}
-    texts, langs = [], []
-    for row in picked:
-        taken[row["lang"]] = taken.get(row["lang"], 0) + 1
-        if taken[row["lang"]] <= each:
-            texts.append(row["text"])
-            langs.append(row["lang"])
-    return fit(texts, langs)
+    each = max(sample_rows // len(found), LEAST_ROWS)
+    rates = F.create_map(*(F.lit(v) for r in found for v in (r["lang"], int(min(1.0, 1.5 * each / max(r["n"], 1)) * (1 << 62)))))
+    drawn = rows.filter(F.col("draw") <= rates[F.col("lang")]).groupBy("lang", "draw").agg(F.min("text").alias("text"))
+    quota = drawn.withColumn("_place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).filter(F.col("_place") <= each)
+    picked = quota.orderBy("lang", "draw").select("text", "lang").collect()  # at most ``each`` distinct texts a language
+    return fit([r["text"] for r in picked], [r["lang"] for r in picked])
 
 
 def _predictor(docs: DataFrame, model: Model):
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets times at most MAX_LANGS floats
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of buckets times one float per language
 
     @F.pandas_udf("lang_pred string, score double, lang_accepted boolean")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -180,6 +176,7 @@ def _predictor(docs: DataFrame, model: Model):
         for batch in batches:
             names, scores = known.predict(batch)
             yield pd.DataFrame({"lang_pred": names, "score": scores, "lang_accepted": [n != "und" and s >= known.threshold for n, s in zip(names, scores, strict=True)]})
+        release()
 
     return predict
 
