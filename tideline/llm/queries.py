@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tideline.llm import exact_dedup, language_id, packing, quality_cnn, secret_scan, source_mixing, token_counts, vector_neardup, warc_zip, weighted_minhash
+from tideline.llm import exact_dedup, language_id, lexical_search, license_scan, packing, quality_cnn, secret_scan, source_mixing, token_alignment, token_counts, vector_neardup, warc_zip, weighted_minhash
 from tideline.llm.columns import crc_mod, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -148,3 +148,42 @@ SELECT doc_id, source, tokens, CAST(epoch AS INTEGER) AS epoch, block, block_ord
 def op1_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "source")
     return source_mixing.placed(docs).select("doc_id", "source", "tokens", "epoch", "block", "block_order", "doc_order")
+
+
+@_query("op11_token_alignment")
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    found = token_alignment.aligned(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_overlaps")
+
+
+@_query("op12_license_scan")
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    found = license_scan.scan(table(spark, folder, "documents").select("doc_id", "text"), passing=["doc_id"])
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+@_query("op13_lexical_search", r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), f AS (SELECT r, doc_id, term, count(*) AS tf FROM (SELECT r, doc_id, unnest(terms) AS term FROM d) GROUP BY ALL),
+l AS (SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM f GROUP BY r),
+s AS (SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS total FROM l),
+g AS (SELECT term, count(*) AS df FROM f GROUP BY term),
+q AS (
+  SELECT item_id, unnest(list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM benchmark
+), h AS (
+  SELECT q.item_id, f.r, f.doc_id,
+    CAST(sum(CAST(floor(1000 * ln((2 * s.docs + 2) / (2 * g.df + 1))) AS BIGINT) * ((1000000000 * f.tf) // (1000 * f.tf + 8 * (10 + (90 * l.n * s.docs) // s.total)))) AS BIGINT) AS score
+  FROM q JOIN f USING (term) JOIN g USING (term) JOIN l USING (r) CROSS JOIN s GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM h WHERE score > 0
+) WHERE rank <= 10""")
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.search(lexical_search.build(table(spark, folder, "documents").select("doc_id", "text")), table(spark, folder, "benchmark"))
