@@ -37,6 +37,7 @@ _ENTRY = 120  # what a word costs in the table besides its letters and ids
 _LOWERED = bytes(b + 32 if 65 <= b <= 90 else 32 if b in b"\t\n\r" else b for b in range(256))
 _BLANKS = bytes(32 if b in b"\t\n\r" else b for b in range(256))
 _BLANK = re.compile(rb"[ \t\n\r]")
+_SMALL = {bytes([b]) for b in range(97, 123)}
 _LATIN = {chr(c).encode() for c in range(0xDF, 0x100) if c != 0xF7}
 _PUNCTUATION = bytes(b for b in range(33, 127) if not chr(b).isalnum())
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
@@ -73,29 +74,31 @@ class Words(dict):
             self.clear()
             self.update(present)
             self.bytes = sum(map(len, present)) + sum(map(len, present.values())) + _ENTRY * len(present)
-        new, parted = words - self.keys(), []
-        asked = set()
+        new = words.difference(self)
+        runs, rest, parted = [], [], []
+        asked: set[bytes] = set()
+        risky = self.added.search(b" ".join(new)) is not None
         for word in new:
             base = word.rstrip(_PUNCTUATION)
-            if len(base) != len(word) and base and (97 <= base[-1] <= 122 or base[-2:] in _LATIN) and not self.added.search(word):
-                parted.append((word, base, tail := word[len(base) :]))
-                asked.update((base, tail))
-            else:
-                asked.add(word)
-        asked -= self.keys()
-        runs, rest = [], []
-        for word in asked:
-            if word.isalpha():
+            if base != word and (base[-1:] in _SMALL or base[-2:] in _LATIN) and not (risky and self.added.search(word)):
+                parted.append(word)
+                asked.add(base)
+                asked.add(word[len(base) :])
+            elif word.isalpha():
                 runs.append(word.decode())
             else:
                 shown = word.decode()
                 (runs if shown.isalpha() and max(shown) <= "\u00ff" else rest).append(shown)
+        for word in asked.difference(self, new):
+            shown = word.decode()
+            (runs if shown.isalpha() and max(shown) <= "\u00ff" else rest).append(shown)
         self._runs(runs)
         for word, found in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
             self[word.encode()] = np.array(found.ids, "<u4").tobytes()
-        for word, base, tail in parted:
-            self[word] = self[base] + self[tail]
-        self.bytes += sum(map(len, new)) + sum(map(len, map(self.__getitem__, new))) + _ENTRY * len(new | asked)
+        for word in parted:
+            base = word.rstrip(_PUNCTUATION)
+            self[word] = self[base] + self[word[len(base) :]]
+        self.bytes += 2 * sum(map(len, new)) + _ENTRY * (len(runs) + len(rest) + len(parted))
 
     def _runs(self, words: list[str]) -> None:
         """Words of Latin-1 letters only, many to a call: each ends with its one token that is marked as a word's end."""
