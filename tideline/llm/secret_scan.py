@@ -7,14 +7,16 @@ log-likelihood ratio per character passes a threshold fitted on samples kept out
 its parts between = / . - _ are scored alone, and between those that pass every stretch of ``MIN_LENGTH`` or more with the
 largest sum of ratios above a second threshold, fitted on the best stretches of long ordinary paths.
 
-The models learn from labelled samples. Ordinary: words of a bounded sample of texts (outside base spans), alone and
-joined the way identifiers are (snake, camel and kebab case, paths, hosts, counters), numbers and dates. Random: values of base spans in that sample,
-and strings drawn uniformly from the alphabets keys are written in. ``SAMPLE_DOCS`` and ``SAMPLE_STRINGS`` bound the samples; texts
-are scanned whole, and no other bound exists.
+The models learn from labelled samples. Ordinary: words of a bounded sample of texts (outside base spans) and ``COMMON`` ones, alone and
+joined the way ordinary runs are (identifiers, files, paths, hosts, addresses, versions, dates, compounds, repeats). Random: values of base
+spans in that sample, and strings drawn uniformly from the alphabets keys are written in. A fifth of the words is kept out of training: runs
+made of those set the thresholds. ``SAMPLE_DOCS``, ``SAMPLE_WORDS`` and ``SAMPLE_STRINGS`` bound the samples; texts are scanned whole, and no other
+bound exists.
 
 Defined results: null text is empty and has no spans; ids are never read; where the sample has no word the ordinary model
 is uniform. Spans count code points, end exclusive, and are ordered by start, then kind (assign, access, hex, random).
-Extra columns are ignored by ``scan`` apart from those asked for.
+An empty table gives an empty one; rows that repeat an id are scanned each by itself. Extra columns are ignored by ``scan`` apart from those
+asked for.
 """
 
 from __future__ import annotations
@@ -22,16 +24,18 @@ from __future__ import annotations
 import hashlib
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 SAMPLE_DOCS = 400
 SAMPLE_STRINGS = 6000
+SAMPLE_WORDS = 20_000
 MIN_LENGTH = 16
-MIN_RATIO = 0.5
+MIN_RATIO = 0.4
+FALSE_ALARMS = 0.006
 KINDS = ("assign", "access", "hex", "random")
 
 # The shapes that the contract of this scan names.
@@ -40,6 +44,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 8, 16, 32
 
+# Words common in addresses, files and identifiers, and file endings.
+COMMON = (
+    "about access account action add admin agent album alpha android api app apple archive article asset async auth backup base batch beta bin binary blog board book branch browser "
+    "buffer build bundle button cache calendar callback camera cancel category change channel chapter chart check class client cloud cluster code collection column comment commit "
+    "common community company component config connection contact container content context control controller copy core count country course create custom data database date "
+    "debug default delete demo deploy design detail developer device dictionary directory docker document domain download driver edit editor element email engine entry environment error "
+    "event example export factory feature feed field file filter firmware folder font format forum framework function gallery game general get git global graph group guide handler "
+    "hardware header health help history home host html http https icon image import include index info input install instance interface internal invoice issue item java javascript job json "
+    "kernel key kubernetes language latest layout library license linux list loader local lock login manager map market master media member memory menu message method mobile mode model module "
+    "monitor music network news node notebook number object office online open option order output package page parser password path payment people performance photo picture pipeline platform player "
+    "plugin policy portal post press price private process product profile program project protocol provider public python query queue random read readme record region register release remote report "
+    "repository request resource response result review role root route router runtime sample schedule schema science school script search section security select sensor server service session setting shared "
+    "shop signal simple site size software source space special stack standard start state static status storage store stream string student style support system table target task team template term "
+    "test text theme thread ticket time title tool topic trade train transfer travel tree trigger type update upload user util value vendor version video view virtual wallet watch weather web website widget wiki "
+    "wikipedia window wireless word work worker world write year youtube zone"
+).split()
+ENDINGS = (".py", ".html", ".json", ".jpg", ".png", ".pdf", ".tar.gz", ".txt", ".js", ".css", ".csv", ".xml", ".mp4", ".zip", ".md", ".yaml")
+
 # The same matches, found faster: a failing match of these leaves nothing that a later start could match.
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _TOKEN = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_.=-]{16,}")
@@ -151,34 +173,56 @@ def _log_chances(tokens: list[str]) -> np.ndarray:
 
 
 def ordinary_identifiers(words: list[str], n: int, rng: random.Random) -> list[str]:
-    """Words alone and joined as identifiers, file names, paths and hosts are; numbers and dates."""
+    """Runs as people and programs write them: words joined as identifiers, files, paths and hosts are, addresses, versions, numbers,
+    dates, long compounds, one character repeated. ``words`` are mixed with those that are common in such runs."""
     if not words:
         return []
-    out = []
-    for _ in range(n):
-        some = [rng.choice(words) for _ in range(rng.randint(1, 5))]
-        style = rng.randrange(10)
-        if style == 0:
-            out.append("_".join(w.lower() for w in some))
-        elif style == 1:
-            out.append("".join(w.capitalize() for w in some))
-        elif style == 2:
-            out.append("-".join(w.lower() for w in some))
-        elif style == 3:
-            out.append("/".join(w.lower() for w in some) + rng.choice(("", ".py", ".html", ".json")))
-        elif style == 4:
-            out.append("_".join(w.upper() for w in some) + str(rng.randrange(1000)))
-        elif style == 5:
-            out.append("".join(w.lower() for w in some))
-        elif style == 6:
-            out.append(".".join(w.lower() for w in some))
-        elif style == 7:
-            out.append(".".join([some[0].lower() + str(rng.randrange(100)), *(w.lower() for w in some[1:3]), rng.choice(("com", "org", "net"))]))
-        elif style == 8:
-            out.append(f"{rng.choice(('', '+'))}{rng.randrange(10**9, 10**18)}")
-        else:
-            out.append(f"{rng.randint(1970, 2040)}-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}-{rng.randrange(10**6)}.{rng.choice(some).lower()}")
-    return out
+
+    def word() -> str:
+        w = rng.choice(words) if rng.random() < 0.6 else rng.choice(COMMON)
+        return rng.choice((w.lower(), w.lower(), w.capitalize()))
+
+    def number() -> str:
+        return rng.choice((str(rng.randrange(10)), str(rng.randrange(100)), str(rng.randrange(10**4)), f"{rng.randrange(10**8):08d}"))
+
+    def day(by: str = "") -> str:
+        return by.join((str(rng.randint(1970, 2040)), f"{rng.randint(1, 12):02d}", f"{rng.randint(1, 28):02d}"))
+
+    def version() -> str:
+        return rng.choice(("", "v")) + ".".join(str(rng.randrange(30)) for _ in range(rng.randint(2, 4)))
+
+    def ending() -> str:
+        return rng.choice(ENDINGS)
+
+    def path(least: int = 1, most: int = 5) -> str:
+        return "/".join(rng.choice((word, word, word, number, day))() if rng.random() < 0.9 else day("/") for _ in range(rng.randint(least, most)))
+
+    def host() -> str:
+        return rng.choice(("", "", "www.", "api.")) + rng.choice((word().lower(), word().lower() + "-" + word().lower(), word().lower() + number())) + "." + rng.choice(("com", "org", "net", "io", "de", "fr", "es", "co.uk"))
+
+    styles = (
+        lambda: "_".join(word().lower() for _ in range(rng.randint(1, 6))),
+        lambda: "".join(word().capitalize() for _ in range(rng.randint(2, 6))),
+        lambda: "-".join(word().lower() for _ in range(rng.randint(1, 6))),
+        lambda: rng.choice(("", "/", "./")) + path() + rng.choice(("", ending())),
+        lambda: "_".join(word().upper() for _ in range(rng.randint(1, 5))) + number(),
+        lambda: "".join(word().lower() for _ in range(rng.randint(2, 6))),
+        lambda: ".".join(word().lower() for _ in range(rng.randint(2, 5))),
+        lambda: "//" + host() + "/" + path() + rng.choice(("", ending(), "/")),
+        lambda: host() + rng.choice(("", "/" + path())),
+        lambda: f"{rng.choice(('', '+'))}{rng.randrange(10**9, 10**18)}",
+        lambda: day(rng.choice("-/_.")) + rng.choice("-_/.") + rng.choice((number(), word().lower(), day("/"))) + rng.choice(("", ending())),
+        lambda: word() + rng.choice("-_") + version() + rng.choice(("", "-rc." + number(), "-beta", "+build." + day(), "-" + word().lower())) + rng.choice(("", ending())),
+        lambda: version() + rng.choice(("-rc.1", "-alpha", "")) + rng.choice(("+build.", "-")) + day(),
+        lambda: rng.choice(("IMG", "DSC", "scan", "log", word())) + "_" + day() + "_" + f"{rng.randrange(10**6):06d}" + rng.choice(("", "_HDR", "_" + word())) + ending(),
+        lambda: "/usr/" + rng.choice(("lib", "share", "local/lib")) + "/" + rng.choice(("x86_64-linux-gnu", "python3." + number(), word().lower())) + "/lib" + word().lower() + rng.choice((".so.", "-")) + number(),
+        lambda: rng.choice(_CLASSES) * rng.randint(MIN_LENGTH, 60),
+        lambda: (word().lower()[: rng.randint(2, 8)] * 8)[: rng.randint(MIN_LENGTH, 40)],
+        lambda: word() + "=" + rng.choice((word().lower(), number(), path())) + rng.choice(("", "=" + word())),
+        lambda: "".join(word().lower() for _ in range(rng.randint(3, 6))).capitalize(),
+        lambda: rng.choice(("".join, "-".join))([word().upper() for _ in range(rng.randint(2, 5))]),
+    )
+    return [rng.choice(styles)() for _ in range(n)]
 
 
 def random_strings(n: int, rng: random.Random) -> list[str]:
@@ -188,41 +232,57 @@ def random_strings(n: int, rng: random.Random) -> list[str]:
     return ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(MIN_LENGTH, 48))) for _ in range(n)]
 
 
-def fit(texts: list[str], strings: int = SAMPLE_STRINGS, seed: int = 5) -> Model:
+def labelled(text: str) -> tuple[set[str], set[str]]:
+    """(words outside base spans, values of base spans) of a whole text."""
+    words: set[str] = set()
+    values: set[str] = set()
+    spans, at = base_spans(text), 0
+    for s, e, _ in [*spans, (len(text), len(text), 0)]:
+        words.update(_WORD.findall(text[at:s]))
+        at = max(at, e)
+        value = text[s:e].rpartition("=")[2].strip(" \"'")
+        if value.isascii() and len(value) >= MIN_LENGTH and not set(value) - set(_CLASSES):
+            values.add(value)
+    return words, values
+
+
+def fit(words: list[str], values: list[str], strings: int = SAMPLE_STRINGS, seed: int = 5) -> Model:
+    """Every fifth word and secret is kept out of training. The thresholds lie above all but ``FALSE_ALARMS`` of the runs made of those words."""
     rng = random.Random(seed)
-    words, values = [], []
-    for text in texts:
-        spans = base_spans(text)
-        values += [text[s:e].rpartition("=")[2].strip(" \"'") for s, e, _ in spans]
-        at = 0
-        for s, e, _ in [*spans, (len(text), len(text), 0)]:
-            words += _WORD.findall(text[at:s])
-            at = max(at, e)
-    words = sorted(set(words))
-    values = sorted({v for v in values if v.isascii() and len(v) >= MIN_LENGTH and not set(v) - set(_CLASSES)})
-    secret, plain = random_strings(strings, rng) + values, ordinary_identifiers(words, strings, rng)
-    for some in (secret, plain):
-        rng.shuffle(some)
-    cut_secret, cut_plain = len(secret) // 5, len(plain) // 5
-    ratio = _log_chances(secret[cut_secret:]) - _log_chances(plain[cut_plain:])
+    words, values = sorted(set(words)), sorted(set(values))
+    rng.shuffle(words)
+    secret, cut = random_strings(strings, rng) + values, len(words) // 5
+    rng.shuffle(secret)
+    plain = ordinary_identifiers(words[cut:], 2 * strings, rng)
+    ratio = _log_chances(secret[len(secret) // 5 :]) - _log_chances(plain)
     model = Model(ratio, 0.0)
-    held = [model.score(t) for t in plain[:cut_plain] if len(t) >= MIN_LENGTH]
-    # Above nearly all ordinary identifiers kept out of training, and never below MIN_RATIO nats a character.
-    model.threshold = max(MIN_RATIO, float(np.quantile(held, 0.9995)) + 0.05) if held else MIN_RATIO
-    # Likewise above the best stretches of long paths of them.
-    paths = ["/".join(plain[k : min(k + 4, cut_plain)]) for k in range(cut_plain)]
-    best = [model.best_stretch(t) for t in paths if len(t) >= MIN_LENGTH]
-    model.stretch = max(model.threshold, float(np.quantile(best, 0.9995)) + 0.05) if best else model.threshold
+    held = [t for t in (m.rstrip(".=-_/+") for m in ordinary_identifiers(words[:cut], strings, rng)) if len(t) >= MIN_LENGTH]
+    if not held:
+        model.threshold = model.stretch = MIN_RATIO
+        return model
+    whole = [max([model.score(t), *(model.score(m.group()) for m in _PART.finditer(t))]) for t in held]
+    model.threshold = max(MIN_RATIO, float(np.quantile(whole, 1 - FALSE_ALARMS / 2)))
+    model.stretch = max(model.threshold, float(np.quantile([model.best_stretch(t) for t in held], 1 - FALSE_ALARMS / 2)))
     return model
 
 
+def _learnt(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for text in batch["t"]:
+            words, values = labelled(text)
+            yield pd.DataFrame({"secret": [False] * len(words) + [True] * len(values), "value": [*words, *values]})
+
+
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Fits on about ``sample_docs`` texts drawn by their hashes, at most 20,000 characters of each."""
+    """Fits on the words and base values of about ``sample_docs`` whole texts drawn by their hashes; at most ``SAMPLE_WORDS`` distinct words and as many values
+    leave the executors."""
     rows = docs.filter(F.col(text).isNotNull()).select(F.col(text).cast("string").alias("t"))
     rate = min(1.0, sample_docs / max(1, rows.count()))
-    drawn = rows.filter(F.pmod(F.xxhash64("t"), F.lit(1_000_003)) < int(rate * 1_000_003))
-    picked = drawn.select(F.substring("t", 1, 20_000).alias("t")).orderBy(F.xxhash64("t"), "t").limit(2 * sample_docs).collect()
-    return fit([r["t"] for r in picked])
+    drawn = rows.filter(F.xxhash64("t").bitwiseAND(F.lit((1 << 62) - 1)) <= int(rate * (1 << 62)))
+    found = drawn.mapInPandas(_learnt, "secret boolean, value string").distinct()
+    place = F.row_number().over(Window.partitionBy("secret").orderBy(F.xxhash64("value"), "value"))
+    picked = found.withColumn("_place", place).filter(F.col("_place") <= SAMPLE_WORDS).select("secret", "value").collect()
+    return fit([r["value"] for r in picked if not r["secret"]], [r["value"] for r in picked if r["secret"]])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
