@@ -1,11 +1,16 @@
 """A market read from the test tables.
 
 events -> swaps (pool = event type, price = value, order = minute block and event id), the reference series is the
-value of ``view`` events, blocks are the minutes of the time span, the change point is 2024-01-16 00:00.
+value of ``view`` events (plus one hundredth: a price is never zero), blocks are the minutes of the time span, the change point is
+2024-01-16 00:00. As in the jobs, enriched swaps, panels and arbitrages are written once and read by every later query of the session;
+``forget`` makes the next query write them again.
 """
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tideline.functions import clock
@@ -15,7 +20,7 @@ from tideline.operators.openings import blocks_waited, classify_openings, last_i
 from tideline.operators.ordered import previous_row
 from tideline.plans.enrich import BLOCK_SLICE, ORDER, enriched
 from tideline.plans.panel import hourly_panel
-from tideline.session import prepare
+from tideline.session import prepare, scratch_folder
 
 CHANGE_MS = 1_705_363_200_000
 CHANGE_BLOCK = CHANGE_MS // 60_000
@@ -28,14 +33,36 @@ HORIZONS = {"5": 300_000, "30": 1_800_000}
 PUBLIC_WALLETS, PUBLIC_MEDIAN = 50, 1
 
 
+_WRITTEN: dict[tuple, str] = {}
+
+
+def forget() -> None:
+    _WRITTEN.clear()
+
+
+def written(build: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A table that is written once per session and arguments."""
+
+    @functools.wraps(build)
+    def read(spark: SparkSession, sf: str, *args, **named) -> DataFrame:
+        key = (spark.sparkContext.applicationId, build.__name__, sf, *args, *sorted(named.items()))
+        if key not in _WRITTEN:
+            folder = scratch_folder(spark, build.__name__)
+            build(spark, sf, *args, **named).write.parquet(folder)
+            _WRITTEN[key] = folder
+        return prepare(spark).read.parquet(_WRITTEN[key])
+
+    return read
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     prepare(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "events").filter("value > 0").select(
-        "event_id", clock.epoch_ms(F.col("ts")).alias("ts_ms"), "user_id", "event_type", "value",
+    return table(spark, sf, "events").select(
+        "event_id", clock.epoch_ms(F.col("ts")).alias("ts_ms"), "user_id", "event_type", (F.col("value") + F.lit(0.01)).alias("value"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
 
@@ -80,6 +107,7 @@ def blocks(spark: SparkSession, sf: str) -> DataFrame:
     return number_spine(span, [], "_s", "_e").select("number", (F.col("number") * 60_000).alias("milli_ts"))
 
 
+@written
 def enriched_swaps(spark: SparkSession, sf: str, lag_ms: int = 0, bounded: bool | None = None) -> DataFrame:
     return enriched(
         swaps(spark, sf), ticks(spark, sf), candles(spark, sf), lag_ms=lag_ms, candle_age_ms=STEP_MS,
@@ -87,16 +115,19 @@ def enriched_swaps(spark: SparkSession, sf: str, lag_ms: int = 0, bounded: bool
     )
 
 
+@written
 def panel(spark: SparkSession, sf: str, lag_ms: int = 0, bounded: bool | None = None) -> DataFrame:
     return hourly_panel(enriched_swaps(spark, sf, lag_ms), CHANGE_MS, DT_PRE_MS / 1000, DT_POST_MS / 1000, bounded)
 
 
+@written
 def arb_candidates(spark: SparkSession, sf: str, bounded: bool | None = None) -> DataFrame:
     state = {f"prev_{c}": c for c in ("ts_ms", "block", "dev_pre", "dev_post", "is_arb")}
     stepped = previous_row(enriched_swaps(spark, sf), ["pool"], ORDER, state, width=BLOCK_SLICE, bounded=bounded)
     return stepped.filter("is_arb AND prev_ts_ms IS NOT NULL")
 
 
+@written
 def arbs(spark: SparkSession, sf: str, bounded: bool | None = None) -> DataFrame:
     candidates = arb_candidates(spark, sf, bounded)
     ranges = last_inside_band(candidates, ticks(spark, sf), pool_symbols(spark, sf), SEARCH_MS, bounded=bounded)
@@ -112,9 +143,9 @@ def arbs(spark: SparkSession, sf: str, bounded: bool | None = None) -> DataFrame
 
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "ev": ((), """
-        SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, user_id, event_type, value,
+        SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, user_id, event_type, value + 0.01::DOUBLE AS value,
                CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k
-        FROM events WHERE value > 0"""),
+        FROM events"""),
     "sw": (("ev",), f"""
         SELECT event_type AS pool, ts_ms // 60000 AS block, (ts_ms // 60000) * 60000 AS ts_ms, event_id AS log_index,
                'c' || user_id AS sender, 'w' || k AS tx_from, value AS p_post,

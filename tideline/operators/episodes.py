@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tideline.operators.ordered import HOUR_MS, next_row, previous_row, running_total
+from tideline.operators.ordered import HOUR_MS, ordered_columns, previous_row, running_total
 
 
 def episodes(df: DataFrame, keys: list[str], order: list[str], outside: Column, width: int = HOUR_MS, bounded=False) -> DataFrame:
@@ -31,8 +31,7 @@ def coverage_gaps(done: DataFrame, keys: list[str], first: int | str, last: int
     # The furthest covered point so far is a running maximum: compressed to one row per start first.
     rows = body.filter((F.col("stop") >= F.col("_lo")) & (F.col("start") <= F.col("_hi"))).unionByName(head)
     per_start = rows.groupBy(*keys, "_lo", "_hi", "start").agg(F.max("stop").alias("stop"))
-    reached = running_maximum(per_start, keys, ["start"], {"_reached": "stop"}, bounded=bounded)
-    following = next_row(reached, keys, ["start"], {"_next": "start"}, width=1_000_000, bounded=bounded)
+    following = ordered_columns(per_start, keys, ["start"], 1_000_000, bounded=bounded, maxima={"_reached": "stop"}, following={"_next": "start"})
     gap_end = F.least(F.coalesce(F.col("_next") - 1, F.col("_hi")), F.col("_hi"))
     return following.select(*keys, (F.col("_reached") + 1).alias("gap_start"), gap_end.alias("gap_stop")).filter(
         F.col("gap_start") <= F.col("gap_stop")
@@ -41,23 +40,7 @@ def coverage_gaps(done: DataFrame, keys: list[str], first: int | str, last: int
 
 def running_maximum(df: DataFrame, keys: list[str], order: list[str], names: dict[str, str], width: int = 1_000_000, bounded=False) -> DataFrame:
     """Inclusive running maximum; slices carry the maximum of all earlier slices."""
-    from pyspark.sql import Window
-
-    from tideline.operators.ordered import _sliced
-    from tideline.operators.slices import SLICE
-    if bounded:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.max(src).over(window).alias(new) for new, src in names.items()])
-    cut = _sliced(df, keys, order, width, None)
-    inside = Window.partitionBy(*keys, *SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    across = Window.partitionBy(*keys).orderBy(*SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = cut.groupBy(*keys, *SLICE).agg(*[F.max(src).alias(f"_t_{new}") for new, src in names.items()])
-    carry = carry.select(*keys, *SLICE, *[F.max(f"_t_{new}").over(across).alias(f"_c_{new}") for new in names])
-    rows = cut.select("*", *[F.max(src).over(inside).alias(new) for new, src in names.items()])
-    joined = rows.join(carry, [*keys, *SLICE], "left")
-    for new in names:
-        joined = joined.withColumn(new, F.greatest(new, f"_c_{new}"))
-    return joined.drop(*[f"_c_{new}" for new in names], *SLICE)
+    return ordered_columns(df, keys, order, width, bounded=bounded, maxima=names)
 
 
 def log_returns(df: DataFrame, keys: list[str], order: list[str], price: str, width: int = HOUR_MS, bounded=False) -> DataFrame:

@@ -1,8 +1,10 @@
 """Order-dependent columns (previous row, carried-forward value, running totals) without one task per key.
 
-Windows run per slice (a key's rows in a fixed span of the order column), and a carry table with one row per slice takes
-state from slice to slice. Nothing is counted beforehand: a span holds what arrives in it, however long the history. Where
-one span of one key may itself be too much, ``max_rows`` cuts fuller spans again at quantiles, at the price of one count.
+The input is cut into slices (a key's rows in a fixed span of the order column), dealt by slice and written once. Windows run per
+slice; a summary with one row per slice, folded over the slices of a key, takes state from slice to slice. ``ordered_columns`` adds any
+number of columns of one order in that one pass, so nested calls read what the call before has written and plans grow in proportion to
+their number. Nothing is counted beforehand: a span holds what arrives in it, however long the history. Where one span of one key may
+itself be too much, ``max_rows`` cuts fuller spans again at quantiles, at the price of one count.
 ``bounded`` asks for one window per key instead; it is for callers that know their keys to be small by construction.
 """
 
@@ -11,125 +13,114 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tideline.operators.slices import SLICE, as_struct, hot_edges, with_slices
+from tideline.session import cut_lineage
 
 HOUR_MS = 3_600_000
 
+Names = dict[str, str]
+Sources = dict[str, str | Column]
 
-def _sliced(df, keys, order, width, max_rows):
-    return with_slices(df, keys, order[0], width, None if max_rows is None else hot_edges(df, keys, order[0], width, max_rows))
 
+def _source(value: str | Column) -> Column:
+    return F.col(value) if isinstance(value, str) else value
 
-def _spread(df: DataFrame, source: str, names: dict[str, str]) -> DataFrame:
-    return df.select("*", *[F.col(source)[old].alias(new) for new, old in names.items()]).drop(source)
+
+def _windowed(df: DataFrame, keys: list[str], order: list[str], previous: Names, following: Names, carried: Names, carried_back: Names, totals: Sources, maxima: Sources) -> DataFrame:
+    """All columns by windows over ``keys`` alone. Backward carries run in descending order: a frame that grows from its start costs one
+    step per row, while one that runs to the end of the group is recomputed for every row."""
+    up = Window.partitionBy(*keys).orderBy(*order)
+    upto = up.rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select(
+        "*",
+        *[F.lag(old).over(up).alias(new) for new, old in previous.items()],
+        *[F.lead(old).over(up).alias(new) for new, old in following.items()],
+        *[F.last(old, ignorenulls=True).over(upto).alias(new) for new, old in carried.items()],
+        *[F.last(old, ignorenulls=True).over(down).alias(new) for new, old in carried_back.items()],
+        *[F.sum(_source(value)).over(upto).alias(new) for new, value in totals.items()],
+        *[F.max(_source(value)).over(upto).alias(new) for new, value in maxima.items()],
+    )
 
 
-def previous_row(
+def ordered_columns(
     df: DataFrame,
     keys: list[str],
     order: list[str],
-    names: dict[str, str],
     width: int = HOUR_MS,
     max_rows: int | None = None,
     bounded: bool = False,
+    previous: Names | None = None,
+    following: Names | None = None,
+    carried: Names | None = None,
+    carried_back: Names | None = None,
+    totals: Sources | None = None,
+    maxima: Sources | None = None,
 ) -> DataFrame:
-    """Adds columns of the preceding row of the key: ``names`` maps new column -> source column.
+    """Adds columns of one order in one pass; every argument maps new column -> source.
 
-    ``order[0]`` must be numeric (it defines the slices); further columns break ties."""
-    cols = sorted(set(names.values()))
+    ``previous`` and ``following``: the neighbouring row's value. ``carried``: the last non-null value at or before the row;
+    ``carried_back``: the first at or after it. ``totals`` and ``maxima``: inclusive running sums and maxima of columns or
+    expressions. ``order[0]`` must be numeric (it defines the slices); further columns break ties."""
+    previous, following, carried, carried_back = previous or {}, following or {}, carried or {}, carried_back or {}
+    totals, maxima = totals or {}, maxima or {}
     if bounded:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lag(old).over(window).alias(new) for new, old in names.items()])
-    cut = _sliced(df, keys, order, width, max_rows)
-    inside = Window.partitionBy(*keys, *SLICE).orderBy(*order)
-    rows = cut.withColumn("_sl_prev", F.lag(as_struct(cols)).over(inside))
-    tails = cut.groupBy(*keys, *SLICE).agg(F.max_by(as_struct(cols), as_struct(order)).alias("_tail"))
+        return _windowed(df, keys, order, previous, following, carried, carried_back, totals, maxima)
+    edges = None if max_rows is None else hot_edges(df, keys, order[0], width, max_rows)
+    rows = cut_lineage(with_slices(df, keys, order[0], width, edges).repartition(*keys, *SLICE))
+    at = as_struct(order)
+    # What a slice hands on: its last row, its first row, its last and first known values, its sum and its maximum.
+    tail = as_struct([F.col(old).alias(new) for new, old in previous.items()])
+    head = as_struct([F.col(old).alias(new) for new, old in following.items()])
+    told = [F.max_by(tail, at).alias("_tail")] if previous else []
+    told += [F.min_by(head, at).alias("_head")] if following else []
+    told += [F.max_by(F.col(old), F.when(F.col(old).isNotNull(), at)).alias(f"_t_{new}") for new, old in carried.items()]
+    told += [F.min_by(F.col(old), F.when(F.col(old).isNotNull(), at)).alias(f"_t_{new}") for new, old in carried_back.items()]
+    told += [F.sum(_source(value)).alias(f"_t_{new}") for new, value in totals.items()]
+    told += [F.max(_source(value)).alias(f"_t_{new}") for new, value in maxima.items()]
     across = Window.partitionBy(*keys).orderBy(*SLICE)
-    carry = tails.select(*keys, *SLICE, F.lag("_tail").over(across).alias("_sl_carry"))
-    joined = rows.join(carry, [*keys, *SLICE], "left").withColumn("_sl_prev", F.coalesce("_sl_prev", "_sl_carry"))
-    return _spread(joined.drop("_sl_carry", *SLICE), "_sl_prev", names)
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in SLICE]).rowsBetween(Window.unboundedPreceding, -1)
+    taken = [F.lag("_tail").over(across).alias("_tail")] if previous else []
+    taken += [F.lead("_head").over(across).alias("_head")] if following else []
+    taken += [F.last(f"_t_{new}", ignorenulls=True).over(before).alias(f"_t_{new}") for new in carried]
+    taken += [F.last(f"_t_{new}", ignorenulls=True).over(after).alias(f"_t_{new}") for new in carried_back]
+    taken += [F.sum(f"_t_{new}").over(before).alias(f"_t_{new}") for new in totals]
+    taken += [F.max(f"_t_{new}").over(before).alias(f"_t_{new}") for new in maxima]
+    state = rows.groupBy(*keys, *SLICE).agg(*told).select(*keys, *SLICE, *taken)
+    # The row before comes as a whole, so that a null in it isn't taken for a missing row.
+    inside = Window.partitionBy(*keys, *SLICE).orderBy(*order)
+    both = rows.select("*", *([F.lag(tail).over(inside).alias("_before")] if previous else []), *([F.lead(head).over(inside).alias("_after")] if following else []))
+    both = _windowed(both, [*keys, *SLICE], order, {}, {}, carried, carried_back, totals, maxima)
+    joined = both.join(state, [*keys, *SLICE], "left")
+    own = [c for c in df.columns]
+    found: dict[str, Column] = {new: F.coalesce("_before", "_tail")[new] for new in previous}
+    found |= {new: F.coalesce("_after", "_head")[new] for new in following}
+    found |= {new: F.coalesce(new, f"_t_{new}") for new in [*carried, *carried_back]}
+    found |= {new: F.when(F.col(f"_t_{new}").isNull(), F.col(new)).otherwise(F.coalesce(new, F.lit(0)) + F.col(f"_t_{new}")) for new in totals}
+    found |= {new: F.greatest(new, f"_t_{new}") for new in maxima}
+    return joined.select(*[F.col(f"`{c}`") for c in own], *[value.alias(new) for new, value in found.items()])
 
 
-def next_row(df, keys, order, names, width=HOUR_MS, max_rows=None, bounded=False) -> DataFrame:
-    """Adds columns of the following row of the key; the mirror image of :func:`previous_row`."""
-    cols = sorted(set(names.values()))
-    if bounded:
-        window = Window.partitionBy(*keys).orderBy(*order)
-        return df.select("*", *[F.lead(old).over(window).alias(new) for new, old in names.items()])
-    cut = _sliced(df, keys, order, width, max_rows)
-    inside = Window.partitionBy(*keys, *SLICE).orderBy(*order)
-    rows = cut.withColumn("_sl_next", F.lead(as_struct(cols)).over(inside))
-    heads = cut.groupBy(*keys, *SLICE).agg(F.min_by(as_struct(cols), as_struct(order)).alias("_head"))
-    across = Window.partitionBy(*keys).orderBy(*SLICE)
-    carry = heads.select(*keys, *SLICE, F.lead("_head").over(across).alias("_sl_carry"))
-    joined = rows.join(carry, [*keys, *SLICE], "left").withColumn("_sl_next", F.coalesce("_sl_next", "_sl_carry"))
-    return _spread(joined.drop("_sl_carry", *SLICE), "_sl_next", names)
+def previous_row(df: DataFrame, keys: list[str], order: list[str], names: Names, width: int = HOUR_MS, max_rows: int | None = None, bounded: bool = False) -> DataFrame:
+    """Adds columns of the preceding row of the key."""
+    return ordered_columns(df, keys, order, width, max_rows, bounded, previous=names)
 
 
-def carry_forward(df, keys, order, names, width=HOUR_MS, max_rows=None, bounded=False) -> DataFrame:
-    """Adds, per row, the last non-null value at or before it: ``names`` maps new column -> source column."""
-    if bounded:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.last(old, ignorenulls=True).over(window).alias(new) for new, old in names.items()])
-    cut = _sliced(df, keys, order, width, max_rows)
-    inside = Window.partitionBy(*keys, *SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cut.select("*", *[F.last(old, ignorenulls=True).over(inside).alias(new) for new, old in names.items()])
-    latest = [
-        F.max_by(F.col(old), F.when(F.col(old).isNotNull(), as_struct(order))).alias(f"_t_{new}")
-        for new, old in names.items()
-    ]
-    across = Window.partitionBy(*keys).orderBy(*SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = cut.groupBy(*keys, *SLICE).agg(*latest)
-    carry = carry.select(
-        *keys, *SLICE, *[F.last(f"_t_{new}", ignorenulls=True).over(across).alias(f"_c_{new}") for new in names]
-    )
-    joined = rows.join(carry, [*keys, *SLICE], "left")
-    for new in names:
-        joined = joined.withColumn(new, F.coalesce(new, f"_c_{new}"))
-    return joined.drop(*[f"_c_{new}" for new in names], *SLICE)
+def next_row(df: DataFrame, keys: list[str], order: list[str], names: Names, width: int = HOUR_MS, max_rows: int | None = None, bounded: bool = False) -> DataFrame:
+    """Adds columns of the following row of the key."""
+    return ordered_columns(df, keys, order, width, max_rows, bounded, following=names)
 
 
-def carry_backward(df, keys, order, names, width=HOUR_MS, max_rows=None, bounded=False) -> DataFrame:
-    """Adds, per row, the first non-null value at or after it.
+def carry_forward(df: DataFrame, keys: list[str], order: list[str], names: Names, width: int = HOUR_MS, max_rows: int | None = None, bounded: bool = False) -> DataFrame:
+    """Adds, per row, the last non-null value at or before it."""
+    return ordered_columns(df, keys, order, width, max_rows, bounded, carried=names)
 
-    Windows run in descending order: a frame that grows from its start costs one step per row, while one that runs to
-    the end of the group is recomputed for every row."""
-    down = [F.col(c).desc() for c in order]
-    if bounded:
-        window = Window.partitionBy(*keys).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.last(old, ignorenulls=True).over(window).alias(new) for new, old in names.items()])
-    cut = _sliced(df, keys, order, width, max_rows)
-    inside = Window.partitionBy(*keys, *SLICE).orderBy(*down).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cut.select("*", *[F.last(old, ignorenulls=True).over(inside).alias(new) for new, old in names.items()])
-    earliest = [
-        F.min_by(F.col(old), F.when(F.col(old).isNotNull(), as_struct(order))).alias(f"_t_{new}")
-        for new, old in names.items()
-    ]
-    across = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in SLICE]).rowsBetween(Window.unboundedPreceding, -1)
-    carry = cut.groupBy(*keys, *SLICE).agg(*earliest)
-    carry = carry.select(
-        *keys, *SLICE, *[F.last(f"_t_{new}", ignorenulls=True).over(across).alias(f"_c_{new}") for new in names]
-    )
-    joined = rows.join(carry, [*keys, *SLICE], "left")
-    for new in names:
-        joined = joined.withColumn(new, F.coalesce(new, f"_c_{new}"))
-    return joined.drop(*[f"_c_{new}" for new in names], *SLICE)
 
+def carry_backward(df: DataFrame, keys: list[str], order: list[str], names: Names, width: int = HOUR_MS, max_rows: int | None = None, bounded: bool = False) -> DataFrame:
+    """Adds, per row, the first non-null value at or after it."""
+    return ordered_columns(df, keys, order, width, max_rows, bounded, carried_back=names)
 
-def running_total(df, keys, order, names, width=HOUR_MS, max_rows=None, bounded=False) -> DataFrame:
-    """Adds inclusive running sums: ``names`` maps new column -> column or expression to add up."""
-    exprs: dict[str, Column] = {new: (F.col(src) if isinstance(src, str) else src) for new, src in names.items()}
-    if bounded:
-        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(expr).over(window).alias(new) for new, expr in exprs.items()])
-    cut = _sliced(df, keys, order, width, max_rows)
-    inside = Window.partitionBy(*keys, *SLICE).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = cut.select("*", *[F.sum(expr).over(inside).alias(new) for new, expr in exprs.items()])
-    across = Window.partitionBy(*keys).orderBy(*SLICE).rowsBetween(Window.unboundedPreceding, -1)
-    carry = cut.groupBy(*keys, *SLICE).agg(*[F.sum(expr).alias(f"_t_{new}") for new, expr in exprs.items()])
-    carry = carry.select(*keys, *SLICE, *[F.sum(f"_t_{new}").over(across).alias(f"_c_{new}") for new in exprs])
-    joined = rows.join(carry, [*keys, *SLICE], "left")
-    for new in exprs:
-        joined = joined.withColumn(
-            new, F.when(F.col(f"_c_{new}").isNull(), F.col(new)).otherwise(F.coalesce(new, F.lit(0)) + F.col(f"_c_{new}"))
-        )
-    return joined.drop(*[f"_c_{new}" for new in exprs], *SLICE)
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], names: Sources, width: int = HOUR_MS, max_rows: int | None = None, bounded: bool = False) -> DataFrame:
+    """Adds inclusive running sums of columns or expressions."""
+    return ordered_columns(df, keys, order, width, max_rows, bounded, totals=names)

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tideline.session import cut_lineage
 
 PER_OCTAVE = 64
 OFFSET = 70_000
@@ -35,20 +36,21 @@ def _bins(value: Column) -> tuple[Column, Column]:
     return coarse, fine
 
 
-def _locate(counts: DataFrame, wanted: DataFrame, group: list[str], by: str) -> DataFrame:
-    """For every wanted rank (``_rank`` within ``group``) the ``by`` value whose run of counts covers it."""
-    asked = counts.join(wanted.select(*group).distinct(), group, "left_semi")  # only bins that hold a wanted rank are ordered
+def _locate(counts: DataFrame, group: list[str], by: str) -> DataFrame:
+    """``counts`` carries in ``_asked`` the ranks wanted within the group. For each of them the ``by`` value whose run of counts covers it, with the rank inside that
+    run; ranks that fall on the same value stay together, one row per group and value."""
     window = Window.partitionBy(*group).orderBy(by).rowsBetween(Window.unboundedPreceding, 0)
-    running = asked.withColumn("_upto", F.sum("_n").over(window))
-    hit = wanted.join(running, group, "inner").filter(
-        (F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n"))
-    )
-    return hit.withColumn("_rank", F.col("_rank") - (F.col("_upto") - F.col("_n"))).drop("_n", "_upto")
+    upto = F.sum("_n").over(window)
+    running = counts.withColumn("_before", upto - F.col("_n"))
+    inside = F.filter("_asked", lambda w: (w["rank"] >= F.col("_before")) & (w["rank"] < F.col("_before") + F.col("_n")))
+    moved = F.transform(inside, lambda w: F.struct(w["name"].alias("name"), w["side"].alias("side"), w["frac"].alias("frac"), (w["rank"] - F.col("_before")).alias("rank")))
+    return running.withColumn("_asked", moved).filter(F.size("_asked") > 0).select(*group, by, "_asked")
 
 
 def exact_quantiles(df: DataFrame, by: list[str], wanted: list[Quantile]) -> DataFrame:
-    """(by..., one column per wanted quantile), every group's rows spread over the cluster."""
-    spark = df.sparkSession
+    """(by..., one column per wanted quantile), every group's rows spread over the cluster.
+
+    The input is read once; the counts by value are written, and the steps read those."""
     metrics: list[tuple[str, Column]] = []
     jobs: list[tuple[str, int, float]] = []
     for item in wanted:
@@ -66,30 +68,23 @@ def exact_quantiles(df: DataFrame, by: list[str], wanted: list[Quantile]) -> Dat
     for i in range(len(by)):  # NULL group keys must survive the equi-joins below
         long = long.withColumn(f"_g{i}", F.struct(F.col(f"_g{i}").isNull().alias("n"), F.col(f"_g{i}").alias("v")))
     coarse, fine = _bins(F.col("_value"))
-    counted = long.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_n")).withColumn("_c", coarse).withColumn("_f", fine)
+    counted = cut_lineage(long.groupBy(*group, "_value").agg(F.count(F.lit(1)).alias("_n"))).withColumn("_c", coarse).withColumn("_f", fine)
     fine_counts = counted.groupBy(*group, "_c", "_f").agg(F.sum("_n").alias("_n"))
-    coarse_counts = fine_counts.groupBy(*group, "_c").agg(F.sum("_n").alias("_n"))
-    totals = coarse_counts.groupBy(*group).agg(F.sum("_n").alias("_total"))
-    plan = spark.createDataFrame(
-        [(name, index, q) for name, index, q in jobs], "_name string, _metric int, _q double"
-    )
-    position = F.col("_q") * (F.col("_total") - 1)
-    ranks = totals.join(F.broadcast(plan), "_metric").select(
-        *group,
-        "_name",
-        (position - F.floor(position)).alias("_frac"),
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("side"), F.floor(position).cast("bigint").alias("rank")),
-                F.struct(F.lit(1).alias("side"), F.ceil(position).cast("bigint").alias("rank")),
-            )
-        ).alias("_r"),
-    ).select(*group, "_name", "_frac", F.col("_r.side").alias("_side"), F.col("_r.rank").alias("_rank"))
-    step1 = _locate(coarse_counts, ranks, group, "_c")
-    step2 = _locate(fine_counts, step1, [*group, "_c"], "_f")
-    step3 = _locate(counted.select(*group, "_c", "_f", "_value", "_n"), step2, [*group, "_c", "_f"], "_value")
-    low, high = F.max(F.when(F.col("_side") == 0, F.col("_value"))), F.max(F.when(F.col("_side") == 1, F.col("_value")))
-    picked = step3.groupBy(*group, "_name").agg((low + (high - low) * F.max("_frac")).alias("_value"))
+    coarse_counts = counted.groupBy(*group, "_c").agg(F.sum("_n").alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(*group))
+
+    def rank(name: str, q: float, side: int) -> Column:
+        position = F.lit(q) * (total - 1)
+        whole = (F.floor(position) if side == 0 else F.ceil(position)).cast("bigint")
+        return F.struct(F.lit(name).alias("name"), F.lit(side).alias("side"), (position - F.floor(position)).alias("frac"), whole.alias("rank"))
+
+    asked = F.array(*[F.array(*[rank(name, q, side) for name, index, q in jobs if index == m for side in (0, 1)]) for m in range(len(metrics))])
+    step1 = _locate(coarse_counts.withColumn("_asked", asked[F.col("_metric")]), group, "_c")
+    step2 = _locate(fine_counts.join(step1, [*group, "_c"]), [*group, "_c"], "_f")
+    step3 = _locate(counted.join(step2, [*group, "_c", "_f"]), [*group, "_c", "_f"], "_value")
+    found = step3.select(*group, "_value", F.explode("_asked").alias("_a"))
+    low, high = F.max(F.when(F.col("_a.side") == 0, F.col("_value"))), F.max(F.when(F.col("_a.side") == 1, F.col("_value")))
+    picked = found.groupBy(*group, F.col("_a.name").alias("_name")).agg((low + (high - low) * F.max("_a.frac")).alias("_value"))
     keys = group[:-1]
     wide = picked.groupBy(*keys).agg(
         *[F.max(F.when(F.col("_name") == name, F.col("_value"))).alias(name) for name, _, _ in jobs]
