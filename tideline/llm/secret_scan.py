@@ -246,7 +246,17 @@ def labelled(text: str) -> tuple[set[str], set[str]]:
     return words, values
 
 
-def fit(words: list[str], values: list[str], strings: int = SAMPLE_STRINGS, seed: int = 5) -> Model:
+def fit(texts: list[str], strings: int = SAMPLE_STRINGS, seed: int = 5) -> Model:
+    """A model of whole texts at hand."""
+    words: set[str] = set()
+    values: set[str] = set()
+    for text in texts:
+        for known, own in zip((words, values), labelled(text), strict=True):
+            known |= own
+    return fit_labelled(list(words), list(values), strings, seed)
+
+
+def fit_labelled(words: list[str], values: list[str], strings: int = SAMPLE_STRINGS, seed: int = 5) -> Model:
     """Every fifth word and secret is kept out of training. The thresholds lie above all but ``FALSE_ALARMS`` of the runs made of those words."""
     rng = random.Random(seed)
     words, values = sorted(set(words)), sorted(set(values))
@@ -270,7 +280,8 @@ def _learnt(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for text in batch["t"]:
             words, values = labelled(text)
-            yield pd.DataFrame({"secret": [False] * len(words) + [True] * len(values), "value": [*words, *values]})
+            kinds = np.repeat([False, True], [len(words), len(values)])
+            yield pd.DataFrame({"secret": kinds, "value": pd.Series([*words, *values], dtype=object)})
 
 
 def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
@@ -282,7 +293,7 @@ def train(docs: DataFrame, text: str = "text", sample_docs: int = SAMPLE_DOCS) -
     found = drawn.mapInPandas(_learnt, "secret boolean, value string").distinct()
     place = F.row_number().over(Window.partitionBy("secret").orderBy(F.xxhash64("value"), "value"))
     picked = found.withColumn("_place", place).filter(F.col("_place") <= SAMPLE_WORDS).select("secret", "value").collect()
-    return fit([r["value"] for r in picked if not r["secret"]], [r["value"] for r in picked if r["secret"]])
+    return fit_labelled([r["value"] for r in picked if not r["secret"]], [r["value"] for r in picked if r["secret"]])
 
 
 def _joined(spans: list[tuple[int, int, int]]) -> str:
