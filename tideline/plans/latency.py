@@ -1,17 +1,22 @@
 """Latency distributions from interval-censored response times, and what a fixed latency would imply.
 
-Openings say only that the latency lies in (lower, upper]. Both ends are put on a fixed grid and identical intervals
-are counted by Spark first, so the estimators per group see at most (grid points)^2 counted intervals, never rows.
+Openings say only that the latency lies in (lower, upper]. For the free distribution both ends are put on a fixed grid and identical intervals
+are counted by Spark first, so a group's task sees at most (grid points)^2 / 2 counted intervals, however many rows there are, and
+holds a few numbers for each. The log-normal fit keeps the ends as they are and sums its scores in Spark.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tideline.session import cut_lineage
+
 GRID_STEP_MS, GRID_TOP_MS = 10, 10_000
 ROUNDS = 20_000
 GAP = 1e-6
@@ -54,18 +59,21 @@ def innermost(lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def maximum_likelihood(lo: np.ndarray, hi: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
     """(begin, end, mass, converged) of the innermost sets.
 
-    With A the 0/1 matrix of which interval covers which set, p its chances and N the number of rows, g = A'(n / Ap) is the
+    With A the 0/1 matrix (never formed) of which interval covers which set, p its chances and N the number of rows, g = A'(n / Ap) is the
     gradient of the log-likelihood. p * g / N raises the likelihood (expectation-maximisation on sets), and since the
     likelihood is concave over chances that sum to 1, no other choice can exceed the present one by more than
     max(g) - N: that bound is the stop."""
     begin, end = innermost(lo, hi)
-    covers = ((lo[:, None] <= begin) & (end <= hi[:, None])).astype(float)
+    # Sets are in order, so an interval covers a run of them: Ap is a difference of running sums, and A'w a running sum of differences.
+    first, last = np.searchsorted(begin, lo, side="left"), np.searchsorted(end, hi, side="right")
     total, mass = n.sum(), np.full(len(begin), 1.0 / len(begin))
     for _ in range(ROUNDS):
-        gradient = (n / (covers @ mass)) @ covers
+        upto = np.concatenate([[0.0], np.cumsum(mass)])
+        weight = n / np.maximum(upto[last] - upto[first], 1e-15)
+        gradient = np.cumsum(np.bincount(first, weight, len(mass) + 1) - np.bincount(last, weight, len(mass) + 1))[:-1]
         if gradient.max() - total <= GAP * total:
             return begin, end, mass, True
-        mass = mass * gradient / total
+        mass = mass * np.maximum(gradient, 0.0) / total
         mass /= mass.sum()
     return begin, end, mass, False
 
@@ -119,59 +127,99 @@ def _between(low: np.ndarray, high: np.ndarray) -> np.ndarray:
     return 0.5 * (_erfc(-b / _SQRT2) - _erfc(-a / _SQRT2)).astype(float)
 
 
-def fit_lognormal(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[float, float, bool]:
-    """(mu, sigma, converged) of ln latency for counted intervals (left, right] in milliseconds.
+def _scored(left: np.ndarray, right: np.ndarray, n: np.ndarray, mu: np.ndarray, log_sigma: np.ndarray) -> np.ndarray:
+    """(rows, 6): each row's log-likelihood, its scores in (mu, ln sigma) and their outer product, times n.
+
+    With z the standardised log ends, the chance of an interval has the derivatives (phi(z_left) - phi(z_right)) / sigma and
+    z_left phi(z_left) - z_right phi(z_right); the outer products of the scores stand for the information."""
+    s = np.exp(log_sigma)
+    z0 = np.where(left > 0, (np.log(np.where(left > 0, left, 1.0)) - mu) / s, -np.inf)
+    z1 = (np.log(right) - mu) / s
+    chance = np.maximum(_between(z0, z1), 1e-300)
+    f0, f1 = np.exp(-z0 * z0 / 2) / _SQRT_TAU, np.exp(-z1 * z1 / 2) / _SQRT_TAU
+    by_mu, by_sigma = (f0 - f1) / s / chance, (np.where(np.isinf(z0), 0.0, np.where(np.isinf(z0), 0.0, z0) * f0) - z1 * f1) / chance
+    return np.stack([np.log(chance), by_mu, by_sigma, by_mu * by_mu, by_mu * by_sigma, by_sigma * by_sigma], 1) * n[:, None]
+
+
+class _Ascent:
+    """Scoring of one group: what to evaluate next, given the sums at the last point. A step is halved until the likelihood rises."""
+
+    def __init__(self, mu: float, log_sigma: float, n: float):
+        self.at, self.n = np.array([mu, log_sigma]), n
+        self.tried, self.value = self.at, -math.inf
+        self.move, self.size, self.steps, self.converged, self.open = np.zeros(2), 1.0, 0, False, True
+
+    def told(self, sums: np.ndarray) -> None:
+        if sums[0] < self.value:
+            self.size /= 2
+            if self.size <= 1e-6:
+                self.open = False
+            self.tried = self.at + self.size * self.move
+            return
+        self.at, self.value = self.tried, sums[0]
+        gradient, information = sums[1:3], np.array([[sums[3], sums[4]], [sums[4], sums[5]]])
+        self.move = np.linalg.solve(information + 1e-9 * np.trace(information) * np.eye(2) + 1e-12 * np.eye(2), gradient)
+        self.steps += 1
+        self.converged = bool(abs(gradient @ self.move) < 1e-9 * max(1.0, self.n))
+        self.open = not self.converged and self.steps <= 200
+        self.size = min(1.0, 2.0 / np.abs(self.move).max()) if np.abs(self.move).max() > 0 else 1.0
+        self.tried = self.at + self.size * self.move
 
-    Scoring steps on (mu, ln sigma): with z the standardised log ends, the chance of an interval has the derivatives
-    (phi(z_left) - phi(z_right)) / sigma and z_left phi(z_left) - z_right phi(z_right); the outer products of the resulting scores
-    stand for the information. A step is halved until the likelihood rises. Intervals are at least 1 ms wide."""
+
+def fit_lognormal(left: np.ndarray, right: np.ndarray, n: np.ndarray) -> tuple[float, float, bool]:
+    """(mu, sigma, converged) of ln latency for counted intervals (left, right] in milliseconds, at least 1 ms wide; one group at hand."""
     left = np.maximum(left, 0.0)
     right = np.maximum(right, left + 1.0)
-    low, high = np.where(left > 0, np.log(np.where(left > 0, left, 1.0)), -np.inf), np.log(right)
     middle = np.log((left + right) / 2)
-    theta = np.array([np.average(middle, weights=n), 0.0])
-    theta[1] = 0.5 * math.log(max(np.average((middle - theta[0]) ** 2, weights=n), 0.01))
-
-    def state(at: np.ndarray) -> tuple[float, np.ndarray]:
-        s = math.exp(at[1])
-        z0, z1 = (low - at[0]) / s, (high - at[0]) / s
-        chance = np.maximum(_between(z0, z1), 1e-300)
-        f0, f1 = np.exp(-z0 * z0 / 2) / _SQRT_TAU, np.exp(-z1 * z1 / 2) / _SQRT_TAU
-        scores = np.stack([(f0 - f1) / s, np.where(np.isinf(z0), 0.0, np.where(np.isinf(z0), 0.0, z0) * f0) - z1 * f1], 1) / chance[:, None]
-        return float((n * np.log(chance)).sum()), scores
-
-    value, scores = state(theta)
-    for _ in range(200):
-        gradient, information = n @ scores, (scores * n[:, None]).T @ scores
-        move = np.linalg.solve(information + 1e-9 * np.trace(information) * np.eye(2) + 1e-12 * np.eye(2), gradient)
-        if abs(gradient @ move) < 1e-9 * max(1.0, n.sum()):
-            return float(theta[0]), math.exp(theta[1]), True
-        size = min(1.0, 2.0 / np.abs(move).max())
-        while size > 1e-6:
-            tried, following = state(theta + size * move)
-            if tried >= value:
-                break
-            size /= 2
-        else:
-            return float(theta[0]), math.exp(theta[1]), False
-        theta, value, scores = theta + size * move, tried, following
-    return float(theta[0]), math.exp(theta[1]), False
+    mu = np.average(middle, weights=n)
+    fit = _Ascent(mu, 0.5 * math.log(max(np.average((middle - mu) ** 2, weights=n), 0.01)), n.sum())
+    while fit.open:
+        fit.told(_scored(left, right, n, *np.broadcast_to(fit.tried[:, None], (2, len(n)))).sum(0))
+    return float(fit.at[0]), math.exp(fit.at[1]), fit.converged
 
 
 def lognormal_fit(arbs: DataFrame, by: list[str], lower: str, upper: str) -> DataFrame:
     """(by..., median_ms, sigma, mean_ms, n, converged): log-normal fitted to all intervals as they are, without a grid.
 
-    Spark counts equal intervals first; ends are whole milliseconds, so a group's table has few rows."""
-    pairs = arbs.groupBy(*by, F.col(lower).cast("double").alias("_l"), F.col(upper).cast("double").alias("_r")).agg(F.count(F.lit(1)).alias("_n"))
-
-    def estimate(pdf: pd.DataFrame) -> pd.DataFrame:
-        n = pdf["_n"].to_numpy(dtype=float)
-        mu, sigma, converged = fit_lognormal(pdf["_l"].to_numpy(), pdf["_r"].to_numpy(), n)
-        row = {**{c: pdf[c].iloc[0] for c in by}, "median_ms": math.exp(mu), "sigma": sigma, "mean_ms": math.exp(mu + sigma * sigma / 2), "n": int(n.sum()), "converged": converged}
-        return pd.DataFrame([row])
-
+    Equal intervals are counted and written once. Every scoring step is one aggregation over that table for all groups that are not done:
+    partial sums of likelihood, scores and information in each task, added up by group. The driver sees six numbers a group and step."""
+    spark = arbs.sparkSession
+    left = F.greatest(F.col(lower).cast("double"), F.lit(0.0))
+    pairs = arbs.select(*by, left.alias("_l"), F.greatest(F.col(upper).cast("double"), left + 1.0).alias("_r")).filter("_l IS NOT NULL AND _r IS NOT NULL")
+    counted = cut_lineage(pairs.groupBy(*by, "_l", "_r").agg(F.count(F.lit(1)).cast("double").alias("_n")))
+    middle = F.log((F.col("_l") + F.col("_r")) / 2)
+    starts = counted.groupBy(*by).agg(
+        F.sum("_n").alias("_n"), (F.sum(middle * F.col("_n")) / F.sum("_n")).alias("_mu"), (F.sum(middle * middle * F.col("_n")) / F.sum("_n")).alias("_sq")
+    ).collect()
+    fits = [_Ascent(r["_mu"], 0.5 * math.log(max(r["_sq"] - r["_mu"] ** 2, 0.01)), r["_n"]) for r in starts]
     keys = ", ".join(f"{name} {kind}" for name, kind in arbs.select(*by).dtypes)
-    return pairs.groupBy(*by).applyInPandas(estimate, f"{keys}, median_ms double, sigma double, mean_ms double, n bigint, converged boolean")
+    out = f"{keys}, median_ms double, sigma double, mean_ms double, n bigint, converged boolean"
+    if not starts:
+        return spark.createDataFrame([], out)
+    numbers = spark.createDataFrame([(*(r[c] for c in by), i) for i, r in enumerate(starts)], f"{keys}, _group int")
+    same = functools.reduce(lambda a, b: a & b, (counted[c].eqNullSafe(numbers[c]) for c in by))
+    table = cut_lineage(counted.join(numbers, same).select("_group", "_l", "_r", "_n"))
+    names = ["_v", "_a", "_b", "_aa", "_ab", "_bb"]
+    while any(f.open for f in fits):
+        tried = np.array([f.tried for f in fits])
+        still = [i for i, f in enumerate(fits) if f.open]
+
+        def partial(batches: Iterable[pd.DataFrame], tried=tried) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                group = pdf["_group"].to_numpy()
+                rows = _scored(pdf["_l"].to_numpy(), pdf["_r"].to_numpy(), pdf["_n"].to_numpy(), tried[group, 0], tried[group, 1])
+                found = pd.DataFrame(rows, columns=names).groupby(group).sum()
+                yield found.rename_axis("_group").reset_index().astype({"_group": "int32"})
+
+        asked = table if len(still) == len(fits) else table.filter(F.col("_group").isin(still))
+        sums = asked.mapInPandas(partial, "_group int, " + ", ".join(f"{c} double" for c in names)).groupBy("_group").agg(*[F.sum(c).alias(c) for c in names])
+        for r in sums.collect():
+            fits[r["_group"]].told(np.array([r[c] for c in names]))
+    rows = []
+    for r, f in zip(starts, fits, strict=True):
+        sigma = math.exp(f.at[1])
+        rows.append((*(r[c] for c in by), math.exp(f.at[0]), sigma, math.exp(f.at[0] + sigma * sigma / 2), int(r["_n"]), f.converged))
+    return spark.createDataFrame(rows, out)
 
 
 def latency_band(floors: DataFrame, changes: DataFrame, by: list[str], low_s: float = 1e-4, high_s: float = 5.0, halvings: int = 60) -> DataFrame:
