@@ -5,8 +5,8 @@ row product A * transpose(B), row by row after Gustavson, gives every pair of to
 end together a group ends; the products of the group incidences (ids by group, with how often the group holds the id) give the id pairs linked by a group, with
 their occurrences. No group's pairs are written out one by one: ids that a group repeats come as counts.
 
-Neither vocabulary joins across a single blank between two visible characters, so a text falls into units that are encoded and aligned once per distinct unit (a table of
-at most about ``KEPT_BYTES``); both tokenizers end there, so groups never pass a unit's end.
+Neither vocabulary joins across a single blank between two visible characters, nor across a small letter and the ASCII punctuation after it (B is looked through for pieces that
+would), so a text falls into units that are encoded and aligned once per distinct unit (a table of at most about ``KEPT_BYTES``). Both tokenizers end there, so groups never pass a unit's end.
 
 Counts over the corpus: documents are dealt into blocks of about ``BLOCK_LINKS`` distinct (document, pair); a block has a dictionary of its pairs with the number of its
 documents that hold them. Dictionaries are added up by pair, the highest count of each A id is found, and the answer goes back to the blocks, joined by pair and
@@ -19,6 +19,7 @@ id are documents of their own. An empty table gives an empty one. Extra columns
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterable, Iterator
 
@@ -29,11 +30,22 @@ from pyspark.sql import DataFrame, functions as F
 from tideline.llm.columns import kept, release
 from tideline.session import scratch_folder
 
-KEPT_BYTES = 64 << 20
+KEPT_BYTES = 96 << 20
 PART = 1 << 20
 BLOCK_LINKS = 3_000_000
+JOINED = 1 << 15
 _VISIBLE = r"!-~¡-¬®-˿Α-ϿЀ-ҁ"
-_CUT = re.compile(rf"(?<=[{_VISIBLE}]) (?=[{_VISIBLE}])")
+_SMALL = r"a-zß-öø-ÿ"
+_PUNCTUATION = r"!-/:-@\[-`{-~"
+_BLANK_CUT = re.compile(rf"(?<=[{_VISIBLE}])(?= [{_VISIBLE}])")
+_CUT = re.compile(rf"(?<=[{_VISIBLE}])(?= [{_VISIBLE}])|(?<=[{_SMALL}])(?=[{_PUNCTUATION}])")
+_MIXED = re.compile(rf"[{_SMALL}][{_PUNCTUATION}]")
+_CLEAN = re.compile(rf"(?: [{_VISIBLE}]|[{_PUNCTUATION}])(?:.*[{_VISIBLE}])?", re.DOTALL)
+_PLAIN = re.compile(rf"[{_VISIBLE} ]*")
+# Fixed value: how byte-level vocabularies of this family part a text before merging.
+_BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_PROBE = " The Quick, brown's fox don't 12 345 a-b (x) é ñandú ß naïve; \"q\" %%% ... Ωμέγα привет http://a.b/c?d=1&e=2"
+_FILLER = " a"  # stands before a unit that starts with punctuation; its tokens are left out
 _WRITTEN = "block bigint, doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_overlaps bigint, groups_sha256 string, at binary, times binary, place int, pair bigint, docs bigint"
 _RESULT = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_overlaps bigint, groups_sha256 string, n_best bigint, count_sum bigint"
 B_BITS = 24
@@ -100,108 +112,215 @@ class Encoders:
         for token, i in vocabulary.items():
             self.a_bytes[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()
         self.b_bytes = []
-        for i in range(self.b.get_piece_size()):
-            piece = self.b.id_to_piece(i)
+        pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
+        for i, piece in enumerate(pieces):
             self.b_bytes.append(bytes([int(piece[3:5], 16)]) if self.b.is_byte(i) else piece.replace("▁", " ").encode())
-
-    def encode(self, units: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each unit; a unit starts with a blank."""
-        a = [found.ids for found in self.a.encode_batch_fast(units, add_special_tokens=False)]
-        return a, self.b.encode([u[1:] for u in units], num_threads=1)
-
-
-def align(bytes_a: list[list[bytes]], bytes_b: list[list[bytes]], ids_a: list[list[int]], ids_b: list[list[int]]) -> dict[str, np.ndarray]:
-    """Alignment of units whose tokens of A and B cover the same bytes. ``unit_a``, ``unit_b``, ``group_a``, ``group_b``: unit and group of each token; ``groups``, ``overlaps``: how
-    many of each a unit has; ``pair_unit``, ``pair``, ``times``: id pairs linked in a unit, with their occurrences."""
-    n = len(ids_a)
-    units = np.arange(n)
-    unit_a, unit_b = (np.repeat(units, [len(i) for i in ids]) for ids in (ids_a, ids_b))
-    flat_a, flat_b = (np.fromiter((i for ids in some for i in ids), np.int64) for some in (ids_a, ids_b))
-    length_a, length_b = (np.fromiter((len(t) for tokens in some for t in tokens), np.int64) for some in (bytes_a, bytes_b))
-    end_a, end_b = np.cumsum(length_a), np.cumsum(length_b)
-    size = int(end_a[-1]) if n else 0
+        self.cut = _BLANK_CUT if any(_MIXED.search(p) for i, p in enumerate(pieces) if not self.b.is_byte(i)) else _CUT
+        self.lengths = [np.array([len(t) for t in known], np.int64) for known in (self.a_bytes, self.b_bytes)]
+        most = max(map(len, self.lengths))
+        self.digits = np.zeros((most, 9), np.uint8)
+        self.n_digits = np.array([len(str(i)) for i in range(most)], np.int64)
+        for i in range(most):
+            self.digits[i, : self.n_digits[i]] = np.frombuffer(str(i).encode(), np.uint8)
+        self.quick = self._quick(vocabulary)
+
+    def _quick(self, vocabulary: dict[str, int]):
+        """A second library for plain texts, a few times faster, with the same vocabulary and parting; None where a probe differs."""
+        import tiktoken
+
+        special = {t.content for t in self.a.get_added_tokens_decoder().values()}
+        ranks = {self.a_bytes[i]: i for token, i in vocabulary.items() if token not in special}
+        if len(ranks) != len(vocabulary) - len(special & vocabulary.keys()):
+            return None
+        made = tiktoken.Encoding("plain", pat_str=_BYTE_LEVEL, mergeable_ranks=ranks, special_tokens={})
+        return made if made.encode_ordinary(_PROBE) == self.a.encode(_PROBE, add_special_tokens=False).ids else None
+
+    def units(self, text: str) -> list[str]:
+        return self.cut.split(" " + text)
+
+    def encode(self, texts: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+        """Ids of texts that start with a blank."""
+        plain = [self.quick is not None and _PLAIN.fullmatch(t) is not None for t in texts]
+        others = iter(self.a.encode_batch_fast([t for t, quick in zip(texts, plain, strict=True) if not quick], add_special_tokens=False))
+        a = [np.array(self.quick.encode_ordinary(t) if quick else next(others).ids, np.int64) for t, quick in zip(texts, plain, strict=True)]
+        return a, [np.array(ids, np.int64) for ids in self.b.encode([t[1:] for t in texts], num_threads=1)]
+
+    def adds_up(self, ids: tuple[np.ndarray, np.ndarray], raw: bytes) -> bool:
+        return all(b"".join(map(known.__getitem__, own.tolist())) == raw for own, known in zip(ids, (self.a_bytes, self.b_bytes), strict=True))
+
+    def tokens(self, units: list[str]) -> tuple[list[np.ndarray], list[np.ndarray], np.ndarray]:
+        """([ids of A, ids of B], [the unit of each], which units add up). Clean units are encoded joined."""
+        size = list(map(len, map(str.encode, units)))
+        clean = [_CLEAN.fullmatch(u) is not None for u in units]
+        # Plain ones come first, then those that start with punctuation, then the rest.
+        plain = [c and u[0] == " " and _PLAIN.fullmatch(u) is not None for u, c in zip(units, clean, strict=True)]
+        kinds = ([i for i, p in enumerate(plain) if p], [i for i, p in enumerate(plain) if clean[i] and not p])
+        texts: list[tuple[str, list[int]]] = []
+        for some in kinds:
+            at = 0
+            while at < len(some):
+                members, total = [], 0
+                while at < len(some) and total < JOINED:
+                    members.append(some[at])
+                    total += size[some[at]]
+                    at += 1
+                texts.append(("".join([units[i] if units[i][0] == " " else _FILLER + units[i] for i in members]), members))
+        texts += [(units[i] if units[i][0] == " " else _FILLER + units[i], [i]) for i, c in enumerate(clean) if not c]
+        good = np.zeros(len(units), bool)
+        ids: tuple[list, list] = ([], [])
+        owner: tuple[list, list] = ([], [])
+
+        def take(some: list[tuple[str, list[int]]]) -> list[int]:
+            """Encodes texts; gives the units of those that don't add up."""
+            failed: list[int] = []
+            for (text, inside), a, b in zip(some, *self.encode([t for t, _ in some]), strict=True):
+                if not self.adds_up((a, b), text.encode()):
+                    failed += inside
+                    continue
+                parts = [part for i in inside for part in ((size[i],) if units[i][0] == " " else (len(_FILLER), size[i]))]
+                names = [part for i in inside for part in ((i,) if units[i][0] == " " else (-1, i))]
+                ends, names = np.cumsum(parts), np.array(names)
+                for k, own in enumerate((a, b)):
+                    reached = np.cumsum(self.lengths[k][own])
+                    at = np.searchsorted(ends, reached)
+                    if len(np.intersect1d(ends, reached, assume_unique=True)) != len(ends):
+                        raise ValueError("a token passes the end of a unit")
+                    kept_tokens = names[at] >= 0
+                    ids[k].append(own[kept_tokens])
+                    owner[k].append(names[at][kept_tokens])
+                good[inside] = True
+            return failed
+
+        alone = take(texts)
+        take([(units[i] if units[i][0] == " " else _FILLER + units[i], [i]) for i in alone])
+        flat = [np.concatenate([np.zeros(0, np.int64), *some]) for some in ids]
+        unit = [np.concatenate([np.zeros(0, np.int64), *some]) for some in owner]
+        order = [np.argsort(u, kind="stable") for u in unit]
+        return [f[o] for f, o in zip(flat, order, strict=True)], [u[o] for u, o in zip(unit, order, strict=True)], good
+
+
+def align(n: int, ids: list[np.ndarray], unit: list[np.ndarray], lengths: list[np.ndarray]) -> dict[str, np.ndarray]:
+    """Alignment of ``n`` units whose tokens of A and B cover the same bytes: ids, unit and length in bytes of each token of both. ``group_a``, ``group_b``: each token's group;
+    ``groups``, ``overlaps``: how many of each a unit has; ``pair_unit``, ``pair``, ``times``: id pairs linked in a unit, with their occurrences."""
+    end_a, end_b = (np.cumsum(x) for x in lengths)
+    size = int(end_a[-1]) if len(end_a) else 0
     ends = np.zeros(size + 1, np.int64)
-    both = np.intersect1d(end_a, end_b)
-    ends[both] = 1
-    before = np.cumsum(ends) - ends  # groups that ended earlier
-    group_a, group_b = before[end_a], before[end_b]
-    a = _ones(np.repeat(np.arange(len(flat_a)), length_a), np.arange(size), len(flat_a), size)
-    b = _ones(np.repeat(np.arange(len(flat_b)), length_b), np.arange(size), len(flat_b), size)
+    ends[end_a] += 1
+    ends[end_b] += 1
+    common = ends == 2
+    before = np.cumsum(common) - common  # groups that ended earlier
+    group_a, group_b, n_groups = before[end_a], before[end_b], int(common.sum())
+    a, b = (_ones(np.repeat(np.arange(len(x)), x), np.arange(size), len(x), size) for x in lengths)
     overlap, _, _ = a.times(b.transposed())
-    ga, ia, ta = _grouped(group_a, flat_a)
-    gb, ib, tb = _grouped(group_b, flat_b)
+    ga, ia, ta = _grouped(group_a, ids[0])
+    gb, ib, tb = _grouped(group_b, ids[1])
     # The group incidences of each unit's ids of A, times those of B, which are held by group: transposed.
-    unit_of_group = np.zeros(len(both), np.int64)
-    unit_of_group[group_a] = unit_a
+    unit_of_group = np.zeros(n_groups, np.int64)
+    unit_of_group[group_a] = unit[0]
     owners, owner = np.unique(unit_of_group[ga] * np.int64(1 << B_BITS) + ia, return_inverse=True)
-    left = Rows(owner, ga, ta, len(owners), len(both))
-    row, id_b, times = left.times(Rows(gb, ib, tb, len(both), 1 << B_BITS))
+    left = Rows(owner, ga, ta, len(owners), n_groups)
+    row, id_b, times = left.times(Rows(gb, ib, tb, n_groups, 1 << B_BITS))
     return {
-        "unit_a": unit_a, "unit_b": unit_b, "group_a": group_a, "group_b": group_b, "ids_a": flat_a, "ids_b": flat_b,
-        "groups": np.bincount(unit_of_group, minlength=n), "overlaps": np.bincount(unit_a[overlap], minlength=n),
+        "group_a": group_a, "group_b": group_b, "groups": np.bincount(unit_of_group, minlength=n), "overlaps": np.bincount(unit[0][overlap], minlength=n),
         "pair_unit": owners[row] >> B_BITS, "pair": ((owners[row] & ((1 << B_BITS) - 1)) << B_BITS) | id_b, "times": times,
     }
 
 
-def _shown(found: dict[str, np.ndarray], n: int) -> list[bytes]:
-    """The groups of each unit as text."""
-    ids_a, ids_b = found["ids_a"].tolist(), found["ids_b"].tolist()
-    group_a, group_b = found["group_a"], found["group_b"]
-    cuts_a = np.searchsorted(group_a, np.arange(len(found["groups"]) and int(found["groups"].sum()) + 1)).tolist()
-    cuts_b = np.searchsorted(group_b, np.arange(len(found["groups"]) and int(found["groups"].sum()) + 1)).tolist()
-    texts = [
-        f"{ids_a[a]}|{ids_b[b]}" if c - a == 1 == d - b else ",".join(map(str, ids_a[a:c])) + "|" + ",".join(map(str, ids_b[b:d]))
-        for a, c, b, d in zip(cuts_a, cuts_a[1:], cuts_b, cuts_b[1:], strict=False)
-    ]
-    ends = np.cumsum([0, *found["groups"].tolist()]).tolist()
-    return [";".join(texts[s:e]).encode() for s, e in zip(ends, ends[1:], strict=False)]
-
-
-class Units(dict):
-    """unit -> (n_a, n_b, n_groups, n_links, n_overlaps, shown, pairs, times); None where the tokens don't add up to the unit."""
+def _shown(n: int, ids: list[np.ndarray], unit: list[np.ndarray], groups: list[np.ndarray], encoders: Encoders) -> list[bytes]:
+    """The groups of each unit as text: of every group A's ids, then B's. All units are written into one line, a mark after each id."""
+    key = np.concatenate([2 * groups[0], 2 * groups[1] + 1])
+    order = np.argsort(key, kind="stable")
+    key, owner, told = key[order], np.concatenate(unit)[order], np.concatenate(ids)[order]
+    last = np.concatenate([key[1:] != key[:-1], [True]]) if len(key) else np.zeros(0, bool)
+    marks = np.where(last, np.where(key & 1, ord(";"), ord("|")), ord(",")).astype(np.uint8)
+    length = encoders.n_digits[told]
+    ends = np.cumsum(length + 1)
+    line = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    starts = ends - length - 1
+    for k in range(int(length.max()) if len(length) else 0):
+        long = length > k
+        line[starts[long] + k] = encoders.digits[told[long], k]
+    line[ends - 1] = marks
+    raw, cuts = line.tobytes(), np.concatenate([[0], ends])[np.searchsorted(owner, np.arange(n + 1))].tolist()
+    return [raw[s : max(s, e - 1)] for s, e in zip(cuts, cuts[1:], strict=False)]
+
+
+class Units:
+    """What is known of each unit: its place in the arrays. ``numbers``: n_a (-1 where the tokens don't add up), n_b, n_groups, n_links, n_overlaps; ``pairs`` and
+    ``times`` from starts[place] to starts[place + 1]; ``shown``: its groups as text."""
 
     def __init__(self, a_path: str, b_path: str, most_bytes: int = KEPT_BYTES):
-        self.encoders, self.most_bytes, self.bytes = Encoders(a_path, b_path), most_bytes, 0
+        self.encoders, self.most_bytes = Encoders(a_path, b_path), most_bytes
+        self.place: dict[str, int] = {}
+        self.shown: list[bytes] = []
+        self.numbers, self.starts = np.zeros((0, 5), np.int64), np.zeros(1, np.int64)
+        self.pairs, self.times, self.bytes = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+
+    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(positions in pairs and times, how many of them each place has)."""
+        lengths = self.starts[places + 1] - self.starts[places]
+        return np.repeat(self.starts[places] - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum())), lengths
 
     def learn(self, units: set[str]) -> None:
         if self.bytes > self.most_bytes:  # what the present texts don't need goes
-            present = {u: self[u] for u in units & self.keys()}
-            self.clear()
-            self.update(present)
-            self.bytes = sum(_cost(u, row) for u, row in present.items())
-        new = list(units - self.keys())
+            names = list(units & self.place.keys())
+            places = np.array([self.place[u] for u in names], np.int64)
+            at, lengths = self._gathered(places)
+            self.pairs, self.times, self.numbers = self.pairs[at], self.times[at], self.numbers[places]
+            self.starts = np.concatenate([[0], np.cumsum(lengths)])
+            self.shown = [self.shown[i] for i in places.tolist()]
+            self.place = dict(zip(names, range(len(names)), strict=True))
+            self.bytes = self._cost(names, self.shown, len(self.pairs))
+        new = list(units.difference(self.place))
         at = 0
+        added = []
         while at < len(new):
             some, size = [], 0
             while at < len(new) and (not some or size + len(new[at]) <= PART):
                 some.append(new[at])
                 size += len(new[at])
                 at += 1
-            self._align(some)
-
-    def _align(self, units: list[str]) -> None:
-        e = self.encoders
-        a, b = e.encode(units)
-        bytes_a = [[e.a_bytes[i] for i in ids] for ids in a]
-        bytes_b = [[e.b_bytes[i] for i in ids] for ids in b]
-        whole = [b"".join(x) == b"".join(y) == u.encode() for x, y, u in zip(bytes_a, bytes_b, units, strict=True)]
-        self.update((u, None) for u, good in zip(units, whole, strict=True) if not good)
-        if not all(whole):
-            units, a, b, bytes_a, bytes_b = ([x for x, good in zip(some, whole, strict=True) if good] for some in (units, a, b, bytes_a, bytes_b))
-        if not units:
-            return
-        found = align(bytes_a, bytes_b, a, b)
-        cuts = np.searchsorted(found["pair_unit"], np.arange(len(units) + 1)).tolist()
-        links = np.add.reduceat(found["times"], cuts[:-1]).tolist()
-        pairs, times = found["pair"].tobytes(), found["times"].astype(np.int64).tobytes()
-        rows = zip(map(len, a), map(len, b), found["groups"].tolist(), links, found["overlaps"].tolist(), _shown(found, len(units)), strict=True)
-        for unit, row, start, end in zip(units, rows, cuts, cuts[1:], strict=False):
-            self[unit] = (*row, pairs[8 * start : 8 * end], times[8 * start : 8 * end])
-            self.bytes += _cost(unit, self[unit])
-
-
-def _cost(unit: str, row: tuple | None) -> int:
-    return 500 + len(unit) + (len(row[5]) + len(row[6]) + len(row[7]) if row else 0)
+            added.append(self._align(some))
+        if new:
+            shown, numbers, lengths, pairs, times = zip(*added, strict=True)
+            self.place.update(zip(new, range(len(self.shown), len(self.shown) + len(new)), strict=True))
+            self.shown += itertools.chain.from_iterable(shown)
+            self.numbers = np.concatenate([self.numbers, *numbers])
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))])
+            self.pairs, self.times = np.concatenate([self.pairs, *pairs]), np.concatenate([self.times, *times])
+            self.bytes += self._cost(new, self.shown[-len(new) :], sum(map(len, pairs)))
+
+    @staticmethod
+    def _cost(names: list[str], shown: list[bytes], pairs: int) -> int:
+        return 300 * len(names) + sum(map(len, names)) + sum(map(len, shown)) + 16 * pairs
+
+    def _align(self, units: list[str]) -> tuple:
+        n = len(units)
+        ids, unit, good = self.encoders.tokens(units)
+        lengths = [known[own] for known, own in zip(self.encoders.lengths, ids, strict=True)]
+        found = align(n, ids, unit, lengths)
+        cuts = np.searchsorted(found["pair_unit"], np.arange(n + 1))
+        links = np.diff(np.concatenate([[0], np.cumsum(found["times"])])[cuts])
+        n_a, n_b = (np.bincount(u, minlength=n) for u in unit)
+        numbers = np.stack([np.where(good, n_a, -1), n_b, found["groups"], links, found["overlaps"]], 1)
+        shown = _shown(n, ids, unit, [found["group_a"], found["group_b"]], self.encoders)
+        return shown, numbers, np.diff(cuts), found["pair"], found["times"]
+
+    def document(self, units: list[str], digest) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+        """(the five numbers, pairs, times) of a text of known units, whose groups go into ``digest``; None where a unit doesn't add up."""
+        places = np.fromiter(map(self.place.__getitem__, units), np.int64, len(units))
+        numbers = self.numbers[places]
+        if numbers[:, 0].min() < 0:
+            return None
+        digest.update(b";".join(map(self.shown.__getitem__, places.tolist())))
+        once, often = np.unique(places, return_counts=True)
+        at, lengths = self._gathered(once)
+        return numbers.sum(0), *_added(self.pairs[at], self.times[at] * np.repeat(often, lengths))
+
+
+def _added(pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    known, back = np.unique(pairs, return_inverse=True)
+    return known, np.bincount(back, times, len(known)).astype(np.int64)
 
 
 class Block:
@@ -240,30 +359,28 @@ def _batch(columns: list, n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.nulls(n, t) if c is None else pa.array(c, t) if isinstance(c, np.ndarray) else c for c, t in zip(columns, _TYPES, strict=True)], names=_NAMES)
 
 
-def _document(table: Units, text: str) -> tuple[tuple, np.ndarray, np.ndarray]:
-    """(n_a, n_b, n_groups, n_links, n_overlaps, groups_sha256), pairs and times of one text whose units are learnt part by part."""
-    nothing = (0, 0, 0, 0, 0, ""), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    if not text:
-        return nothing
-    totals, digest, pairs, times = np.zeros(5, np.int64), hashlib.sha256(), [], []
-    units = _CUT.split(text)
-    for at in range(0, len(units), 100_000):
-        some = [" " + u for u in units[at : at + 100_000]]
-        if at or len(units) > 100_000 or len(text) > PART:
+_NOTHING = (0, 0, 0, 0, 0, ""), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+
+def _document(table: Units, units: list[str] | None, learnt: bool) -> tuple[tuple, np.ndarray, np.ndarray]:
+    """(n_a, n_b, n_groups, n_links, n_overlaps, groups_sha256), pairs and times of one text. Units that aren't learnt yet are, part by part."""
+    if units is None:
+        return _NOTHING
+    totals, digest, found = np.zeros(5, np.int64), hashlib.sha256(), []
+    step = len(units) if learnt else 100_000
+    for at in range(0, len(units), step):
+        some = units[at : at + step]
+        if not learnt:
             table.learn(set(some))
-        rows = [table[u] for u in some]
-        if None in rows:
-            return nothing
-        n_a, n_b, groups, links, overlaps, shown, raw_pairs, raw_times = zip(*rows, strict=True)
-        totals += (sum(n_a), sum(n_b), sum(groups), sum(links), sum(overlaps))
-        digest.update((b";" if at else b"") + b";".join(shown))
-        known, back = np.unique(np.frombuffer(b"".join(raw_pairs), np.int64), return_inverse=True)
-        pairs.append(known)
-        times.append(np.bincount(back, np.frombuffer(b"".join(raw_times), np.int64), len(known)).astype(np.int64))
-    if len(pairs) > 1:
-        known, back = np.unique(np.concatenate(pairs), return_inverse=True)
-        pairs, times = [known], [np.bincount(back, np.concatenate(times), len(known)).astype(np.int64)]
-    return (*totals.tolist(), digest.hexdigest()), pairs[0], times[0]
+        if at:
+            digest.update(b";")
+        told = table.document(some, digest)
+        if told is None:
+            return _NOTHING
+        totals += told[0]
+        found.append(told[1:])
+    pairs, times = found[0] if len(found) == 1 else _added(*map(np.concatenate, zip(*found, strict=True)))
+    return (*totals.tolist(), digest.hexdigest()), pairs, times
 
 
 def _write(a_path: str, b_path: str, block_links: int):
@@ -282,12 +399,12 @@ def _write(a_path: str, b_path: str, block_links: int):
                     some.append((ids[at].as_py(), texts[at].as_py()))
                     size += len(texts[at].as_buffer())
                     at += 1
-                if size <= PART or len(some) > 1:
-                    table.learn({" " + u for _, text in some if text for u in _CUT.split(text)})
-                elif len(some[0][1]) <= PART:
-                    table.learn({" " + u for u in _CUT.split(some[0][1])})
-                for doc, text in some:
-                    block.add(doc, *_document(table, text))
+                split = [table.encoders.units(text) if text else None for _, text in some]
+                learnt = size <= PART
+                if learnt:
+                    table.learn(set().union(*filter(None, split)))
+                for (doc, _), units in zip(some, split, strict=True):
+                    block.add(doc, *_document(table, units, learnt))
                     if block.size > block_links:
                         yield from block.told()
                         made += 1
