@@ -253,3 +253,23 @@ def test_pipeline_stages(spark, tmp_path):
     assert set(ids["minhash_neardup"]) == set(brute(inputs).values())
     assert set(ids["source_mixing"]) == set(ids["minhash_neardup"]) == set(ids["best_fit_packing"])
     assert seen["best_fit_packing"].groupBy("sequence_id").agg({"length": "sum"}).filter("`sum(length)` > 4096").count() == 0
+
+
+def test_near_copies_of_texts_that_share_or_lack_an_id_are_linked(spark):
+    rng = random.Random(12)
+
+    def text(seed):
+        own = random.Random(seed)
+        return [f"v{own.randrange(4000)}" for _ in range(200)]
+
+    def edited(words):
+        words = list(words)
+        words[rng.randrange(50, 150)] = "edited"
+        return " ".join(words)
+
+    a, b, c = text(1), text(2), text(3)
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (8, edited(a)), (9, edited(b)), (None, " ".join(c)), (12, edited(c)), (None, edited(c)), (3, edited(b)), (None, "alone here and nowhere else at all")]
+    got = [(r["doc_id"], r["class_id"], r["kept"]) for r in M.classes(docs_of(spark, [(d, t, "", 0) for d, t in rows])).collect()]
+    want = [(5, 5, True), (5, 3, False), (8, 5, False), (9, 3, False), (None, 12, False), (12, 12, True), (None, 12, False), (3, 3, True), (None, None, True)]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+    assert M.deduplicated(docs_of(spark, [(d, t, "", 0) for d, t in rows])).count() == 4

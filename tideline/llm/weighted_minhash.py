@@ -19,7 +19,8 @@ only pairs that pass the bound are emitted. Screening takes texts outside the la
 Compared pairs are verified by the weighted Jaccard similarity of the whole texts.
 
 Defined results: a text without words (null, empty, punctuation) links with nothing. Rows with equal words are one class
-at any frequency. A null id sorts last and never names a class that has another id. Rows that repeat an id share a class.
+at any frequency. Links are between texts, not ids: a null id sorts last and never names a class that has another id, and rows that repeat an id with
+other texts are each in the class of their own text. An empty table gives an empty one.
 ``kept`` marks the smallest id of a class. Extra columns are ignored by ``classes`` and kept by ``deduplicated``.
 """
 
@@ -378,7 +379,7 @@ def _outlines(shared):
                 own = weigh(found, counts)
                 weight.append(float(own.sum()))
                 raw.append(outline(found, own))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(weight, pa.float64()), pa.array(raw, pa.binary())], names=["member", "weight", "outline"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(weight, pa.float64()), pa.array(raw, pa.binary())], names=["member", "weight", "outline"])
 
     return draw
 
@@ -430,9 +431,9 @@ def _cells(buckets: DataFrame, placed: DataFrame) -> DataFrame:
     return labelled.join(blocks, "key").select("key", F.explode(both).alias("cell"), "member", "component", "main").select("key", "cell.*", "member", "component", "main")
 
 
-def united(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(signatures, placed, joined): (doc_id, digest, text_hash, representative) of each row; (member, component) of the representatives
-    that the two turns link; (member, component) of the components that screening links further."""
+def united(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(signatures, nodes, placed, joined): (doc_id, digest, text_hash) of each row; (node, digest, least) of each text's words, ``least`` the smallest id that has
+    them; (member, component) of the nodes that the two turns link; (member, component) of the components that screening links further."""
     spark = docs.sparkSession
     folder = scratch_folder(spark, "minhash")
     shared = spark.sparkContext.broadcast(weights(docs, text))
@@ -440,21 +441,27 @@ def united(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshol
     hashed = slim.withColumn("text_hash", F.xxhash64("text"))
     hashed.mapInArrow(_sign(shared), "doc_id bigint, digest binary, bands array<bigint>, text_hash bigint").write.parquet(f"{folder}/signatures")
     signed = spark.read.parquet(f"{folder}/signatures")
-    firsts = signed.filter("digest IS NOT NULL AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("representative"))
-    once = signed.join(firsts, [signed["digest"] == firsts["digest"], signed["doc_id"] == firsts["representative"]], "left_semi")
-    keys = once.select(F.col("doc_id").alias("member"), F.explode("bands").alias("key")).distinct()
+    # A node stands for the texts of equal words, whatever ids they have; one row speaks for it. Numbers are fixed by writing them.
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
+    told = signed.filter("digest IS NOT NULL").groupBy("digest").agg(first, F.min("doc_id").alias("least"))
+    told.select(F.monotonically_increasing_id().alias("node"), "digest", "least", F.col("first.doc_id").alias("doc_id"), F.col("first.text_hash").alias("text_hash")).write.parquet(f"{folder}/nodes")
+    nodes = spark.read.parquet(f"{folder}/nodes")
+    named = nodes.select("node", F.col("digest").alias("_digest"), F.col("doc_id").alias("_doc_id"), F.col("text_hash").alias("_text_hash"))
+    speaks = F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("text_hash") == F.col("_text_hash"))
+    once = signed.join(named, speaks & (F.col("digest") == F.col("_digest"))).select("node", "bands")
+    keys = once.select(F.col("node").alias("member"), F.explode("bands").alias("key")).distinct()
     draw = F.struct(F.xxhash64("member", "key").alias("draw"), F.col("member").alias("id"))
     full = keys.groupBy("key").agg(F.min(draw)["id"].alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     keys.join(full, "key").write.parquet(f"{folder}/buckets")
     buckets = spark.read.parquet(f"{folder}/buckets")
-    wanted = buckets.select(F.col("member").alias("doc_id")).distinct()
-    slim.join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).write.parquet(f"{folder}/texts")
+    wanted = named.join(buckets.select(F.col("member").alias("node")).distinct(), "node", "left_semi")
+    hashed.join(wanted, speaks).select("node", "text").dropDuplicates(["node"]).write.parquet(f"{folder}/texts")
     texts = spark.read.parquet(f"{folder}/texts")
 
     def compare(pairs: DataFrame, name: str) -> DataFrame:
         both = (
-            pairs.join(texts.select(F.col("doc_id").alias("member"), F.col("text").alias("member_text")), "member")
-            .join(texts.select(F.col("doc_id").alias("centre"), F.col("text").alias("centre_text")), "centre")
+            pairs.join(texts.select(F.col("node").alias("member"), F.col("text").alias("member_text")), "member")
+            .join(texts.select(F.col("node").alias("centre"), F.col("text").alias("centre_text")), "centre")
         )
         schema = "centre bigint, member bigint, similarity double"
         both.select("centre", "member", "centre_text", "member_text").mapInArrow(_verify(shared), schema).write.parquet(f"{folder}/{name}")
@@ -466,7 +473,7 @@ def united(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshol
     compared.filter("n > 2").join(good, ["centre", "member"], "left_anti").select("key", "member").write.parquet(f"{folder}/failed")
     failed = spark.read.parquet(f"{folder}/failed")
     # Texts that failed meet the members of their bucket that share another band with them, and each other.
-    bands = once.select(F.col("doc_id").alias("member"), F.explode("bands").alias("other"))
+    bands = once.select(F.col("node").alias("member"), F.explode("bands").alias("other")).distinct()
     shared_bands = buckets.select("key", "member").join(failed.select("key").distinct(), "key", "left_semi").join(bands, "member").filter("other <> key")
     sub_draw = F.struct(F.xxhash64("member", "key", "other").alias("draw"), F.col("member").alias("id"))
     sub_centres = shared_bands.groupBy("key", "other").agg(F.min(sub_draw)["id"].alias("centre"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
@@ -480,8 +487,8 @@ def united(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshol
     # What is still in two components of a bucket (of two members, the first turn has compared both).
     _cells(buckets.filter("n > 2"), placed).write.parquet(f"{folder}/cells")
     cells = spark.read.parquet(f"{folder}/cells")
-    open_texts = texts.join(cells.select(F.col("member").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    open_texts.select("doc_id", "text").mapInArrow(_outlines(shared), "member bigint, weight double, outline binary").write.parquet(f"{folder}/outlines")
+    open_texts = texts.join(cells.select(F.col("member").alias("node")).distinct(), "node", "left_semi")
+    open_texts.select("node", "text").mapInArrow(_outlines(shared), "member bigint, weight double, outline binary").write.parquet(f"{folder}/outlines")
     cell = ["key", "block", "asked_block"]
     outlined = cells.join(spark.read.parquet(f"{folder}/outlines"), "member").select(*cell, "asked", "member", "component", "main", "weight", "outline")
     screened = outlined.repartition(*cell).sortWithinPartitions(*cell).mapInArrow(_screen(threshold), "centre bigint, member bigint")
@@ -493,15 +500,18 @@ def united(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshol
         third = third.join(names, end, "left").withColumn(f"{end}_component", F.coalesce(f"{end}_component", end))
     connected_components(third, "centre_component", "member_component").write.parquet(f"{folder}/joined")
     joined = spark.read.parquet(f"{folder}/joined")
-    return signed.select("doc_id", "digest", "text_hash").join(firsts, "digest", "left"), placed, joined
+    return signed.select("doc_id", "digest", "text_hash"), nodes.select("node", "digest", "least"), placed, joined
 
 
 def _classes(docs: DataFrame, text: str, doc_id: str, threshold: float) -> DataFrame:
-    signed, placed, joined = united(docs, text, doc_id, threshold)
-    own = signed.join(placed.select(F.col("member").alias("representative"), F.col("component").alias("near")), "representative", "left").withColumn("near", F.coalesce("near", "representative"))
-    whole = own.join(joined.withColumnRenamed("member", "near"), "near", "left")
-    named = F.coalesce("component", "near", "doc_id").alias("class_id")
-    return whole.select("doc_id", named, "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
+    signed, nodes, placed, joined = united(docs, text, doc_id, threshold)
+    near = nodes.join(placed.withColumnRenamed("member", "node").withColumnRenamed("component", "near"), "node", "left").withColumn("linked", F.col("near").isNotNull()).withColumn("near", F.coalesce("near", "node"))
+    whole = near.join(joined.withColumnRenamed("member", "near").withColumnRenamed("component", "whole"), "near", "left")
+    linked = whole.select("digest", "least", F.when(F.col("linked") | F.col("whole").isNotNull(), F.coalesce("whole", "near")).alias("component"))
+    names = linked.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("name"))
+    named = linked.join(names, "component", "left").select("digest", F.coalesce("name", "least").alias("class_id"))
+    found = signed.join(named, "digest", "left").withColumn("class_id", F.coalesce("class_id", "doc_id"))
+    return found.select("doc_id", "class_id", "text_hash").withColumn("kept", F.col("doc_id").eqNullSafe(F.col("class_id")))
 
 
 def classes(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", threshold: float = SIMILARITY) -> DataFrame:
