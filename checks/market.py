@@ -62,7 +62,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def events(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "events").select(
-        "event_id", clock.epoch_ms(F.col("ts")).alias("ts_ms"), "user_id", "event_type", (F.col("value") + F.lit(0.01)).alias("value"),
+        "event_id", clock.epoch_ms(F.col("ts")).alias("ts_ms"), "user_id", "event_type", F.round(F.col("value") + F.lit(0.01), 2).alias("value"),
         F.get_json_object("props", "$.k").cast("bigint").alias("k"),
     )
 
@@ -143,7 +143,7 @@ def arbs(spark: SparkSession, sf: str, bounded: bool | None = None) -> DataFrame
 
 PARTS: dict[str, tuple[tuple[str, ...], str]] = {
     "ev": ((), """
-        SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, user_id, event_type, value + 0.01::DOUBLE AS value,
+        SELECT event_id, epoch_us(ts) // 1000 AS ts_ms, user_id, event_type, round(value + 0.01::DOUBLE, 2) AS value,
                CAST(regexp_extract(props, '([0-9]+)', 1) AS BIGINT) AS k
         FROM events"""),
     "sw": (("ev",), f"""

@@ -16,7 +16,7 @@ from tideline.streaming import carried as cr, windows as wn
 def event_stream(spark, sf):
     """Events as a stream of swaps with simple metrics (size = value, outside when far from 50)."""
     schema = table(spark, sf, "events").schema
-    e = wn.stream_files(spark, f"{sf}/events*.parquet", schema).withColumn("value", F.col("value") + F.lit(0.01))
+    e = wn.stream_files(spark, f"{sf}/events*.parquet", schema).withColumn("value", F.round(F.col("value") + F.lit(0.01), 2))
     block = F.floor(clock.epoch_ms(F.col("ts")) / 60_000).cast("bigint")
     return e.select(
         F.col("event_type").alias("pool"), F.lit("REF").alias("symbol"), block.alias("block"), F.col("event_id").alias("log_index"), clock.epoch_ms(F.col("ts")).alias("ts_ms"),
