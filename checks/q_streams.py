@@ -11,6 +11,8 @@ from checks.rounding import rounded
 from tideline.functions import clock
 from tideline.session import scratch_folder
 from tideline.streaming import carried as cr, windows as wn
+from tideline.streaming.joins import stream_as_of
+from tideline.streaming.keyed import previous_in_order, rocksdb_state
 
 
 def event_stream(spark, sf):
@@ -114,3 +116,24 @@ def stream_change_point(spark, sf):
     blocks = event_stream(spark, sf).select(F.col("log_index").alias("number"), F.col("ts_ms").alias("milli_ts"))
     cr.run_carried(blocks, cr.change_point_step(200.0), f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{folder}/out").select("coarse_block", "change_block")
+
+
+@query("stream_interval_join", with_parts("""
+    SELECT 'REF' AS symbol, event_type AS pool, s.ts_ms // 60000 AS block, event_id AS log_index, s.ts_ms, CASE WHEN s.ts_ms - t.ts_ms <= 600000 THEN t.price END AS p_cex,
+           CASE WHEN s.ts_ms - t.ts_ms <= 600000 THEN s.ts_ms - t.ts_ms END AS age_ms
+    FROM ev s ASOF LEFT JOIN (SELECT ts_ms, max(value) AS price FROM ev WHERE event_type = 'view' GROUP BY 1) t ON s.ts_ms >= t.ts_ms
+    WHERE s.ts_ms <= (SELECT max(ts_ms) FROM ev WHERE event_type = 'view') - 1200000""", "ev"))
+def stream_interval_join(spark, sf):
+    swaps = event_stream(spark, sf)
+    ticks = event_stream(spark, sf).filter("pool = 'view'").select("symbol", "ts_ms", F.col("p_post").alias("price"))
+    return to_table(spark, stream_as_of(swaps, ticks))
+
+
+@query("stream_keyed_previous", with_parts("""
+    SELECT * FROM (SELECT event_type AS pool, event_id AS log_index, value AS p_post, lag(value) OVER w AS p_pre, lag(event_id) OVER w AS prev_index, ts_ms
+                   FROM ev WINDOW w AS (PARTITION BY event_type ORDER BY ts_ms, event_id))
+    WHERE ts_ms <= (SELECT max(ts_ms) FROM ev) - 600000""", "ev"))
+def stream_keyed_previous(spark, sf):
+    rows = event_stream(spark, sf).select("pool", "log_index", "p_post", "ts_ms")
+    with rocksdb_state(spark):
+        return to_table(spark, previous_in_order(rows, ["pool"], ["ts_ms", "log_index"], {"p_pre": "p_post", "prev_index": "log_index"}))

@@ -99,3 +99,58 @@ def test_last_tick_may_be_days_old(spark, tmp_path):
     read = lambda s, a, b: ticks.filter(F.col("ts_ms") <= b) if a is None else ticks.filter(F.col("ts_ms").between(a, b))
     cr.run_as_of(stream, read, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/cp").awaitTermination()
     assert {r.p_cex for r in spark.read.parquet(f"{tmp_path}/out").collect()} == {7.0}
+
+
+TICKS = layout(symbol="string", ts_ms="bigint", price="double")
+
+
+def test_interval_join_of_two_streams(spark, tmp_path):
+    from tideline.operators.asof import as_of
+    from tideline.streaming.joins import stream_as_of
+
+    swaps = [swap(i) for i in range(1, 201)] + [(None, None, 7, 900, 50 * 60_000, 1.0, 1.0, 0.1, 0.2, False, 0.0)]
+    ticks = [("s", 150_000, 9.0), ("other", 60_000, 5.0)] + [("s", t * 150_000, float(t)) for t in range(1, 80) if not 20 <= t < 30]
+    left = deliver(spark, f"{tmp_path}/l", [swaps[:80][::-1] + swaps[-1:], swaps[70:140], swaps[140:-1]], SWAPS)
+    right = deliver(spark, f"{tmp_path}/r", [ticks[:30], ticks[30:], [("s", 1, 99.0)]], TICKS)
+    q = run(stream_as_of(left, right, 720_000, "15 minutes"), str(tmp_path))
+    got = {r.log_index: (r.p_cex, r.age_ms) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    want = {}
+    for row in swaps:
+        near = [(t, p) for s, t, p in ticks if s == row[1] and row[4] - 720_000 <= t <= row[4]]
+        want[row[3]] = (max(near)[1], row[4] - max(near)[0]) if near else (None, None)
+    assert got and {k: (v, want[k]) for k, v in got.items() if want[k] != v} == {}
+    newest = min(max(r[4] for r in swaps), max(t for _, t, _ in ticks))
+    due = {r[3] for r in swaps if r[4] <= newest - 900_000 - 720_000}
+    assert due <= set(got) and len(got) == spark.read.parquet(f"{tmp_path}/out").count()
+    assert wn.dropped_as_late(q) >= 1
+    whole = as_of(spark.createDataFrame(swaps[:200], SWAPS), spark.createDataFrame(ticks, TICKS), ["symbol"], F.col("ts_ms"), "ts_ms", {"p": "price"})
+    dense = {r.log_index: r.p for r in whole.collect()}
+    assert all(dense[k] == p for k, (p, _) in got.items() if p is not None and k > 4)  # two ticks share the millisecond before 3 and 4
+
+
+def test_keyed_state_survives_a_restart(spark, tmp_path):
+    import shutil
+
+    from tideline.streaming.keyed import previous_in_order, rocksdb_state
+
+    rows = [swap(i, p) for i in range(1, 120) for p in ("p", "q") if i % 5 or p == "p"]
+    rows.append(("r", "s", 30, 30, 30 * 60_000, None, 1.0, 0.1, 0.2, None, None))
+    rows.sort(key=lambda r: r[3])
+    batches = [rows[:90][::-1], rows[90:150], rows[150:]]
+    deliver(spark, str(tmp_path), batches, SWAPS)
+    shutil.move(f"{tmp_path}/in/002.parquet", f"{tmp_path}/held.parquet")
+    sizes = []
+    for last in (False, True):
+        if last:
+            shutil.move(f"{tmp_path}/held.parquet", f"{tmp_path}/in/002.parquet")
+        stream = wn.stream_files(spark, f"{tmp_path}/in", SWAPS, files_per_batch=1)
+        with rocksdb_state(spark):
+            q = run(previous_in_order(stream, ["pool"], ["block", "log_index"], {"p_pre": "p_post", "prev_block": "block"}, "15 minutes"), str(tmp_path))
+        sizes.append(q.lastProgress["stateOperators"][0]["numRowsTotal"])
+    whole = previous_row(spark.createDataFrame(rows, SWAPS), ["pool"], ["block", "log_index"], {"p_pre": "p_post", "prev_block": "block"})
+    names = ["pool", "log_index", "p_post", "p_pre", "prev_block"]
+    want = {(r.pool, r.log_index): tuple(r) for r in whole.select(*names).collect()}
+    out = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(*names).collect()]
+    assert len(out) == len({r[:2] for r in out}) and all(want[r[:2]] == r for r in out)
+    assert {k for k in want if k[1] <= 119 - 15} == {r[:2] for r in out}
+    assert max(sizes) <= 80
