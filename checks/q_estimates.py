@@ -283,6 +283,15 @@ def ttest_matched(spark, sf):
     return rounded(pn.matched_changes(pairs, ["volume", "n_arb", "sigma_ps"]))
 
 
+@query("ttest_net_of_variance", with_parts("""
+    , pr AS (SELECT a.pool, ln(b.arb_loss / a.arb_loss) - 2 * ln(b.sigma_ps / a.sigma_ps) AS lr FROM pn a JOIN pn b ON a.pool = b.pool AND b.hour_ms = a.hour_ms + 1209600000 AND a.post = 0 AND b.post = 1
+             WHERE a.arb_loss > 0 AND b.arb_loss > 0 AND a.sigma_ps > 0 AND b.sigma_ps > 0)
+    SELECT pool, 'arb_loss_net' AS metric, count(*) AS n, round(exp(quantile_cont(lr, 0.5)), 6) AS median_ratio, round(avg(lr), 6) AS mean_log_ratio, round(avg(lr) / (stddev_samp(lr) / sqrt(count(*))), 6) AS t_stat FROM pr GROUP BY 1 HAVING count(*) >= 20""", "pn"))
+def ttest_net_of_variance(spark, sf):
+    pairs = pn.shifted_pairs(m.panel(spark, sf), 14, ["arb_loss", "sigma_ps"])
+    return rounded(pn.matched_changes(pairs, [], net_of={"arb_loss_net": ("arb_loss", "sigma_ps", 2.0)}))
+
+
 @query("ttest_pvalues")
 def ttest_pvalues(spark, sf):
     pairs = pn.shifted_pairs(m.panel(spark, sf), 14, ["volume", "n_arb", "sigma_ps"])

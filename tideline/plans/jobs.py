@@ -105,7 +105,8 @@ def build_panel(spark: SparkSession, study: Study) -> dict[str, DataFrame]:
     tables = {
         "panel_regime_table": pn.regime_ratios(pn.panel_regime_table(panel), ["pool"]),
         "coefficients": fit(panel, specs + false),
-        "matched": es.matched_pvalues(pn.matched_changes(pairs, ["arb_profit", "overshoot_strict_bps", "arb_loss", "n_arb", "sigma_ps"])),
+        "matched": es.matched_pvalues(pn.matched_changes(
+            pairs, ["arb_profit", "overshoot_strict_bps", "arb_loss", "n_arb", "sigma_ps"], net_of={"arb_loss_net_of_variance": ("arb_loss", "sigma_ps", 2.0)})),
         "exposure": es.exposure(panel),
         "lp_levels": pn.lp_levels(panel),
         "daily_normalised": pn.daily_normalised(panel),

@@ -255,10 +255,19 @@ def shifted_pairs(panel: DataFrame, days: int, columns: list[str]) -> DataFrame:
     return pre.join(post, ["pool", "hour_ms"])
 
 
-def matched_changes(pairs: DataFrame, columns: list[str], min_pairs: int = 20) -> DataFrame:
-    """Mean log ratio, median ratio and t statistic of matched hours per pool and metric."""
-    logs = [F.when((F.col(f"{c}_pre") > 0) & (F.col(f"{c}_post") > 0), F.ln(F.col(f"{c}_post") / F.col(f"{c}_pre"))) for c in columns]
-    metric = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), v.alias("lr")) for c, v in zip(columns, logs)]))
+def log_change(column: str) -> Column:
+    """ln(post / pre) of a matched hour (NULL unless both > 0)."""
+    pre, post = F.col(f"{column}_pre"), F.col(f"{column}_post")
+    return F.when((pre > 0) & (post > 0), F.ln(post / pre))
+
+
+def matched_changes(pairs: DataFrame, columns: list[str], min_pairs: int = 20, net_of: dict[str, tuple[str, str, float]] | None = None) -> DataFrame:
+    """Mean log ratio, median ratio and t statistic of matched hours per pool and metric.
+
+    ``net_of`` adds metrics net of a power of another column, {name: (column, other, power)}: ln(column ratio) - power * ln(other ratio),
+    over the hours where both are positive on both sides."""
+    logs = {c: log_change(c) for c in columns} | {name: log_change(c) - power * log_change(other) for name, (c, other, power) in (net_of or {}).items()}
+    metric = F.explode(F.array(*[F.struct(F.lit(name).alias("metric"), v.alias("lr")) for name, v in logs.items()]))
     long = pairs.select("pool", metric.alias("_m")).select("pool", "_m.*").filter("lr IS NOT NULL")
     t = summarise(
         long, ["pool", "metric"],
