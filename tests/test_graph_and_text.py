@@ -37,6 +37,15 @@ def test_components(spark, kind):
     assert {r.member: r.component for r in connected_components(df, "a", "b").collect()} == brute(edges)
 
 
+def test_components_keep_short_plans_and_true_sizes(spark):
+    """However many rounds: no joins are left in the result's plan, and its size is that of its rows, not of products of rounds."""
+    edges = [(i, i + 1) for i in range(3_000)]
+    parts = connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b")
+    plan = parts._jdf.queryExecution().optimizedPlan()
+    assert "Join" not in plan.toString() and int(plan.stats().sizeInBytes()) < 10**7
+    assert parts.filter("component = 0").count() == 3_001
+
+
 def test_operators_with_a_public_router(spark):
     rows = [("pool", s, w, s) for s, w, n in [
         ("c1", "w1", 3), ("c1", "w2", 2), ("c2", "w2", 4),  # c1, c2, w1, w2: one operator
