@@ -115,3 +115,30 @@ def test_episode_lengths(spark):
     for bounded in (True, False):
         runs = episodes.episodes(df, ["pool"], ["ts"], F.col("o"), bounded=bounded)
         assert sorted(r.length for r in runs.collect()) == [1, 2, 3]
+
+
+def test_each_time_is_asked_once_and_no_swap_is_folded_away(spark):
+    """Answers are found per symbol and time; repeated rows, rows without a symbol and rows before the first tick keep their places."""
+    from tideline.plans.enrich import with_references
+
+    rows = [("p", "s", 1, 7, 1_000, 1.0), ("p", "s", 1, 7, 1_000, 2.0), ("q", "s", 1, 7, 1_000, 3.0), ("q", "s", 0, 1, 10, 4.0), ("q", None, 2, 1, 1_000, 5.0)]
+    swaps = spark.createDataFrame(rows, "pool string, symbol string, block long, log_index long, ts_ms long, p_post double")
+    ticks = spark.createDataFrame([("s", 500, 10.0), ("s", 1_200, 20.0)], "symbol string, ts_ms long, price double")
+    candles = spark.createDataFrame([("s", 0, 9.0)], "symbol string, ts_ms long, close double")
+    out = with_references(swaps, ticks, candles, horizons_ms={"5": 500})
+    got = {r.p_post: (r.p_cex, r.p_cex_h5, r.p_cex_1s) for r in out.collect()}
+    assert got == {1.0: (10.0, 20.0, 9.0), 2.0: (10.0, 20.0, 9.0), 3.0: (10.0, 20.0, 9.0), 4.0: (None, 10.0, None), 5.0: (None, None, None)}
+    assert out.count() == 5
+
+
+def test_rows_are_dealt_once_and_counts_stay_where_they_lie(spark):
+    """Whole rows are shuffled once per order, and the counts of a quantile aren't dealt again for its bins."""
+    from tideline.operators.ordered import previous_row
+    from tideline.operators.quantiles import Quantile, exact_quantiles
+
+    df = spark.range(1_000).select((F.col("id") % 3).alias("k"), "id", F.rand(1).alias("v"))
+    plan = lambda frame: frame._jdf.queryExecution().executedPlan().toString()
+    stepped = plan(previous_row(df, ["k"], ["id"], {"before": "v"}, width=100))
+    assert "Scan ExistingRDD" not in stepped and stepped.count("FileScan parquet") == 2
+    bins = plan(exact_quantiles(df, ["k"], [Quantile("m", F.col("v"), 0.5)]))
+    assert "SortMergeJoin" not in bins and "Scan ExistingRDD" not in bins
