@@ -9,10 +9,11 @@ from checks.market import table, with_parts
 from checks.registry import query
 from checks.rounding import rounded
 from tideline.functions import clock
+from tideline.operators.ordered import HOUR_MS
 from tideline.session import scratch_folder
 from tideline.streaming import carried as cr, windows as wn
 from tideline.streaming.joins import stream_as_of
-from tideline.streaming.keyed import previous_in_order, rocksdb_state
+from tideline.streaming.keyed import rocksdb_state
 
 
 def event_stream(spark, sf):
@@ -135,5 +136,8 @@ def stream_interval_join(spark, sf):
     WHERE ts_ms <= (SELECT max(ts_ms) FROM ev) - 600000""", "ev"))
 def stream_keyed_previous(spark, sf):
     rows = event_stream(spark, sf).select("pool", "log_index", "p_post", "ts_ms")
+    folder = scratch_folder(spark, "keyed")
+    step = cr.previous_state_step({"p_pre": "p_post", "prev_index": "log_index"}, ["pool"], ["ts_ms", "log_index"], HOUR_MS)
     with rocksdb_state(spark):
-        return to_table(spark, previous_in_order(rows, ["pool"], ["ts_ms", "log_index"], {"p_pre": "p_post", "prev_index": "log_index"}))
+        cr.run_carried(cr.in_event_order(rows), step, f"{folder}/out", f"{folder}/state", f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("pool", "log_index", "p_post", "p_pre", "prev_index", "ts_ms")

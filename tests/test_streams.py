@@ -155,6 +155,33 @@ def test_dense_streams_are_joined_without_pairs(spark, tmp_path):
     assert {r.log_index for r in out} == {r[3] for r in rows} | {2, 3} and len(out) == 3_002
 
 
+def test_hot_pool_in_any_order_is_held_by_all_tasks(spark, tmp_path):
+    """Rows in any order within the delay, one pool, repeats, a restart: equal to the batch form, and no state of one pool lies in one task."""
+    import shutil
+
+    from tideline.streaming.keyed import rocksdb_state
+
+    rows = [swap(i, "hot") for i in range(1, 400)] + [swap(7, "hot"), swap(90, "cold"), swap(310, "cold")]
+    rows.sort(key=lambda r: r[3])
+    batches = [rows[:150][::-1], rows[150:300][::-1], rows[300:] + [swap(3, "late", minutes=3)]]
+    deliver(spark, str(tmp_path), batches, SWAPS)
+    shutil.move(f"{tmp_path}/in/002.parquet", f"{tmp_path}/held.parquet")
+    step = cr.previous_state_step({"p_pre": "p_post", "prev_block": "block"}, ["pool"], ["ts_ms", "log_index"], 3_600_000)
+    for last in (False, True):
+        if last:
+            shutil.move(f"{tmp_path}/held.parquet", f"{tmp_path}/in/002.parquet")
+        stream = wn.stream_files(spark, f"{tmp_path}/in", SWAPS, files_per_batch=1)
+        with rocksdb_state(spark):
+            q = cr.run_carried(cr.in_event_order(stream, "160 minutes"), step, f"{tmp_path}/out", f"{tmp_path}/state", f"{tmp_path}/cp")
+            q.awaitTermination()
+    assert {o["operatorName"] for p in q.recentProgress for o in p["stateOperators"]} == {"stateStoreSave"} and wn.dropped_as_late(q) == 1
+    whole = previous_row(spark.createDataFrame(rows, SWAPS), ["pool"], ["ts_ms", "log_index"], {"p_pre": "p_post", "prev_block": "block"})
+    names = ["pool", "log_index", "p_post", "p_pre", "prev_block"]
+    want = sorted(map(str, (tuple(r) for r in whole.select(*names).collect() if r.log_index <= 399 - 160)))
+    out = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/out").select(*names).collect()]
+    assert sorted(map(str, out)) == want and len(out) == 399 - 160 + 2
+
+
 def test_keyed_state_survives_a_restart(spark, tmp_path):
     import shutil
 

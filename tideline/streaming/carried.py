@@ -2,7 +2,7 @@
 
 State of batch n is a small Parquet table at <state>/batch=<n>. A batch that is retried reads the state of the batch
 before it and overwrites its own state and output, so delivery is exactly once. Batches must arrive in block order,
-as chunks do in the batch pipeline.
+as chunks do in the batch pipeline; ``in_event_order`` makes such batches of a stream whose rows come in any order within a delay.
 """
 
 from __future__ import annotations
@@ -17,10 +17,20 @@ from tideline.operators.blocks import FORWARD_WINDOW, change_point, with_interva
 from tideline.operators.ordered import previous_row
 from tideline.operators.slices import as_struct
 from tideline.plans.enrich import BLOCK_SLICE, ORDER
+from tideline.streaming.windows import with_event_time
 
 Step = Callable[[DataFrame, DataFrame | None], tuple[DataFrame, DataFrame]]
 
 
+def in_event_order(rows: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """``rows`` held in state until the watermark has passed them: each batch then has all rows of its stretch of time, after those of the batch before.
+
+    State is dealt by whole rows, so that a hot key is held by all tasks; equal rows are held once with their number and come out as often as
+    they came. Rows later than ``delay`` or without ts_ms are dropped."""
+    held = with_event_time(rows.filter("ts_ms IS NOT NULL"), delay).groupBy("ts", *rows.columns).agg(F.count(F.lit(1)).alias("_times"))
+    return held.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int")))).select(*rows.columns)
+
+
 def run_carried(stream: DataFrame, step: Step, output: str, state: str, checkpoint: str, available_now: bool = True) -> StreamingQuery:
     """Starts a query that calls ``step(new rows, carried rows) -> (output rows, next carried rows)`` per batch."""
 
@@ -39,15 +49,15 @@ def run_carried(stream: DataFrame, step: Step, output: str, state: str, checkpoi
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def previous_state_step(names: dict[str, str], keys: list[str] = ("pool",), order: list[str] = tuple(ORDER)) -> Step:
-    """Previous swap of each pool across batches; the carried table holds one row per pool."""
+def previous_state_step(names: dict[str, str], keys: list[str] = ("pool",), order: list[str] = tuple(ORDER), width: int = BLOCK_SLICE) -> Step:
+    """Previous swap of each pool across batches; the carried table holds one row per pool. ``width``: span of a slice in ``order[0]``."""
     keys, order = list(keys), list(order)
 
     def step(batch: DataFrame, carried: DataFrame | None):
         rows = batch.withColumn("_old", F.lit(False))
         if carried is not None:
             rows = rows.unionByName(carried.withColumn("_old", F.lit(True)), allowMissingColumns=True)
-        seen = previous_row(rows, keys, order, names, width=BLOCK_SLICE).filter("NOT _old").drop("_old")
+        seen = previous_row(rows, keys, order, names, width=width).filter("NOT _old").drop("_old")
         everything = as_struct(batch.columns)
         latest = rows.groupBy(*keys).agg(F.max_by(everything, as_struct(order)).alias("_r")).select("_r.*")
         return seen, latest
