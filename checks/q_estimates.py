@@ -485,8 +485,10 @@ def estimate_comparison(spark, sf):
     a = m.arbs(spark, sf)
     stats = rs.response_stats(a, ["pool", "regime"], interval_ms(), m.MAX_TAU_MS)
     implied = rs.implied_effects(stats, ["pool"])
-    pre = latency.counted_intervals(a.filter(rs.market_triggered(m.MAX_TAU_MS) & (F.col("regime") == "pre")), ["pool"], "tau_lo_ms", "tau_ms", STEP, TOP_MS)
-    fixed = latency.fixed_latency_counterfactual(latency.turnbull(pre, ["pool"], STEP, TOP_MS), ["pool"], F.lit(float(m.DT_POST_MS)))
+    # On whole milliseconds every opening is counted, and intervals (a minute wide) hold many points. One answered at once lies in (0, 1].
+    opened = a.filter(rs.market_triggered(m.MAX_TAU_MS) & (F.col("regime") == "pre")).withColumn("tau_ms", F.greatest("tau_ms", F.lit(1)))
+    sets = latency.turnbull_sets(latency.counted_intervals(opened, ["pool"], "tau_lo_ms", "tau_ms", 1, m.MAX_TAU_MS), ["pool"])
+    fixed = latency.fixed_latency_counterfactual(latency.points_of_sets(sets, ["pool"], 1), ["pool"], F.lit(float(m.DT_POST_MS)))
     before = stats.filter("regime = 'pre'").select("pool", F.col("mean_sqrt_s").alias("_s0"))
     counterfactual = fixed.join(before, "pool").select("pool", F.ln(F.col("mean_sqrt_s") / F.col("_s0")).alias("counterfactual"), F.col("p_first").alias("p_k1_counterfactual"))
     estimates = fit(m.panel(spark, sf), [es.panel_spec(p, "overshoot_bps", [p]) for p in POOLS]).filter("term = 'post'").withColumnRenamed("model_name", "pool")

@@ -158,6 +158,57 @@ def test_turnbull_meets_the_optimality_conditions(spark):
     assert out["converged"].all() and mass.sum() == pytest.approx(1) and gradient.max() <= pdf["n"].sum() * (1 + 1e-5)
 
 
+def test_turnbull_converges_where_every_interval_is_as_wide_as_a_block(spark):
+    # whole milliseconds, intervals a minute wide: plain expectation-maximisation leaves these open after all its rounds
+    rng = np.random.default_rng(12)
+    tau = np.maximum(rng.exponential(90_000, 400).astype(int), 1)
+    rows = [("x", int(max(t - 60_000, 0)), int(t)) for t in tau]
+    counts = latency.counted_intervals(spark.createDataFrame(rows, "g string, lo_ms bigint, hi_ms bigint"), ["g"], "lo_ms", "hi_ms", 1, 1_500_000)
+    assert counts.agg(F.sum("n")).first()[0] == len(rows)
+    sets = latency.turnbull_sets(counts, ["g"]).toPandas()
+    chance = np.array([sets["mass"][(sets["lo"] > a) & (sets["hi"] <= b + 1)].sum() for _, a, b in rows])
+    left, right = np.array([r[1:] for r in rows]).T
+    gradient = [((left < p) & (p <= right)) @ (1 / chance) for p in range(1, 600_000, 97)]
+    assert sets["converged"].all() and sets["mass"].sum() == pytest.approx(1) and max(gradient) <= len(rows) * (1 + 1e-5)
+
+
+def test_points_of_sets_are_the_dense_estimate_without_empty_points(spark):
+    rng = np.random.default_rng(13)
+    rows = [(g, int(a), int(a + w)) for g in "xy" for a, w in zip(rng.integers(0, 700, 200), rng.integers(5, 300, 200))]
+    counts = latency.counted_intervals(spark.createDataFrame(rows, "g string, lo_ms bigint, hi_ms bigint"), ["g"], "lo_ms", "hi_ms", 10, 1_200)
+    dense = {(r.g, r.grid_ms): r.mass for r in latency.turnbull(counts, ["g"], 10, 1_200).collect() if r.mass > 0}
+    points = latency.points_of_sets(latency.turnbull_sets(counts, ["g"]), ["g"], 10).collect()
+    assert {(r.g, r.grid_ms): r.mass for r in points} == pytest.approx(dense)
+
+
+def test_estimate_comparison_counts_openings_answered_within_a_minute(spark, tmp_path):
+    # a market a hundred times as dense, where nearly all openings are answered within the minute
+    import __spark_entry__ as entry
+    from checks import market as m
+    from tideline.plans import response as rs
+
+    e = spark.read.parquet("/root/testdata/sf0.01/events.parquet")
+    near = F.timestamp_micros((F.lit(m.CHANGE_MS * 1000) + (F.unix_micros(F.col("ts").cast("timestamp")) - m.CHANGE_MS * 1000) / 100).cast("bigint"))
+    e.withColumn("ts", near.cast("timestamp_ntz")).write.parquet(f"{tmp_path}/events.parquet")
+    found = {r.pool: r for r in entry.queries()["estimate_comparison"](spark, str(tmp_path)).collect()}
+    openings = m.arbs(spark, str(tmp_path)).filter(rs.market_triggered(m.MAX_TAU_MS) & (F.col("regime") == "pre")).select("pool", "tau_lo_ms", "tau_ms").toPandas()
+    assert (openings["tau_ms"] < 60_000).mean() > 0.5 and len(openings) > 100
+    for pool, own in openings.groupby("pool"):
+        left, right = np.maximum(own["tau_lo_ms"].to_numpy(), 0), np.maximum(own["tau_ms"].to_numpy(), 1)
+        points = np.arange(1, right.max() + 1)
+        mass = np.full(len(points), 1 / len(points))
+        for _ in range(400):
+            upto = np.concatenate([[0], np.cumsum(mass)])
+            weight = 1 / (upto[right] - upto[left])
+            mass *= np.cumsum(np.bincount(left, weight, len(points) + 1) - np.bincount(right, weight, len(points) + 1))[:-1] / len(own)
+        first = (mass * np.maximum(0, 1 - points / m.DT_POST_MS)).sum()
+        root = sum((mass * np.sqrt((points + (i + 0.5) / 200 * m.DT_POST_MS) / 1000)).sum() for i in range(200)) / 200
+        before = np.sqrt(own["tau_ms"] / 1000).mean()
+        assert found[pool].p_k1_counterfactual == pytest.approx(first, abs=0.01)
+        if len(own) >= 30:
+            assert found[pool].counterfactual == pytest.approx(math.log(root / before), abs=0.01)
+
+
 def test_latency_band_takes_every_change(spark):
     changes = spark.createDataFrame([(1.5, 0.75)] * 1200 + [(3.0, 0.2)], "dt_pre double, dt_post double").coalesce(1)
     floors = spark.createDataFrame([("a", 0.9)], "name string, ell double")
