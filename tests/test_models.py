@@ -262,6 +262,53 @@ def test_information_share_of_a_leading_price(spark, bounded):
     assert r.share_upper < 0.2 and r.alpha_first == pytest.approx(-0.3, abs=0.05) and r.beta_second == pytest.approx(-1, abs=0.05)
 
 
+def _brute_lags(times, series, lags):
+    """Differences, levels before and ``lags`` lags of two series, row by row."""
+    change = [[None, *[b - a for a, b in zip(s, s[1:])]] for s in series]
+    at = lambda s, i: s[i] if i >= 0 else None
+    return {t: [change[0][i], change[1][i], at(series[0], i - 1), at(series[1], i - 1), *[at(d, i - k) for k in range(1, lags + 1) for d in change]] for i, t in enumerate(times)}
+
+
+def test_lagged_changes_reach_over_the_edge_of_a_bucket(spark):
+    rng = np.random.default_rng(14)
+    step, n = 1_000, 40
+    times = [99_980 * step + i * step for i in range(n)]  # buckets are 100,000 steps wide
+    a, b = rng.normal(size=(2, n)).tolist()
+    df = spark.createDataFrame([("p", t, x, y) for t, x, y in zip(times, a, b)], "pool string, ts_ms bigint, a double, b double")
+    out = price_discovery.lagged_changes(df, ["pool"], "ts_ms", {"da": "a", "db": "b"}, 10, step)
+    names = ["da", "db", "a_before", "b_before", *[f"{c}_{k}" for k in range(1, 11) for c in ("da", "db")]]
+    assert {r.ts_ms: [r[c] for c in names] for r in out.collect()} == _brute_lags(times, [a, b], 10)
+
+
+def test_lagged_differences_hold_ten_lags_of_both_prices(spark, sf):
+    import __spark_entry__ as entry
+    from checks.q_swaps import market_series
+
+    series = market_series(spark, sf).orderBy("pool", "ts_ms").toPandas()
+    names = ["dp", "dc", "x_before", "y_before", *[f"{c}_{k}" for k in range(1, 11) for c in ("dp", "dc")]]
+    found = entry.queries()["lagged_differences"](spark, sf).toPandas()
+    assert sorted(found.columns) == sorted(["pool", "ts_ms", *names]) and len(found) == len(series)
+    for pool, own in series.groupby("pool"):
+        brute = _brute_lags(own["ts_ms"].tolist(), [np.log(own[c].to_numpy()).tolist() for c in ("p_pool", "p_cex")], 10)
+        rows = found[found["pool"] == pool].set_index("ts_ms")[names].loc[list(brute)].to_numpy(float)
+        assert np.allclose(rows, np.array(list(brute.values()), float), atol=1.1e-8, equal_nan=True)
+
+
+def test_lagged_differences_agree_with_sql(spark, sf):
+    import duckdb
+
+    import __spark_entry__ as entry
+    from checks.compare import rows_of
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    result = con.execute(entry.oracle_sql()["lagged_differences"])
+    names = [d[0] for d in result.description]
+    frame = entry.queries()["lagged_differences"](spark, sf)
+    assert sorted(frame.columns) == sorted(names) and "dc_10" in names
+    assert rows_of(frame.columns, [tuple(r) for r in frame.collect()]) == rows_of(names, result.fetchall())
+
+
 def test_published_estimates_reproduce_pooled_values(spark):
     # printed estimates, errors and intervals of three changes; results are known to the printed precision
     rows = [("s", -0.293, 0.036, 3.0, 1.5), ("s", -0.110, 0.041, 1.5, 0.75), ("s", -0.115, 0.037, 0.75, 0.45)]
